@@ -185,3 +185,10 @@ class Decontaminator:
 def decontaminate(docs: DataFrame, bench: DataFrame, **names) -> DataFrame:
     """Hits of every row of ``docs`` against the windows of ``bench``; see ``Decontaminator.report``."""
     return Decontaminator(docs, bench, **names).report()
+
+
+def without_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """``docs`` without the rows in which a benchmark window occurs."""
+    found = Decontaminator(docs, bench, id_col, text_col, **names).matches()
+    found = _small(written(found.select(F.col("id").alias("leak_id"), F.col("th").alias("leak_th")), "leaks"))
+    return docs.join(found, docs[id_col].eqNullSafe(F.col("leak_id")) & (F.xxhash64(docs[text_col]) == F.col("leak_th")), "left_anti")

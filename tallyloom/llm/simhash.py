@@ -53,14 +53,14 @@ def simhash(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id, fp)`` for every row; ``fp`` is a signed long. Null or wordless texts get zero."""
+    """``(id, th, fp)`` for every row: ``th`` hashes the text, ``fp`` is a signed long. Null or wordless texts get zero."""
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([simhash(x, shingle) for x in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("id"), run(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), run(F.col(text_col)).alias("fp"))
 
 
 def covering_masks(free: list[int], radius: int = RADIUS) -> list[tuple[int, list[int]]]:
@@ -145,7 +145,7 @@ def linked_pairs(fps: DataFrame, radius: int = RADIUS, limit: int = 2048) -> Dat
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 2048) -> DataFrame:
-    """``(id, fp, component)`` for every row of ``docs``.
+    """``(id, th, fp, root, component)`` for every row of ``docs``; ``root`` is the group's least fingerprint.
 
     ``component`` is the smallest id reachable over fingerprints that differ in
     at most three bits. Rows with null text or without words have fingerprint
@@ -161,5 +161,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     reach = placed.groupBy("root").agg(F.min("least").alias("component"))
-    final = placed.join(reach, "root").select("fp", "component")
-    return rows.join(final, "fp").select("id", "fp", "component")
+    final = written(placed.join(reach, "root").select("fp", "root", "component"), "placed")
+    return rows.join(final, "fp").select("id", "th", "fp", "root", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every near-duplicate group: that of the smallest id, then of the smallest text hash.
+
+    A null id counts after all others. Of repeated rows one stays.
+    """
+    groups = written(near_duplicates(docs, id_col, text_col), "groups")
+    least = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"))
+    keep = written(least.select(F.col("k.id").alias("keep_id"), F.col("k.th").alias("keep_th")).distinct(), "keep")
+    same = (F.xxhash64(docs[text_col]) == keep["keep_th"]) & docs[id_col].eqNullSafe(keep["keep_id"])
+    kept = docs.join(keep, same, "left_semi")
+    repeated = groups.groupBy("id", "th").count().filter("count > 1").limit(1)
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])

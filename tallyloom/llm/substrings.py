@@ -26,6 +26,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -283,6 +284,7 @@ def repeated_spans(texts: DataFrame, most: int = MOST) -> DataFrame:
         anchors.groupBy("k").agg(F.count("*").alias("total"), F.min("c").alias("c1"), F.max("c").alias("c2"))
         .filter("total > 1").select("k", (F.col("c1") == F.col("c2")).alias("alike"))
     )
+    keys = written(keys, "keys")  # a plain side: a hot key's rows on the other side can then be split
     shared = written(anchors.join(keys, "k"), "shared")
     mixed = shared.filter("not alike")
     alike = mixed.groupBy("k", "c").agg(
@@ -346,3 +348,29 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with repeated substrings cut out of the text, other columns as they are.
+
+    Characters of which a cut takes some bytes go entirely. ``length_col``, where
+    the table has it, becomes the new length of texts that were cut.
+    """
+    cut = cut_texts(docs, text_col).select(F.col("t1").alias("cut_1"), F.col("t2").alias("cut_2"), "kept")
+
+    @F.pandas_udf("string")
+    def text_of(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    cut = written(cut.select("cut_1", "cut_2", text_of("kept").alias("cut_text")), "cut-texts")
+    k1, k2 = text_keys(text_col)
+    joined = docs.join(cut, (k1 == cut["cut_1"]) & (k2 == cut["cut_2"]), "left")
+    columns = []
+    for name in docs.columns:
+        own = docs[name]
+        if name == text_col:
+            own = F.coalesce(cut["cut_text"], own)
+        elif name == length_col:
+            own = F.coalesce(F.length(cut["cut_text"]).cast(docs.schema[name].dataType), own)
+        columns.append(own.alias(name))
+    return joined.select(*columns)
