@@ -21,6 +21,8 @@ WINDOW = 10
 LISTS = 2
 #: Rows up to which a counted side is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 200_000
+#: The same for rows that carry a list.
+WIDE_ROWS = 20_000
 
 
 def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -115,7 +117,7 @@ class Decontaminator:
         )
         side = listed.withColumnsRenamed({"id": "i", "th": "t"})
         rows = self.docs.select(F.col(self.id_col).alias("id"), F.xxhash64(self.text_col).alias("th"), F.col(self.text_col).alias("text"))
-        joined = rows.join(_small(side), F.expr("id <=> i and th = t")).select(
+        joined = rows.join(_small(side, WIDE_ROWS), F.expr("id <=> i and th = t")).select(
             "id", "th", words(F.col("text")).alias("w"), "cands"
         )
         held = F.filter(

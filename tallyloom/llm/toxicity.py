@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tallyloom.llm.common import WORD_BYTES, words, written
 
@@ -29,7 +28,7 @@ CATEGORIES = {
 CHAIN = (*CATEGORIES, "toxic")
 #: Words that may become features, by how unevenly they fall over the labels.
 FEATURES = 512
-#: Labelled rows that models are fitted on; the word counts that choose the features cover all labelled rows.
+#: Labelled rows that features are chosen and models fitted on.
 MOST_ROWS = 20_000
 #: Labelled rows a word needs.
 LEAST_ROWS = 5
@@ -119,22 +118,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           most_rows: int = MOST_ROWS) -> Model:
     """Fit the chain on labelled rows; rows with a null id, text or label take no part.
 
-    Words are chosen from counts over every labelled row. The models are fitted on
-    the ``most_rows`` labelled rows with the least hash of their id, half of them
-    toxic at most, reduced to their feature words before they leave the executors.
+    Fitting uses a bounded sample: of either label the ``most_rows // 2`` rows with
+    the least hash of their id. Its ids are few enough to broadcast at every size of
+    the corpus, so no text is shuffled; texts leave the executors as feature words.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
+    marks = marks.withColumn("h", F.xxhash64("id"))
+    part = lambda y: marks.filter(F.col("y") == y).orderBy("h", "id").limit(most_rows // 2)
+    sample = F.broadcast(written(part(0).union(part(1)), "sample"))  # most_rows rows at most
     labelled = written(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna().join(marks, "id")
-        .select("id", "y", F.array_distinct(words(F.col("text"))).alias("w")), "labelled",
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna().join(sample, "id")
+        .select("id", "y", "h", F.array_distinct(words(F.col("text"))).alias("w")), "labelled",
     )
     names = features(labelled)
     if not names:
         return Model([], [np.array([-35.0])] + [np.r_[np.zeros(k), -35.0] for k in range(1, len(CHAIN))])
-    chosen = labelled.withColumn("h", F.xxhash64("id")).withColumn("rank", F.row_number().over(W.partitionBy("y").orderBy("h", "id")))
-    chosen = chosen.filter(F.col("rank") <= most_rows // 2)
     listed = F.array(*[F.lit(w) for w in names])
-    rows = chosen.select(
+    rows = labelled.select(
         "id", "h", "y", F.array_intersect("w", listed).alias("found"),
         *[F.arrays_overlap("w", F.array(*[F.lit(w) for w in lexicon])).cast("int").alias(c) for c, lexicon in CATEGORIES.items()],
     ).orderBy("h", "id").toPandas()  # most_rows rows at most, each with its few feature words
