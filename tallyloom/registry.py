@@ -1,4 +1,3 @@
 """Registered queries and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tallyloom.plans.queries import ORACLE_SQL, QUERIES  # noqa: F401
