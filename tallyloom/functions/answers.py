@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyloom.functions.lookups import STATUSES
 
@@ -54,7 +55,7 @@ def repaired(json: str) -> str:
     return "".join(parts)
 
 
-@F.pandas_udf("struct<found:string,fixed:string>")
+@F.pandas_udf(StructType([StructField("found", StringType()), StructField("fixed", StringType())]))
 def extract_json(text: pd.Series) -> pd.DataFrame:
     """X13 and X14 in one pass: balanced braces are no regular language."""
     found = text.map(first_object)
