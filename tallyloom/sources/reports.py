@@ -170,7 +170,7 @@ def parse_site_config(configs: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = configs.withColumn("c", F.from_json("content", f"struct<version:string,default_site:string,registry_path:string,default_log_kind:string,sites:map<string,{site}>>"))
     top = (
         F.when(F.col("c.sites").isNull() | (F.size("c.sites") == 0), "no sites")
-        .when((F.coalesce("c.default_site", F.lit("")) != "") & ~F.coalesce(F.map_contains_key("c.sites", "c.default_site"), F.lit(False)), "default site does not exist")
+        .when((F.coalesce("c.default_site", F.lit("")) != "") & ~F.coalesce(F.map_contains_key("c.sites", F.col("c.default_site")), F.lit(False)), "default site does not exist")
     )
     read = read.withColumn("reason", top)
     rows = read.filter("reason is null").select("config_id", F.col("c.default_site").alias("default_site"), F.col("c.registry_path").alias("registry_path"), F.col("c.default_log_kind").alias("default_log_kind"), F.explode("c.sites").alias("site_id", "s"))
