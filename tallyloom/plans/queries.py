@@ -166,11 +166,11 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(SUMMARIES + """SELECT log_source_type, site_name, system_status, count(*) AS n, round(coalesce(sum(cost_usd), 0), 6) AS cost, grouping(log_source_type, site_name, system_status) AS scope
+@query(SUMMARIES + """SELECT log_source_type, site_name, system_status, count(*) AS n, round(coalesce(sum(cost_usd), 0), 8) AS cost, grouping(log_source_type, site_name, system_status) AS scope
 FROM s GROUP BY GROUPING SETS ((), (system_status), (log_source_type, site_name), (log_source_type, site_name, system_status))""")
 def summary_statistics(spark, sf_dir):
     """A10."""
-    return H.statistics(summaries(spark, sf_dir)).withColumn("cost", F.round("cost", 6))
+    return H.statistics(summaries(spark, sf_dir)).withColumn("cost", F.round("cost", 8))
 
 
 @query(SUMMARIES + "SELECT summary_id, timestamp, log_source_type, site_name FROM s ORDER BY timestamp DESC, summary_id LIMIT 20")

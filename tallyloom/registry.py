@@ -1,3 +1,6 @@
 """Registered queries and the SQL they are held against."""
 
-from tallyloom.plans.queries import ORACLE_SQL, QUERIES  # noqa: F401
+from tallyloom.plans import inventory, queries
+
+QUERIES = {**queries.QUERIES, **inventory.QUERIES}
+ORACLE_SQL = {**queries.ORACLE_SQL, **inventory.ORACLE_SQL}
