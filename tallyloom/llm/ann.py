@@ -6,8 +6,12 @@ widest direction, which gives centroids of equally full lists. Every different
 vector goes to its nearest list, and near a boundary to several, so that a search
 need not open both sides. A query walks a small neighbour graph over the
 centroids, held in memory, and opens the lists whose distance is within a ratio
-of the nearest one. Lists are stored in blocks of bounded size, queries meet them
-in blocks, and only each query's best leave a block.
+of the nearest one. That ratio is measured on the table itself: a sample of its
+queries is compared with all vectors, and the ratio is the least that opens a list
+of ``TARGET`` of their true neighbours. No number of lists is fixed, so recall
+holds as the lists grow in number; on vectors without any structure this opens a
+large share of them. Neighbouring lists are stored together in blocks of bounded
+size, queries meet them in blocks, and only each query's best leave a block.
 
 Equal vectors are one entry with its least ids, so a vector that a third of all
 rows share costs one entry and one search.
@@ -31,13 +35,21 @@ SAMPLE = 20_000
 LISTS = 2048
 #: Vectors that a list should hold, and that a stored block may hold.
 LIST_SIZE = 128
-BLOCK = 512
+BLOCK = 2048
+#: Neighbouring lists that are stored together, so that a query is sent once to all of them.
+TOGETHER = 16
+#: Pairs of blocks that are handed to Python at once.
+PAIRS = 64
+#: Candidates that a task holds before it leaves each query's best of them only.
+HELD = 1_000_000
 #: Queries that meet a block together.
 QUERIES = 256
 #: Replicas: up to REPLICAS lists whose distance is within NEAR times the least.
 REPLICAS, NEAR = 4, 1.10
-#: Search: up to PROBES lists whose distance is within RATIO times the least.
-PROBES, RATIO = 48, 1.5
+#: Search: the share of true neighbours that opened lists must hold, and the queries it is measured on.
+TARGET, MEASURED = 0.95, 256
+#: The walk goes on while it finds one of the BEAM nearest lists or one within the ratio.
+BEAM = 48
 #: Neighbours of a centroid in the graph.
 DEGREE = 24
 
@@ -93,17 +105,19 @@ class Centroids:
         scaled = q * (self.norm / np.linalg.norm(q, axis=1))[:, None]
         return np.hstack([scaled, np.zeros((len(q), 1))])
 
-    def search(self, q: np.ndarray, width: int = PROBES, ratio: float = RATIO) -> list[int]:
-        """Lists for one aimed query: best-first over the graph, then pruned by distance ratio."""
+    def search(self, q: np.ndarray, ratio: float, width: int = BEAM) -> list[int]:
+        """Lists for one aimed query within ``ratio`` of the nearest: best-first over the graph."""
         entry = np.arange(0, len(self.points), max(1, len(self.points) // 16))
         seen = set(entry.tolist())
         dist = lambda which: ((self.points[which] - q) ** 2).sum(1)
         todo = sorted(zip(dist(entry).tolist(), entry.tolist(), strict=True))
-        best = [(-d, i) for d, i in todo]
+        found = list(todo)
+        best = [-d for d, _ in todo[:width]]
         heapq.heapify(best)
+        least = todo[0][0]
         while todo:
             d, i = heapq.heappop(todo)
-            if len(best) > width and d > -best[0][0]:
+            if len(best) == width and d > max(-best[0], least * ratio**2):
                 break
             fresh = [j for j in self.graph[i].tolist() if j not in seen]
             if not fresh:
@@ -111,11 +125,18 @@ class Centroids:
             seen.update(fresh)
             for e, j in zip(dist(np.array(fresh)).tolist(), fresh, strict=True):
                 heapq.heappush(todo, (e, j))
-                heapq.heappush(best, (-e, j))
-            while len(best) > width:
-                heapq.heappop(best)
-        found = sorted((-d, i) for d, i in best)
-        return [i for d, i in found if d <= found[0][0] * ratio**2]
+                found.append((e, j))
+                least = min(least, e)
+                (heapq.heappush if len(best) < width else heapq.heappushpop)(best, -e)
+        return [i for d, i in sorted(found) if d <= least * ratio**2]
+
+    def ratio(self, q: np.ndarray, near: list[np.ndarray], target: float = TARGET) -> float:
+        """The least ratio at which the lists opened for the queries ``q`` hold ``target`` of their neighbours ``near``."""
+        need = []
+        for own, x in zip(_sq(self.aim(q), self.points), near, strict=True):
+            need += [max(1.0, own[h].min() / max(own.min(), 1e-300)) for h in self.homes(self.lift(x))]
+        need.sort()
+        return float(np.sqrt(need[int(np.ceil(target * len(need))) - 1])) * (1 + 1e-9) if need else 1.0
 
     def homes(self, x: np.ndarray) -> list[list[int]]:
         """Lists of each lifted vector: the nearest, and others nearly as near that lie in another direction."""
@@ -145,39 +166,104 @@ def _sorted_dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _structs(column: pa.Array, row: int) -> list[pa.Array]:
+    """The fields of the structs that one row lists."""
+    return column[row].values.flatten()
+
+
+def _rows(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _best(scores: np.ndarray, q: np.ndarray, x: np.ndarray, who: np.ndarray, e: np.ndarray, keep: int) -> pa.RecordBatch:
+    """The ``keep`` best vectors of each query, and some more for ties; scores of minus infinity are no candidates."""
+    n = min(keep + 8, scores.shape[1])
+    top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+    at, to = np.repeat(np.arange(len(q)), n), top.ravel()
+    opened = np.isfinite(scores[at, to])
+    at, to = at[opened], to[opened]
+    return pa.RecordBatch.from_arrays([pa.array(who[at]), pa.array(e[to]), pa.array(_sorted_dot(q[at], x[to]))], names=["q", "e", "score"])
+
+
+def _merged(found: list[pa.RecordBatch], keep: int) -> pa.RecordBatch:
+    """Each query's ``keep`` best different vectors of several batches."""
+    q, e, score = (np.concatenate([b.column(i).to_numpy() for b in found]) for i in range(3))
+    by = np.lexsort((e, -score, q))
+    q, e, score = q[by], e[by], score[by]
+    new = np.r_[True, (q[1:] != q[:-1]) | (e[1:] != e[:-1])]
+    q, e, score = q[new], e[new], score[new]
+    begins = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    best = np.arange(len(q)) - np.repeat(begins, np.diff(np.r_[begins, len(q)])) < keep
+    return pa.RecordBatch.from_arrays([pa.array(q[best]), pa.array(e[best]), pa.array(score[best])], names=["q", "e", "score"])
+
+
+def _combined(run, keep: int):
+    """``run``, with what it finds for a query in a task merged before it leaves the task."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in run(batches):
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > HELD:
+                held = [_merged(held, keep)]
+                rows = held[0].num_rows
+                if rows > HELD // 2:
+                    yield held[0]
+                    held, rows = [], 0
+        if held:
+            yield _merged(held, keep)
+
+    return merge
+
+
 def _meet(keep: int):
-    """Block by query block -> each query's ``keep`` best vectors of the block."""
+    """Block by query block -> each query's ``keep`` best vectors among the lists that it opens in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            stored, waiting = (batch.column(batch.schema.get_field_index(c)) for c in ("block", "asked"))
             for row in range(batch.num_rows):
-                at = lambda name: batch.column(batch.schema.get_field_index(name))[row].as_py()  # noqa: B023, E731
-                block, asked = at("block"), at("asked")
-                x = np.array([b["v"] for b in block], dtype=np.float64)
-                q = np.array([a["v"] for a in asked], dtype=np.float64)
-                scores = q @ x.T
-                n = min(keep + 8, len(block))
-                top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                who = np.repeat(np.arange(len(asked)), n)
-                exact = _sorted_dot(q[who], x[top.ravel()])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([asked[i]["e"] for i in who.tolist()], pa.int64()),
-                        pa.array([block[j]["e"] for j in top.ravel().tolist()], pa.int64()), pa.array(exact),
-                    ],
-                    names=["q", "e", "score"],
-                )
+                e, v, lists = _structs(stored, row)
+                who, a, opens = _structs(waiting, row)
+                # A vector stands in several lists of a block; its first row is its place.
+                e, first, place = np.unique(e.to_numpy(), return_index=True, return_inverse=True)
+                x, q, lists = _rows(v)[first], _rows(a), lists.to_numpy()
+                scores = np.full((len(q), len(x)), -np.inf)
+                asks = np.repeat(np.arange(len(q)), [len(o) for o in opens.to_pylist()])
+                opened = opens.flatten().to_numpy()
+                for one in np.unique(lists):
+                    at, to = asks[opened == one], place[lists == one]
+                    if len(at):
+                        scores[np.ix_(at, to)] = q[at] @ x[to].T
+                yield _best(scores, q, x, who.to_numpy(), e, keep)
+
+    return _combined(run, keep)
+
+
+def _scan(asked: list[tuple[int, list[float]]], keep: int):
+    """All vectors -> the ``keep`` best of each batch for every one of ``asked``, which are no neighbours of themselves."""
+    who, q = np.array([e for e, _ in asked]), np.array([v for _, v in asked], dtype=np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                e, x = batch.column(0).to_numpy(), _rows(batch.column(1))
+                yield _best(np.where(who[:, None] == e[None], -np.inf, q @ x.T), q, x, who, e, keep)
 
-    return run
+    return _combined(run, keep)
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-            sample: int = SAMPLE, lists: int = LISTS) -> DataFrame:
+            sample: int = SAMPLE, lists: int = LISTS, target: float = TARGET) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` largest inner products found for every row that ``queries`` is true of.
 
     A row is no neighbour of itself, but its copies are. Unusable vectors, null ids
     and vectors of another length than the most common one take no part. Equal
-    scores rank by smaller id. Repeated (id, vector) rows count once.
+    scores rank by smaller id. Repeated (id, vector) rows count once. Opened lists
+    hold ``target`` of the true neighbours, as measured on up to ``MEASURED`` queries.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("asks"))
@@ -198,6 +284,15 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     few = int(min(lists, max(1, whole["n"] // LIST_SIZE)))
     blank = Centroids(np.zeros((1, common["n"] + 1)), whole["norm"])
     index = Centroids(balanced_centroids(blank.lift(picked), few), whole["norm"])
+    tried = [(r["e"], r["v"]) for r in entries.filter("asks").orderBy("e2", "e1").select("e", "v").limit(MEASURED).collect()]  # MEASURED rows at most
+    ratio = 1.0
+    if tried and len(index.points) > 1:
+        scanned = entries.select("e", "v").mapInArrow(_scan(tried, k), "q long, e long, score double")
+        true = scanned.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "e"))).filter(F.col("r") <= k)
+        near: dict[int, list] = {}
+        for r in true.select("q", "e").join(entries.select("e", "v"), "e").select("q", "v").collect():  # MEASURED * k rows at most
+            near.setdefault(r["q"], []).append(r["v"])
+        ratio = index.ratio(np.array([v for e, v in tried if e in near]), [np.array(near[e]) for e, _ in tried if e in near], target)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,28 +309,45 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                opened = [index.search(q) for q in index.aim(_matrix(part.column(1)))]
-                many = np.repeat(np.arange(part.num_rows), [len(h) for h in opened])
+                found = []
+                for i, q in enumerate(index.aim(_matrix(part.column(1)))):
+                    near: dict[int, list[int]] = {}
+                    for j in index.search(q, ratio):
+                        near.setdefault(j // TOGETHER, []).append(j)
+                    found += [(i, g, js) for g, js in near.items()]
+                many = pa.array([i for i, _, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(many)), part.column(1).take(pa.array(many)), pa.array([j for h in opened for j in h], pa.int32())],
-                    names=["e", "v", "list"],
+                    [
+                        part.column(0).take(many), part.column(1).take(many), pa.array([js for _, _, js in found], pa.list_(pa.int32())),
+                        pa.array([g for _, g, _ in found], pa.int32()),
+                    ],
+                    names=["e", "v", "lists", "part"],
                 )
 
-    def blocks(df: DataFrame, name: str, size: int) -> DataFrame:
-        """Rows of a list in salted blocks of about ``size``; list sizes are at most ``lists`` rows."""
+    def blocks(df: DataFrame, name: str, size: int, *columns: str) -> DataFrame:
+        """Rows of neighbouring lists in salted blocks of about ``size``; there are at most ``lists`` sizes."""
         df = written(df, name)
-        sizes = df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
-        salted = df.join(F.broadcast(sizes), "list").withColumn("salt", F.pmod(F.xxhash64("e"), F.col("parts")))
-        return salted.groupBy("list", "salt").agg(F.collect_list(F.struct("e", "v")).alias(name)).select("list", name)
-
-    stored = blocks(entries.select("e", "v").mapInArrow(place, "e long, v array<double>, list int"), "block", BLOCK)
-    asked = blocks(entries.filter("asks").select("e", "v").mapInArrow(probe, "e long, v array<double>, list int"), "asked", QUERIES)
-    met = stored.join(asked, "list").select("block", "asked").mapInArrow(_meet(k + 1), "q long, e long, score double")
+        sizes = df.groupBy("part").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+        salted = df.join(F.broadcast(sizes), "part").withColumn("salt", F.pmod(F.xxhash64("e"), F.col("parts")))
+        return salted.groupBy("part", "salt").agg(F.collect_list(F.struct(*columns)).alias(name)).select("part", name)
+
+    placed = entries.select("e", "v").mapInArrow(place, "e long, v array<double>, list int").withColumn("part", F.floor(F.col("list") / TOGETHER).cast("int"))
+    stored = blocks(placed, "block", BLOCK, "e", "v", "list")
+    probed = entries.filter("asks").select("e", "v").mapInArrow(probe, "e long, v array<double>, lists array<int>, part int")
+    asked = blocks(probed, "asked", QUERIES, "e", "v", "lists")
+    met = stored.join(asked, "part").select("block", "asked").mapInArrow(_meet(k + 1), "q long, e long, score double")
     one = met.groupBy("q", "e").agg(F.max("score").alias("score"))
     top = one.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "e"))).filter(F.col("r") <= k + 1)
     found = top.join(entries.select("e", "ids"), "e").select("q", "score", F.explode("ids").alias("vec_id"))
     heads = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
-    heads = written(heads.groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("found")), "heads")
+    heads = heads.groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("found"))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(batch)
+    spark.conf.set(batch, str(PAIRS))  # a row holds two blocks
+    try:
+        heads = written(heads, "heads")
+    finally:
+        spark.conf.set(batch, usual)
     asking = rows.filter("asks").select(F.col("id").alias("query_id"), "e1", "e2").join(entries.select("e1", "e2", F.col("e").alias("q")), ["e1", "e2"])
     ranked = F.slice(F.filter(F.array_sort("found", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["vec_id"] < b["vec_id"], -1).when(a["vec_id"] > b["vec_id"], 1).otherwise(0)), lambda s: s["vec_id"] != F.col("query_id")), 1, k)
     final = asking.join(heads, "q").select("query_id", F.posexplode(ranked).alias("rank", "s"))

@@ -62,3 +62,16 @@ def test_lists_are_balanced():
     x[:400] = x[:400] * 0.01  # a dense region
     points = ann.balanced_centroids(x, 16)
     assert points.shape == (16, 8)
+
+
+def test_recall_holds_with_many_lists_and_no_structure(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_SIZE", 16)  # 512 lists
+    x = np.random.default_rng(5).normal(size=(10_000, 32))
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    ids = list(range(len(x)))
+    frame = spark.createDataFrame([(i, x[i].tolist()) for i in ids], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(frame, F.col("vec_id") % 40 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {q: {i for _, i in plain(ids, x, q)} for q in ids[::40]}
+    assert sum(len(want[q] & got[q]) for q in want) / sum(map(len, want.values())) >= 0.93
