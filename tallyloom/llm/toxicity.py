@@ -55,15 +55,16 @@ def features(labelled: DataFrame, most: int = FEATURES) -> list[str]:
     return [r["word"] for r in top.select("word").collect()]  # at most ``most`` words
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the bias, which is not shrunk."""
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS, rows: np.ndarray | None = None) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; the last weight is the bias, which is not shrunk. ``rows`` weighs the rows."""
+    rows = np.ones(len(x)) if rows is None else rows
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     shrink = np.full(x.shape[1], ridge)
     shrink[-1] = 1e-6
     for _ in range(steps):
         p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (p - y) + shrink * w)
+        step = np.linalg.solve((x * (rows * p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (rows * (p - y)) + shrink * w)
         w -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
@@ -74,17 +75,18 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
+def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, rows: np.ndarray | None = None) -> list[np.ndarray]:
     """One weight vector per category. Later models see out-of-fold probabilities of the earlier ones."""
     out, seen = [], x
+    rows = np.ones(len(x)) if rows is None else rows
     for k in range(labels.shape[1]):
         y = labels[:, k]
-        out.append(fit_linear(seen, y))
-        apart = np.full(len(y), y.mean() if len(y) else 0.0)
+        out.append(fit_linear(seen, y, rows=rows))
+        apart = np.full(len(y), np.average(y, weights=rows) if len(y) else 0.0)
         for f in range(FOLDS):
             mine = folds == f
             if mine.any() and (~mine).any():
-                w = fit_linear(seen[~mine], y[~mine])
+                w = fit_linear(seen[~mine], y[~mine], rows=rows[~mine])
                 apart[mine] = _sigmoid(seen[mine] @ w[:-1] + w[-1])
         seen = np.hstack([seen, apart[:, None]])
     return out
@@ -121,11 +123,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Fitting uses a bounded sample: of either label the ``most_rows // 2`` rows with
     the least hash of their id. Its ids are few enough to broadcast at every size of
     the corpus, so no text is shuffled; texts leave the executors as feature words.
+    A row weighs as many rows of its label as it stands for, so that probabilities
+    keep the table's own rates when the sample does not.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     marks = marks.withColumn("h", F.xxhash64("id"))
     part = lambda y: marks.filter(F.col("y") == y).orderBy("h", "id").limit(most_rows // 2)
     sample = F.broadcast(written(part(0).union(part(1)), "sample"))  # most_rows rows at most
+    shares = {r["y"]: r["n"] for r in marks.filter("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows at most
     labelled = written(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna().join(sample, "id")
         .select("id", "y", "h", F.array_distinct(words(F.col("text"))).alias("w")), "labelled",
@@ -144,7 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         x[r, [index[w] for w in found]] = 1
     y = rows["y"].to_numpy(dtype=float)
     marks_of = np.column_stack([*(rows[c].to_numpy(dtype=float) * y for c in CATEGORIES), y])
-    return Model(names, fit_chain(x, marks_of, (rows["h"] % FOLDS).to_numpy() % FOLDS))
+    stands = {k: n / min(n, most_rows // 2) for k, n in shares.items()}
+    weights = rows["y"].map(stands).to_numpy(dtype=float)
+    return Model(names, fit_chain(x, marks_of, (rows["h"] % FOLDS).to_numpy() % FOLDS, weights / weights.mean()))
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", into: str = "scores") -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from tallyloom.llm import toxicity
 
@@ -62,3 +63,22 @@ def test_the_sample_is_bounded_and_balanced(spark):
     docs, labels = corpus(random.Random(10), 400)
     model = toxicity.train(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"), most_rows=160)
     assert {"idiot", "clown"} & set(model.names)
+
+
+def test_a_small_sample_keeps_the_rates_of_the_table(spark):
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(3000):
+        toxic = i % 10 == 0
+        w = [rng.choice([f"word{k}" for k in range(40)]) for _ in range(20)]
+        if rng.random() < (0.6 if toxic else 0.15):
+            w.append("mild")  # 31 % of its rows are toxic
+        if toxic and rng.random() < 0.3:
+            w.append("idiot")
+        docs.append((i, " ".join(w), "clash", 1))
+        labels.append((i, int(toxic)))
+    frame, marks = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    texts = pd.Series([t for _, t, _, _ in docs])
+    small, large = (toxicity.train(frame, marks, most_rows=n).score(texts)[:, -1] for n in (400, 20_000))
+    assert ((small >= 0.5) == (large >= 0.5)).mean() >= 0.98
+    assert abs(small.mean() - 0.1) < 0.03 and abs(large.mean() - 0.1) < 0.03
