@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import answers as A
@@ -428,45 +428,55 @@ BACK = "SELECT report_id, wid, timestamp, type, severity, message FROM e"
 _FIELDS = ("wid", "uid", "type", "message", "severity", "hostname", "location", "timestamp")
 
 
+#: Entries that a written report may hold: those of a day whose ids lie in one block of so many.
+REPORT_ENTRIES = 5000
+
+
 def _per_report(made: DataFrame, text, joined) -> DataFrame:
+    """Reports of a day and a block of ids, so that none grows with the table; ``_day`` finds the day again."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("wid", text.alias("t")))), lambda s: s["t"])
-    return made.groupBy("report_id").agg(joined(listed).alias("content"))
+    block = F.concat("report_id", F.lit("/"), F.floor(F.col("wid") / REPORT_ENTRIES).cast("string"))
+    return made.groupBy(block.alias("report_id")).agg(joined(listed).alias("content"))
+
+
+def _day() -> Column:
+    return F.substring_index("report_id", "/", 1).alias("report_id")
 
 
 @query(ENTRIES + BACK)
 def json_entries(spark, sf_dir):
-    """A day's entries as one JSON array."""
+    """A day's entries as JSON arrays."""
     made = _per_report(entries(spark, sf_dir), F.to_json(F.struct(*_FIELDS)), lambda a: F.concat(F.lit("["), F.array_join(a, ",\n"), F.lit("]")))
-    return R.parse_watchdog_json(made)[0].select("report_id", "wid", "timestamp", "type", "severity", "message")
+    return R.parse_watchdog_json(made)[0].select(_day(), "wid", "timestamp", "type", "severity", "message")
 
 
 @query(ENTRIES + BACK)
 def line_entries(spark, sf_dir):
-    """S4, T1's batch twin: a day's entries as NDJSON with a line that does not parse."""
+    """S4, T1's batch twin: a day's entries as NDJSON with lines that do not parse."""
     made = _per_report(entries(spark, sf_dir), F.to_json(F.struct(*_FIELDS)), lambda a: F.concat(F.array_join(a, ",\n"), F.lit("\n{broken\n")))
-    return R.parse_watchdog_json(made)[0].select("report_id", "wid", "timestamp", "type", "severity", "message")
+    return R.parse_watchdog_json(made)[0].select(_day(), "wid", "timestamp", "type", "severity", "message")
 
 
 @query(ENTRIES + BACK)
 def table_entries(spark, sf_dir):
-    """A day's entries as a text table."""
+    """A day's entries as text tables."""
     row = F.concat(
         F.lit("  "), F.col("wid").cast("string"), F.lit("  "), F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit("  "), "type", F.lit("   "),
         L.severity_name(F.col("severity")), F.lit("  "), "message",
     )
     head = "note before\n  ID  Date  Type  Severity  Message\n ---- ----\n"
     made = _per_report(entries(spark, sf_dir), row, lambda a: F.concat(F.lit(head), F.array_join(a, "\n"), F.lit("\nnot a row\n")))
-    return R.parse_watchdog_table(made)[0].select("report_id", "wid", "timestamp", "type", "severity", "message")
+    return R.parse_watchdog_table(made)[0].select(_day(), "wid", "timestamp", "type", "severity", "message")
 
 
 @query(ENTRIES + "SELECT report_id, wid, user_id AS uid, timestamp, type, severity, message FROM e")
 def keyed_entries(spark, sf_dir):
-    """A day's entries as an object keyed by id, with text numbers and localised labels."""
+    """A day's entries as objects keyed by id, with text numbers and localised labels."""
     label = F.expr("CASE severity WHEN 3 THEN 'Ошибка' WHEN 4 THEN 'Warnung' WHEN 5 THEN 'Avis' WHEN 6 THEN 'Info' ELSE 'Debug' END")
     texts = [F.col(c).cast("string").alias(c) for c in _FIELDS if c != "severity"]
     row = F.concat(F.lit('"'), F.col("wid").cast("string"), F.lit('":'), F.to_json(F.struct(*texts, label.alias("severity"))))
     made = _per_report(entries(spark, sf_dir), row, lambda a: F.concat(F.lit("{"), F.array_join(a, ","), F.lit("}")))
-    return R.parse_keyed_export(made).select("report_id", "wid", "uid", "timestamp", "type", "severity", "message")
+    return R.parse_keyed_export(made).select(_day(), "wid", "uid", "timestamp", "type", "severity", "message")
 
 
 @query(ENTRIES + f""", {LINES} SELECT report_id, 'drupal_watchdog' AS source_type, site_id, wid AS event_no, message AS text FROM e
