@@ -213,6 +213,19 @@ def redacted_documents(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.lit("Bearer").alias("kind"), T.redact(put).alias("redacted"))
 
 
+_REDACTIONS = (
+    "sk-ant-[a-zA-Z0-9_-]{10,}", "sk-[a-zA-Z0-9_-]{32,}", "[0-9]{8,12}:[a-zA-Z0-9_-]{30,}", "Bearer[\\t\\n\\f\\r ]+[a-zA-Z0-9_.-]+",
+    "(?i)authorization[:\\t\\n\\f\\r ]+[^\\t\\n\\f\\r ]+", "(?i)api[_-]?key[=:][^\\t\\n\\f\\r &\"'']+", "(?i)x-api-key[:\\t\\n\\f\\r ]+[^\\t\\n\\f\\r ]+",
+)
+
+
+@query("SELECT doc_id, " + "regexp_replace(" * len(_REDACTIONS) + "'Bearer abc.def ' || coalesce(text, '') || ' api_key=xyz'" + "".join(f", '{p}', '[REDACTED]', 'g')" for p in _REDACTIONS) + " AS redacted FROM documents")
+def redacted_texts(spark, sf_dir):
+    """X8 on whole texts with a token put before and after."""
+    put = F.concat(F.lit("Bearer abc.def "), F.coalesce("text", F.lit("")), F.lit(" api_key=xyz"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.redact(put).alias("redacted"))
+
+
 @query()
 def message_parts(spark, sf_dir):
     """Conversations as routed message parts."""

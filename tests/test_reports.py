@@ -21,3 +21,14 @@ def test_blocks_of_a_day_are_read_back_whole(spark, tmp_path, monkeypatch):
     want = sorted((r.report_id, r.wid, r.timestamp, r.message) for r in inventory.entries(spark, str(tmp_path)).collect())
     for name in ("json_entries", "line_entries", "table_entries", "keyed_entries"):
         assert sorted((r.report_id, r.wid, r.timestamp, r.message) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
+def test_secrets_anywhere_in_a_text_are_redacted(spark, tmp_path):
+    secrets = [
+        "sk-ant-" + "a1" * 8, "sk-" + "b2" * 20, "123456789:" + "c3" * 18, "Bearer d4.e5", "Authorization: f6", "API-KEY=g7", "x-api-key: h8",
+    ]
+    before = "plain words " * 50
+    docs = [(i, f"{before}{s} and more") for i, s in enumerate(secrets)] + [(9, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.redacted for r in registry.QUERIES["redacted_texts"](spark, str(tmp_path)).collect()}
+    assert got == {i: f"[REDACTED] {before}[REDACTED] and more [REDACTED]" for i in range(len(secrets))} | {9: "[REDACTED]  [REDACTED]"}
