@@ -1,22 +1,27 @@
 """Vector bin packing of examples into sequences under three limits at once.
 
-Every piece has three sizes: tokens, one segment, and loss-bearing tokens. The
-next piece for an open sequence is the one whose size vector has the largest dot
-product with what the sequence has left, both in units of the limits, so that
-what a sequence has most of is used first. Texts may be cut: whole sequences are
-cut off long texts, and when no piece fits what a sequence has left, the best
-one is cut to fill it.
-
-Packing goes on within a partition, over pools of ``POOL`` pieces, so memory is
-bounded, nothing is shuffled, and only the last sequence of a partition is short.
-Sequence ids are the partition number and a running number within it.
+Every piece has three sizes: tokens, one segment, and loss-bearing tokens. A text
+begins with tokens that bear no loss (the prompt of an instruction, or a leading
+share of a plain document, as for a prefix language model) and goes on with
+tokens that do. Texts may be cut, so what a waiting piece can give to an open
+sequence is as much of its beginning as the limits leave room for. The next piece
+is the one for which that has the largest dot product with what the sequence has
+left, both in units of the limits: what a sequence has most of is used first, and
+room that loss-bearing tokens may not take goes to prompts.
+
+Packing goes on within a partition, over a pool of ``POOL`` pieces or
+``POOL_TOKENS`` tokens, so memory is bounded, nothing is shuffled, and only the
+last sequences of a partition are short. Sequence ids are the partition number
+and a running number within it.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,29 +32,23 @@ from pyspark.sql import functions as F
 #: Tokens of a sequence.
 TOKENS = 1024
 #: Pieces of a sequence.
-SEGMENTS = 64
-#: Loss-bearing tokens of a sequence.
-LOSS = 1024
-#: Pieces that are packed together.
-POOL = 2048
+SEGMENTS = 16
+#: Loss-bearing tokens of a sequence of instructions or led documents.
+LOSS = 960
+#: Percentage of a plain document's tokens that leads it without loss.
+LEAD = 25
+#: Pieces that are packed together, and the tokens they may hold.
+POOL = 8192
+POOL_TOKENS = 1 << 23
 #: Words whose ids a worker remembers.
-WORDS = 300_000
+WORDS = 600_000
+#: Characters of texts whose new words are encoded together.
+TOGETHER = 1 << 20
 #: Closes every text.
 END = 0
 
-
-class Ids(dict):
-    """Ids of a space-led word as little-endian 16-bit bytes, by word; forgets all when full."""
-
-    def __init__(self, encode, most: int = WORDS):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = np.array(self.encode(" " + word), dtype="<u2").tobytes()
-        return out
+_RUN = re.compile(r"\s\s")
+_GAP = re.compile(r"(?<=\S) (?=\S)")
 
 
 # Fixed value: how this byte-level vocabulary cuts a text into words before merging bytes.
@@ -67,86 +66,160 @@ class Encoder:
     """Ids of whole texts by the byte-level tokenizer file at ``path``.
 
     The pre-tokenizer of this vocabulary starts a new word at every single space
-    that has no white space beside it, so such texts are encoded word by word with
-    a memory of words; new words go to a faster encoder of the same vocabulary.
-    Texts with runs of white space or with a special token's string, and texts
-    that end in a space, are encoded whole by the tokenizer itself.
+    between two characters that are no white space, so texts are encoded word by
+    word with a memory of words. New words are encoded together and told apart by
+    their first tokens, as no other token begins with a space. They go to the
+    faster of two encoders of the vocabulary, which gives the ids of the file's own
+    tokenizer; that one encodes what begins a text, words with white space in them,
+    and whole texts that hold a special token's string.
     """
 
-    def __init__(self, path: str):
-        import re
-
+    def __init__(self, path: str, most: int = WORDS):
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
-        self.odd = re.compile("|".join([r"\s\s", *map(re.escape, special)]))
-        ranks = byte_ranks({t: i for t, i in self.whole.get_vocab(with_added_tokens=False).items() if t not in special})
-        self.words = Ids(tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, dtype="<u2")
-        if self.odd.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2")
-        first, *rest = text.split(" ")
-        head = np.array(self.whole.encode(first, add_special_tokens=False).ids, dtype="<u2").tobytes() if first else b""
-        if rest and not rest[-1]:  # a space at the end stands alone
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2")
-        return np.frombuffer(head + b"".join(map(self.words.__getitem__, rest)), dtype="<u2")
+        self.whole, self.most = Tokenizer.from_file(path), most
+        special = {t.content for t in self.whole.get_added_tokens_decoder().values()}
+        self.special = re.compile("|".join(map(re.escape, special)) if special else r"(?!)")
+        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        ranks = byte_ranks({t: i for t, i in vocabulary.items() if t not in special})
+        self.together = tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.dtype = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.leads[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > self.most:
+            self.known.clear()
+        new = list(words - self.known.keys())
+        joined = " ".join(new)
+        if joined.count(" ") >= len(new):  # some have spaces in them
+            for w in new:
+                if " " in w:
+                    self.known[w] = self._ids(" " + w).tobytes()
+            new = [w for w in new if " " not in w]
+            joined = " ".join(new)
+        ids = self.together.encode_to_numpy(" " + joined).astype(self.dtype) if new else np.zeros(0, dtype=self.dtype)
+        first = np.flatnonzero(self.leads[ids])
+        if len(first) == len(new):
+            edges = [*(first * ids.itemsize).tolist(), ids.nbytes]
+            self.known.update(zip(new, map(ids.tobytes().__getitem__, map(slice, edges, edges[1:])), strict=True))
+        else:
+            self.known.update((w, self._ids(" " + w).tobytes()) for w in new)
+
+    def _words(self, text: str) -> list[str]:
+        """The beginning of a text, and its words after single spaces."""
+        if not text or self.special.search(text):
+            return [text]
+        return text.split(" ") if text[0] != " " and text[-1] != " " and not _RUN.search(text) else _GAP.split(text)
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        at = 0
+        while at < len(texts):
+            split, size = [], 0
+            while at < len(texts) and size < TOGETHER:
+                split.append(self._words(texts[at]))
+                size += len(texts[at])
+                at += 1
+            found: set[str] = set()
+            for head, *rest in split:
+                found.update(rest)
+            if not found <= self.known.keys():
+                self._learn(found)
+            for head, *rest in split:
+                ids = self._ids(head).tobytes() if head else b""
+                yield np.frombuffer(ids + b"".join(map(self.known.__getitem__, rest)), dtype=self.dtype)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, which goes on remembering words from task to task."""
+    return Encoder(path)
+
+
+class Piece:
+    """A run of ids of one text: the first ``lead`` of them bear no loss."""
+
+    __slots__ = ("key", "start", "ids", "lead", "total")
+
+    def __init__(self, key: int, start: int, ids: np.ndarray, lead: int, total: int):
+        self.key, self.start, self.ids, self.lead, self.total = key, start, ids, lead, total
+
+    @property
+    def loss(self) -> int:
+        return len(self.ids) - self.lead
+
+    def cut(self, n: int) -> tuple[Piece, Piece | None]:
+        """The first ``n`` ids and the rest, if any."""
+        if n == len(self.ids):
+            return self, None
+        lead = min(n, self.lead)
+        return (
+            Piece(self.key, self.start, self.ids[:n], lead, self.total),
+            Piece(self.key, self.start + n, self.ids[n:], self.lead - lead, self.total),
+        )
 
 
 class Pool:
-    """Remainders by size, and the sequence that is being filled."""
+    """Waiting pieces by shape (ids, leading ids), one array entry for each shape."""
 
     def __init__(self, limits: tuple[int, int, int]):
         self.limits = limits
-        self.waiting: dict[tuple[int, int], deque] = {}
-        self.count = 0
-
-    def add(self, piece: tuple) -> None:
-        """piece: (key, start, ids, is-loss flags, tokens of its text)."""
-        self.waiting.setdefault((len(piece[2]), int(piece[3].sum())), deque()).append(piece)
+        self.place: dict[tuple[int, int], int] = {}
+        self.queues: list[deque[Piece]] = []
+        self.free: list[int] = []
+        self.sizes = np.zeros((2, 64), dtype=np.int64)
+        self.count = self.tokens = 0
+
+    def add(self, piece: Piece) -> None:
+        shape = (len(piece.ids), piece.lead)
+        at = self.place.get(shape)
+        if at is None:
+            if self.free:
+                at = self.free.pop()
+            else:
+                at = len(self.queues)
+                self.queues.append(deque())
+                if at == self.sizes.shape[1]:
+                    self.sizes = np.hstack([self.sizes, np.zeros_like(self.sizes)])
+            self.place[shape] = at
+            self.sizes[:, at] = shape
+        self.queues[at].append(piece)
         self.count += 1
-
-    def _take(self, at: tuple[int, int]) -> tuple:
-        queue = self.waiting[at]
-        piece = queue.popleft()
-        if not queue:
-            del self.waiting[at]
+        self.tokens += len(piece.ids)
+
+    def _take(self, at: int) -> Piece:
+        piece = self.queues[at].popleft()
+        if not self.queues[at]:
+            del self.place[(len(piece.ids), piece.lead)]
+            self.sizes[:, at] = 0
+            self.free.append(at)
         self.count -= 1
+        self.tokens -= len(piece.ids)
         return piece
 
-    def fill(self) -> list[tuple]:
-        """One sequence: pieces in order. At least one piece waits."""
+    def fill(self) -> list[Piece]:
+        """One sequence: pieces in order, at least one, as one waits and no limit is below 1. Every piece is one segment."""
         limit_t, limit_s, limit_l = self.limits
-        left_t, left_s, left_l = limit_t, limit_s, limit_l
-        out = []
+        left_t, left_s, left_l = self.limits
+        out: list[Piece] = []
         while self.count and left_t and left_s:
-            shapes = np.array(list(self.waiting), dtype=np.int64)
-            dot = (
-                shapes[:, 0] * (left_t / limit_t**2)
-                + left_s / limit_s**2
-                + shapes[:, 1] * (left_l / limit_l**2)
-            )
-            fits = (shapes[:, 0] <= left_t) & (shapes[:, 1] <= left_l)
-            if fits.any():
-                at = int(np.where(fits, dot, -1.0).argmax())
-                piece = self._take(tuple(map(int, shapes[at])))
-            else:
-                piece = self._take(tuple(map(int, shapes[int(dot.argmax())])))
-                key, start, ids, loss, total = piece
-                n = min(left_t, len(ids))
-                over = np.flatnonzero(np.cumsum(loss[:n]) > left_l)
-                n = int(over[0]) if len(over) else n
-                if not n:
-                    self.add(piece)
-                    break
-                self.add((key, start + n, ids[n:], loss[n:], total))
-                piece = (key, start, ids[:n], loss[:n], total)
+            size, lead = self.sizes[:, : len(self.queues)]
+            give = np.minimum(np.minimum(size, left_t), lead + left_l)
+            loss = np.maximum(give - lead, 0)
+            dot = give * (left_t / limit_t**2) + loss * (left_l / limit_l**2) + left_s / limit_s**2
+            at = int(dot.argmax())
+            if not give[at]:
+                break
+            piece, rest = self._take(at).cut(int(give[at]))
+            if rest:
+                self.add(rest)
             out.append(piece)
-            left_t, left_s, left_l = left_t - len(piece[2]), left_s - 1, left_l - int(piece[3].sum())
+            left_t, left_s, left_l = left_t - len(piece.ids), left_s - 1, left_l - piece.loss
         return out
 
 
@@ -154,19 +227,20 @@ SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, seq
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
 
-def _packer(path: str, limits: tuple[int, int, int], pool: int, mask_first: bool):
+def _packer(path: str, limits: tuple[int, int, int], pool: int, lead: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, waiting = Encoder(path), Pool(limits)
+        encode, waiting = encoder(path), Pool(limits)
         context = TaskContext.get()
         base, number = (context.partitionId() if context else 0) << 32, 0
         rows: list[tuple] = []
 
-        def put(pieces: list[tuple]) -> None:
+        def put(pieces: list[Piece]) -> None:
             nonlocal number
             offset = 0
-            for key, start, ids, loss, total in pieces:
-                rows.append((key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, base + number, offset, int(loss.sum())))
-                offset += len(ids)
+            for p in pieces:
+                n = len(p.ids)
+                rows.append((p.key, p.start, n, zlib.crc32(p.ids.astype("<u4").tobytes()), p.total, base + number, offset, p.loss))
+                offset += n
             number += 1
 
         def out() -> pa.RecordBatch:
@@ -174,25 +248,21 @@ def _packer(path: str, limits: tuple[int, int, int], pool: int, mask_first: bool
             rows.clear()
             return batch
 
-        whole = min(limits[0], limits[2])
         for batch in batches:
-            for key, text, prompt in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = np.append(encode(text or ""), np.uint16(END))
-                loss = np.ones(len(ids), dtype=bool)
-                if prompt:
-                    loss[: len(encode(prompt))] = False
-                total = len(ids)
-                cut = total // whole * whole
-                for at in range(0, cut, whole):
-                    put([(key, at, ids[at : at + whole], loss[at : at + whole], total)])
-                if cut < total:
-                    waiting.add((key, cut, ids[cut:], loss[cut:], total))
-                while waiting.count >= pool:
+            keys, texts, prompts = (batch.column(i).to_pylist() for i in range(3))
+            leads = [None if x is None else len(ids) for x, ids in zip(prompts, encode([x or "" for x in prompts]), strict=True)] if any(prompts) else prompts
+            for key, ids, told in zip(keys, encode([x or "" for x in texts]), leads, strict=True):
+                ids = np.append(ids, np.array([END], dtype=ids.dtype))
+                free = len(ids) * lead // 100 if told is None else min(told, len(ids) - 1)
+                waiting.add(Piece(key, 0, ids, free, len(ids)))
+                while waiting.count >= pool or waiting.tokens >= POOL_TOKENS:
                     put(waiting.fill())
-                if len(rows) >= 20_000:
-                    yield out()
+                    if len(rows) >= 20_000:
+                        yield out()
         while waiting.count:
             put(waiting.fill())
+            if len(rows) >= 20_000:
+                yield out()
         if rows:
             yield out()
 
@@ -201,18 +271,21 @@ def _packer(path: str, limits: tuple[int, int, int], pool: int, mask_first: bool
 
 def pack(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", prompt: Column | None = None,
-    tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL,
+    lead: int = LEAD, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL,
 ) -> DataFrame:
     """Pieces of all texts and their places: ``(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens)``.
 
-    ``prompt`` names the leading part of each text that bears no loss (none by
-    default; its tokens are counted on the prompt alone). Null and empty texts are
-    the closing id alone. Repeated rows are packed each for itself. No sequence
-    exceeds any of the three limits.
+    ``prompt`` names the leading part of each text that bears no loss; its tokens
+    are counted on the prompt alone, and the closing id always bears loss. Without
+    it, or where it is null, the first ``lead`` per cent of a text's ids bear none.
+    No sequence exceeds any of the three limits. Null and empty texts are the
+    closing id alone; texts of any length are cut as they are packed. Repeated rows
+    and rows with null or equal ids are packed each for itself; an empty table has
+    no pieces. Other columns are ignored, whatever their names.
     """
-    if min(tokens, segments, loss) < 1:
-        raise ValueError("every limit must be positive")
+    if min(tokens, segments, loss, pool) < 1 or not 0 <= lead < 100:
+        raise ValueError("every limit must be positive, and lead a percentage below 100")
     rows = docs.select(
         F.col(id_col).cast("long"), F.col(text_col).cast("string"), (F.lit(None).cast("string") if prompt is None else prompt)
     ).toDF("id", "text", "prompt")
-    return rows.mapInArrow(_packer(path, (tokens, segments, loss), pool, prompt is not None), SCHEMA)
+    return rows.mapInArrow(_packer(path, (tokens, segments, loss), pool, lead), SCHEMA)

@@ -29,7 +29,7 @@ def corpus(rng):
     return texts
 
 
-def check(rows, truth, tokens=1024, segments=64, loss=1024):
+def check(rows, truth, tokens=packing.TOKENS, segments=packing.SEGMENTS, loss=packing.LOSS):
     """Every id in exactly one piece, sequences gapless from 0, and no limit broken."""
     pieces, sequences = {}, {}
     for r in rows:
@@ -57,7 +57,32 @@ def test_whole_texts_are_packed_once_with_little_padding(spark):
     truth = {i: ids_of(t) for i, t in enumerate(texts)}
     frame = spark.createDataFrame([(i, t, "clash", 5) for i, t in enumerate(texts)], "doc_id long, text string, id string, prompt int").repartition(2)
     n = check(packing.pack(frame, tokenizer_path()).collect(), truth)
-    assert n <= -(-sum(map(len, truth.values())) // 1024) + 2
+    assert n <= -(-sum(map(len, truth.values())) // 1024) + 4
+
+
+def test_every_limit_binds_in_the_query(spark):
+    """On a given table all three limits are met, and few ids of padding are left."""
+    from tallyloom.llm.queries import op3_vector_packing
+
+    out = op3_vector_packing(spark, "/root/testdata/sf0.01")
+    rows = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("s"), F.sum("loss_tokens").alias("l")).collect()
+    assert max(r.n for r in rows) == packing.TOKENS and max(r.s for r in rows) == packing.SEGMENTS and max(r.l for r in rows) == packing.LOSS
+    assert sum(r.n < packing.TOKENS and r.l == packing.LOSS for r in rows) > 0
+    assert sum(r.n < packing.TOKENS and r.s == packing.SEGMENTS for r in rows) > 0
+    assert sum(r.n for r in rows) > 0.95 * packing.TOKENS * len(rows)
+
+
+def test_leading_ids_bear_no_loss(spark):
+    texts = ["one two three four " * 30, "", None, "x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = packing.pack(frame, tokenizer_path(), lead=25).groupBy("id").agg(F.sum("length").alias("n"), F.sum("loss_tokens").alias("l"))
+    assert {r.id: r.l for r in out.collect()} == {i: len(ids_of(t)) - len(ids_of(t)) * 25 // 100 for i, t in enumerate(texts)}
+
+
+def test_memory_of_words_may_be_small():
+    texts = [t or "" for t in corpus(random.Random(3))]
+    encode = packing.Encoder(tokenizer_path(), most=10)
+    assert [[*ids.tolist(), 0] for ids in encode(texts)] == [ids_of(t) for t in texts]
 
 
 def test_three_limits_hold_at_once(spark):
