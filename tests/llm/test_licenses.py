@@ -8,15 +8,18 @@ from tallyloom.llm import licenses
 SCHEMA = "doc_id long, text string, s string, labels int"
 
 
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
 def words(text):
-    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
 
 
 def pattern(template):
     """A template as a regular expression over words that each have a space before them."""
     out = ""
-    for part in re.findall(r"<<[^>]*>>|\S+", template):
+    for part in re.findall(r"<<[^>]*>>|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(re.sub(r"(<<[^>]*>>)", r" \1 ", template))):
         if part == "<<optional>>":
             out += "(?:"
         elif part == "<</optional>>":
@@ -49,11 +52,47 @@ def test_against_brute_force(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def filled(template, rng, optional):
+    """A text of the template: every optional region or none, and as few or as many words for each replaceable one."""
+    out, keep = [], [True]
+    for part in re.split(r"(<<[^>]*>>)", template):
+        if part == "<<optional>>":
+            keep.append(keep[-1] and optional)
+        elif part == "<</optional>>":
+            keep.pop()
+        elif part.startswith("<<var"):
+            least, most = map(int, part[5:-2].split())
+            out += [f"Name{i}" for i in range(rng.choice([least, most]))] if keep[-1] else []
+        elif keep[-1]:
+            out.append(part)
+    return " ".join(out)
+
+
+def test_whole_licenses_are_found_and_changed_ones_are_not(spark):
+    """Every template in both forms, in comment marks and other cases; one changed mandatory word, and it is gone."""
+    rng = random.Random(2)
+    texts, truth = [], []
+    for label, template in licenses.TEMPLATES.items():
+        for optional in (False, True):
+            text = filled(template, rng, optional)
+            lines = re.sub(r"\s*\n\s*", "\n * ", text)
+            lead = words(re.split(r"<<", template)[0])
+            for t in (text, "/*" + lines.upper() + "*/ int main() {}", "before " * 50 + text + " after " * 50):
+                texts.append(t)
+                truth.append((label, True))
+            texts.append(re.sub(rf"(?i)\b{lead[-1]}\b", "otherwise", text, count=1))
+            truth.append((label, False))
+    frame = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA)
+    out = {r.id: r for r in licenses.license_scan(frame).collect()}
+    assert [(label, label in out[i].labels.split(",")) for i, (label, _) in enumerate(truth)] == truth
+    assert [tuple(out[i])[1:7] for i in range(len(texts))] == [plain(t) for t in texts]
+
+
 def test_optional_and_replaceable_regions():
     a = licenses.Automaton("start here <<optional>> maybe <<var 1 2>> <</optional>> end <<var 0 1>>")
     run = lambda s: a.accepts(s.encode().split(), 0)
     assert [run(s) for s in ("start here end", "start here maybe x end", "start here maybe x y end z", "start here maybe end end", "start here maybe x y z end", "start there end")] == [3, 5, 7, 5, 0, 0]
-    for bad in ("<<optional>> a <</optional>>", "a <<optional>> b", "a <<what>>"):
+    for bad in ("<<optional>> a <</optional>>", "a <<optional>> b", "a <<what>>", "a <</optional>>"):
         with pytest.raises(ValueError):
             licenses.Automaton(bad)
 
