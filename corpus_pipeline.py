@@ -12,9 +12,12 @@ from tallyloom.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not find toxic."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.classify(docs, model, into="toxicity_scores").filter("not toxicity_scores.is_toxic").select(*docs.columns)
+    """Documents that the classifier chain does not find toxic.
+
+    Null and empty texts are kept, repeated rows and rows with equal ids are judged
+    each for itself, and without labels of both kinds all documents stay.
+    """
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +26,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that also stand elsewhere."""
+    """All documents, without the passages of 200 bytes or more that also stand elsewhere.
+
+    Null and short texts stay as they are, ids do not matter, and texts that occur
+    twice lose all of their bytes, in every row of them.
+    """
     return substrings.without_repeats(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs.
+
+    Null and empty texts have none. Rows that share an id are judged each by its
+    text; without benchmark items all documents stay.
+    """
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all that is left, placed in sequences."""
+    """The pieces of all that is left, placed in sequences.
+
+    A null or empty text is one piece, the closing id; repeated rows are packed each
+    for itself, and null ids stay null.
+    """
     return packing.pack(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
