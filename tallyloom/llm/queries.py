@@ -140,13 +140,18 @@ ORACLE_SQL["op4_revisit_resolution"] = r"""
 WITH b AS (
   SELECT page_id, url, md5(coalesce(html, '')) AS digest, CAST(length(html) AS VARCHAR) AS size,
     CAST(('0x' || substr(md5(coalesce(html, '')), 1, 2)) AS INTEGER) AS k,
-    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    CASE WHEN contains(url, '://') THEN string_split(substr(url, strpos(url, '://') + 3), '#')[1] END AS rest
   FROM pages),
+u AS (
+  SELECT *, string_split(rest, '?')[1] AS place, list_sort(list_filter(string_split(substr(rest, strpos(rest || '?', '?') + 1), '&'), lambda x: x <> '')) AS asked FROM b),
+h AS (
+  SELECT *, translate(string_split(place, '/')[1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
 c AS (
-  SELECT *, coalesce(nullif(regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '/+$', ''), ''), url) AS key,
+  SELECT *, CASE WHEN rest IS NULL THEN url ELSE
+      CASE WHEN starts_with(host, 'www.') THEN substr(host, 5) ELSE host END || rtrim(substr(place, length(host) + 1), '/')
+      || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS key,
     '"' || digest || '"' AS tag, 'day-' || substr(digest, 3, 3) AS day
-  FROM b),
+  FROM h),
 r AS (
   SELECT page_id * 2 AS record_id, key, page_id * 10 AS at, CASE WHEN k % 4 <> 0 THEN tag END AS etag, day AS modified, size, page_id, digest FROM c),
 v AS (

@@ -3,9 +3,10 @@
 A revisit stands for a server's "304 Not Modified". It is resolved by an as-of
 join: the latest earlier full response of the same canonical URL. The join is not
 one window per URL, as a single URL may hold a large part of a crawl. Time is cut
-at quantiles of all records into chunks; within a (URL, chunk) the latest earlier
-response is a window, and the last response of each chunk is carried over the few
-chunks of the URL.
+at quantiles of all records into chunks of about ``ROWS`` records, so there are the
+more of them the larger the crawl; within a (URL, chunk) the latest earlier response
+is a window, and the last response of each chunk is carried over the chunks of the
+URL.
 
 Validators are then checked, and headers are merged as an HTTP cache would: what
 a 304 may update comes from the revisit, what describes the stored body stays.
@@ -18,18 +19,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyloom.llm.common import written
-from tallyloom.llm.urlfilter import canonical, host, path
+from tallyloom.llm.urlfilter import host, path
 
 # Stored headers that a not-modified answer must not replace, as they describe the stored body.
 BODY_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
-#: Chunks of time.
-CHUNKS = 64
+#: Records that a chunk of time should hold.
+ROWS = 1_000_000
+#: Long chunks of time; each is cut again into as many as its records ask for.
+LONG = 64
 
 
 def canonical_url(url: Column) -> Column:
-    """A canonical form; urls without ``://`` stand for themselves."""
-    key = canonical(host(url), path(url))
-    return F.when(key == "", url).otherwise(key)
+    """The resource that a URL names: host without a leading ``www.``, path without trailing slashes, and query.
+
+    The parts of the query are put in order, as their order seldom matters, and
+    empty ones go; scheme and fragment are dropped. Urls without ``://`` stand for
+    themselves.
+    """
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    parts = F.array_join(F.array_sort(F.array_remove(F.split(query, "&"), "")), "&")
+    key = F.concat(F.regexp_replace(host(url), r"^www\.", ""), F.regexp_replace(path(url), r"/+$", ""))
+    return F.when(~url.contains("://"), url).otherwise(F.concat(key, F.when(parts == "", "").otherwise(F.concat(F.lit("?"), parts))))
+
+
+def _cuts(at: str, parts: int) -> Column:
+    """The values that cut ``at`` into ``parts`` of about equally many rows."""
+    shares = ", ".join(str(i / parts) for i in range(1, parts)) or "1.0"
+    return F.expr(f"approx_percentile({at}, array({shares}), {max(1000, 10 * parts)})")
+
+
+def _below(cuts: str) -> Column:
+    return F.size(F.filter(cuts, lambda c: c < F.col("at")))
+
+
+def in_chunks(rows: DataFrame, size: int = ROWS) -> DataFrame:
+    """``rows`` with a number ``chunk`` that grows with ``at`` and has about ``size`` rows.
+
+    Quantiles are taken twice, of all rows and within each of the ``LONG`` chunks, so
+    that a row is compared with few of them. Rows of equal ``at`` share a chunk.
+    """
+    n = rows.count()
+    finer = max(1, -(-n // (size * LONG)))
+    first = rows.join(F.broadcast(rows.agg(_cuts("at", LONG).alias("cuts"))), how="cross")  # one row on the right
+    first = first.withColumn("long_chunk", _below("cuts")).drop("cuts")
+    if finer == 1:
+        return first.withColumnRenamed("long_chunk", "chunk")
+    inner = first.groupBy("long_chunk").agg(_cuts("at", finer).alias("cuts"))  # LONG rows
+    cut = first.join(F.broadcast(inner), "long_chunk").withColumn("chunk", F.col("long_chunk") * finer + _below("cuts"))
+    return cut.drop("cuts", "long_chunk")
 
 
 def _opaque(etag: Column) -> Column:
@@ -59,7 +96,7 @@ def merged_headers(now: Column, then: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, brought))))
 
 
-def resolve(records: DataFrame, chunks: int = CHUNKS) -> DataFrame:
+def resolve(records: DataFrame, size: int = ROWS) -> DataFrame:
     """Revisits with what they stand for.
 
     ``records``: ``record_id``, ``url``, ``at`` (a long, such as epoch
@@ -69,13 +106,13 @@ def resolve(records: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     null url, at or id cannot be placed and stay unresolved. Returns for each revisit
     ``(record_id, key, at, response_id, check, resolved, headers, digest)``;
     unresolved ones have check 'no-response' or the failing validator, and only
-    their own headers. Repeated rows each get a line. Other columns are ignored.
+    their own headers. Repeated rows each get a line; an empty table gives none.
+    Urls of any length are compared whole. Other columns are ignored, whatever
+    their names.
     """
     rows = written(records.select("record_id", canonical_url(F.col("url")).alias("key"), "at", "kind", "headers", "digest"), "records")
     placeable = "key is not null and at is not null and record_id is not null"
-    cuts = rows.filter(placeable).agg(F.expr(f"approx_percentile(at, array({', '.join(str(i / chunks) for i in range(1, chunks))}), 1000)").alias("cuts"))
-    whole = rows.filter(placeable).join(F.broadcast(cuts)).withColumn("chunk", F.size(F.filter("cuts", lambda c: c < F.col("at")))).drop("cuts")
-    answer = F.when(F.col("kind") == "response", F.struct("at", "record_id", "headers", "digest"))
+    whole = in_chunks(rows.filter(placeable), size)
     # Headers and digests travel once: the window yields the id of the response, the join below brings the rest.
     order = W.partitionBy("key", "chunk").orderBy("at", "record_id")
     mark = F.when(F.col("kind") == "response", F.struct("at", "record_id"))

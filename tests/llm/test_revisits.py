@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tallyloom.llm import revisits
 
 SCHEMA = "record_id long, url string, at long, kind string, headers map<string,string>, digest string, key string, chunk int"
@@ -7,7 +9,11 @@ SCHEMA = "record_id long, url string, at long, kind string, headers map<string,s
 
 def plain(records):
     out = []
-    key = lambda u: u.removeprefix("http://").rstrip("/") if u else u
+
+    def key(url):
+        place, _, query = url.partition("#")[0].removeprefix("http://").partition("?")
+        return place.removeprefix("www.").rstrip("/"), sorted(x for x in query.split("&") if x)
+
     for rid, url, at, kind, headers, _, *_ in records:
         if kind != "revisit":
             continue
@@ -36,6 +42,7 @@ def test_against_brute_force(spark):
     rows = []
     for i in range(900):
         url = "http://hot.org/page" if rng.random() < 0.4 else f"http://h{rng.randrange(12)}.org/p{rng.randrange(9)}" + rng.choice(["", "/"])
+        url = url.replace("//", rng.choice(["//", "//www."])) + rng.choice(["", "", "?", "?id=1", "?id=2", "?id=1&b=/", "?b=/&id=1", "?&b=/&id=1#top", "#top"])
         h = {}
         if rng.random() < 0.7:
             h["etag"] = rng.choice(["", "W/"]) + f'"{rng.randrange(3)}"'
@@ -47,8 +54,8 @@ def test_against_brute_force(spark):
     rows.append((2002, "http://hot.org/page", 100, "revisit", None, None, "x", 1))
     frame = spark.createDataFrame(rows, SCHEMA)
     want = plain(rows)
-    for chunks in (64, 2):
-        got = [(r.record_id, r.response_id, r.check, r.headers, r.digest) for r in revisits.resolve(frame, chunks).collect()]
+    for size in (revisits.ROWS, 14, 3):
+        got = [(r.record_id, r.response_id, r.check, r.headers, r.digest) for r in revisits.resolve(frame, size).collect()]
         assert sorted(got, key=str) == sorted([(a, b, c, d and dict(sorted(d.items())), e) for a, b, c, d, e in want], key=str)
 
 
@@ -57,3 +64,22 @@ def test_empty_table_and_repeats(spark):
     rows = [(1, "http://a.org/", 1, "response", {"etag": '"x"'}, "d", "", 0), (2, "http://a.org", 2, "revisit", {"etag": '"x"'}, None, "", 0)]
     got = revisits.resolve(spark.createDataFrame(rows + rows[1:] + rows[:1], SCHEMA)).collect()
     assert [(r.record_id, r.response_id, r.resolved) for r in got] == [(2, 1, True)] * 2
+
+
+def test_canonical_urls(spark):
+    urls = ["http://WWW.A.org/b/?y=2&x=1#f", "https://a.org/b?x=1&y=2", "a.org/b", "http://m.a.org", "x://a?q", None, "", "http://a.org/" + "b" * 100_000]
+    out = [r.key for r in spark.createDataFrame([(u,) for u in urls], "url string").select(revisits.canonical_url(F.col("url")).alias("key")).collect()]
+    assert out == ["a.org/b?x=1&y=2", "a.org/b?x=1&y=2", "a.org/b", "m.a.org", "a?q", None, "", "a.org/" + "b" * 100_000]
+
+
+def test_another_query_is_another_resource(spark):
+    rows = [(1, "http://a.org/p?id=1", 1, "response", {"etag": '"x"'}, "d1", "", 0), (2, "http://a.org/p?id=2", 2, "response", {"etag": '"x"'}, "d2", "", 0),
+            (3, "http://a.org/p?id=1", 3, "revisit", {"etag": '"x"'}, None, "", 0)]
+    assert [(r.response_id, r.digest) for r in revisits.resolve(spark.createDataFrame(rows, SCHEMA)).collect()] == [(1, "d1")]
+
+
+def test_more_records_make_more_chunks(spark):
+    frame = spark.range(20_000).select((F.col("id") % 5000).alias("at"))
+    sizes = revisits.in_chunks(frame, 100).groupBy("chunk").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("chunk").collect()
+    assert len(sizes) > 150 and max(r.n for r in sizes) < 400
+    assert all(a.hi < b.lo for a, b in zip(sizes, sizes[1:], strict=False))
