@@ -37,6 +37,8 @@ RIDGE = 1.0
 STEPS = 30
 #: Rounds in which toxic rows are parted into kinds.
 ROUNDS = 20
+#: Rows of which sums are taken at once.
+BLOCK = 2048
 
 
 def features(labelled: DataFrame, most: int = FEATURES) -> list[tuple[str, bool]]:
@@ -81,15 +83,22 @@ def kinds(x: np.ndarray, many: int = len(KINDS), rounds: int = ROUNDS) -> np.nda
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS, rows: np.ndarray | None = None) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the bias, which is not shrunk. ``rows`` weighs the rows."""
+    """Ridge logistic regression by Newton steps; the last weight is the bias, which is not shrunk. ``rows`` weighs the rows.
+
+    Sums go over blocks of rows, so that beside ``x``, of any type, little memory is used.
+    """
     rows = np.ones(len(x)) if rows is None else rows
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    shrink = np.full(x.shape[1], ridge)
+    w = np.zeros(x.shape[1] + 1)
+    shrink = np.full(len(w), ridge)
     shrink[-1] = 1e-6
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (rows * p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (rows * (p - y)) + shrink * w)
+        slope, bend = shrink * w, np.diag(shrink)
+        for at in range(0, len(x), BLOCK):
+            part = np.column_stack([x[at : at + BLOCK].astype(float), np.ones(len(x[at : at + BLOCK]))])
+            p, of = _sigmoid(part @ w), rows[at : at + BLOCK]
+            slope = slope + part.T @ (of * (p - y[at : at + BLOCK]))
+            bend = bend + (part * (of * p * (1 - p))[:, None]).T @ part
+        step = np.linalg.solve(bend, slope)
         w -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
@@ -113,7 +122,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, rows: np.nda
             if mine.any() and (~mine).any():
                 w = fit_linear(seen[~mine], y[~mine], rows=rows[~mine])
                 apart[mine] = _sigmoid(seen[mine] @ w[:-1] + w[-1])
-        seen = np.hstack([seen, apart[:, None]])
+        seen = np.column_stack([seen, apart.astype(seen.dtype)])
     return out
 
 
@@ -173,11 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model([], [np.array([-35.0])] + [np.r_[np.zeros(k), -35.0] for k in range(1, len(CHAIN))])
     names = [w for w, _ in chosen]
     listed = F.array(*[F.lit(w) for w in names])
-    rows = labelled.select("id", "h", "y", F.array_intersect("w", listed).alias("found")).orderBy("h", "id").toPandas()  # most_rows rows at most
-    index = {w: i for i, w in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
-    for r, found in enumerate(rows["found"]):
-        x[r, [index[w] for w in found]] = 1
+    found = F.transform(F.array_intersect("w", listed), lambda w: F.array_position(listed, w).cast("short"))
+    rows = labelled.select("id", "h", "y", found.alias("found")).orderBy("h", "id").toPandas()  # most_rows rows at most
+    x = np.zeros((len(rows), len(names)), dtype=np.float32)
+    for r, places in enumerate(rows["found"]):
+        x[r, np.asarray(places, dtype=int) - 1] = 1
     y = rows["y"].to_numpy(dtype=float)
     kind = np.full(len(rows), -1)
     kind[y == 1] = kinds(x[y == 1] * np.array([speaks for _, speaks in chosen]))
