@@ -21,7 +21,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group whose five-word shingles overlap by four fifths: that of the smallest id.
+
+    Null and wordless texts are one group; of repeated rows one stays; a null id
+    counts after all others.
+    """
     return simhash.keep_one(docs)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +30,34 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_within: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What ``written`` makes in this block is removed when it ends; the function it gives writes tables that stay."""
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _within.append(path)
+
+    def lasting(df: DataFrame, name: str) -> DataFrame:
+        _within.append(shared_folder(spark))
+        try:
+            return written(df, name)
+        finally:
+            _within.pop()
+
+    try:
+        yield lasting
+    finally:
+        _within.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_within[-1] if _within else shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,44 +11,74 @@ A table's bucket that holds many fingerprints is cut again by the same
 construction over the bits that its mask leaves free, which keeps the guarantee;
 after three cuts at most 256 different fingerprints can share a bucket. Nothing
 is capped or sampled.
+
+Texts are *similar* where the sets of their five-word shingles overlap by at least
+four fifths. Fingerprints of such texts differ in ten of 64 bits and often in
+more; the masks that cover ten number 2,047. So ``similar`` adds tables keyed by
+the least of rehashed shingles to the covering ones of radius three, and confirms
+what meets in any table on the shingles themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import written
+from tallyloom.llm.common import scratch, written
 from tallyloom.llm.components import components
 
 RADIUS = 3
 BITS = 64
 SEED = 42
+#: Similar texts: words of a shingle, and the least share of two texts' shingles that both have.
+SHINGLE, LEAST = 5, 0.8
+#: Tables of least hashes, and the least hashes that make a key: a pair at LEAST misses all with probability (1 - LEAST ** 4) ** 12 < 0.002.
+BANDS, MINIMA = 12, 4
+#: Texts that are compared with one text in a task.
+ROOT_SHARE = 1000
+#: Pairs of one key that are compared in one round where several classes have found their like.
+AT_ONCE = 20_000
+#: Classes of one key that are compared with each other at once.
+FEW = 128
+#: Rounds after which what is left of a key must meet in a second table as well.
+PATIENCE = 5
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 16
 
 
-def simhash(text: str | None, shingle: int = 3) -> int:
-    """The signed 64-bit fingerprint of one text; no words: zero."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
-    if len(found) < shingle:
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _hashes(found: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of every run of ``shingle`` words, in chunks; of all words where they are fewer, of nothing where there are none."""
+    if found and len(found) < shingle:
         found, shingle = [b" ".join(found)], 1
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, dtype=np.int64)
-    n = len(found) - shingle + 1
-    for at in range(0, n, CHUNK):
+    for at in range(0, len(found) - shingle + 1, CHUNK):
         part = found[at : at + CHUNK + shingle - 1]
         joined = map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False))
-        hashes = np.array([digest(x, SEED) for x in joined], dtype="<u8")
+        yield np.array([digest(x, SEED) for x in joined], dtype="<u8")
+
+
+def simhash(text: str | None, shingle: int = 3) -> int:
+    """The signed 64-bit fingerprint of one text; no words: zero."""
+    return _fingerprint(_hashes(_words(text), shingle))
+
+
+def _fingerprint(chunks: Iterable[np.ndarray]) -> int:
+    """A bit is 1 where it is set in over half of the hashes."""
+    ones, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in chunks:
         bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS)
         ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
@@ -165,15 +195,141 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(final, "fp").select("id", "th", "fp", "root", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of every near-duplicate group: that of the smallest id, then of the smallest text hash.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A finalizer that spreads 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_COVER = np.array([mask for _, _, mask in _mask_tables(1)[0]], dtype=np.uint64)
+_REHASH = _mixed(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def sketch(text: str | None, shingle: int = SHINGLE) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text's class (its set of shingles), its keys in all tables, and half of the bits of its shingles' hashes. A wordless text has no keys.
+
+    32 bits tell the shingles of two texts apart: of 10,000 times 10,000 of them 0.02 agree by chance.
+    """
+    chunks = list(_hashes(_words(text), shingle))
+    if not chunks:
+        return xxhash.xxh3_128_digest(b""), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
+    grams = np.unique(np.concatenate(chunks))
+    least = np.full(len(_REHASH), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(grams), 4096):
+        part = grams[at : at + 4096]
+        least = np.minimum(least, _mixed(part[None, :] * _REHASH[:, None]).min(axis=1))
+    bands = np.zeros(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, MINIMA).T:
+        bands = _mixed(bands + column)
+    met = np.concatenate([np.array([_fingerprint(chunks)], dtype="<i8").view(np.uint64) & _COVER, bands])
+    few = np.unique((grams >> np.uint64(32)).astype(np.uint32))
+    return xxhash.xxh3_128_digest(grams.tobytes()), _mixed(met + np.arange(len(met), dtype=np.uint64) * _REHASH[0]), few
+
+
+def _sketched(shingle: int):
+    def lists(arrays: list[np.ndarray], signed: type) -> pa.Array:
+        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(signed)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                made = [sketch(x, shingle) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([c for c, _, _ in made], pa.binary()), lists([k for _, k, _ in made], np.int64), lists([g for _, _, g in made], np.int32)],
+                    names=["id", "th", "class", "keys", "grams"],
+                )
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(class, root)`` whose shingles overlap enough. A root that many classes ask for is dealt to several tasks."""
+    shares = pairs.groupBy("root").agg(F.ceil(F.count("*") / ROOT_SHARE).cast("int").alias("parts"))
+    shares = written(shares, "shares")
+    dealt = pairs.join(shares, "root").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    roots = grams.withColumnsRenamed({"class": "root", "grams": "others"}).join(shares, "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sides = dealt.join(grams, "class").select("class", "root", "part", "grams").join(roots.select("root", "part", "others"), ["root", "part"])
+    both = F.size(F.array_intersect("grams", "others"))
+    return sides.filter(both >= least * (F.size("grams") + F.size("others") - both)).select("class", "root")
+
+
+def _opened(members: DataFrame, first: bool) -> DataFrame:
+    """``(key, class, front, now, last, apart)`` of the keys that are not done yet; ``now``: the class is to be compared with the rest of its key.
+
+    ``front`` marks classes that have found their like. They are compared with the
+    rest all at once or, where that would be more than ``AT_ONCE`` pairs, some of
+    them, by hash; where there are none, the least of the rest goes first. A rest of
+    up to ``FEW`` classes is, after the first round, compared in itself too, and the
+    key is done (``last``). ``apart``: fewer have found their like than have not.
+    """
+    sizes = members.groupBy("key").agg(
+        F.count_if(~F.col("front")).alias("rest"), F.count_if("front").alias("found"),
+        F.min(F.when(F.col("front"), F.col("class"))).alias("one"), F.min("class").alias("least"),
+    ).filter("rest > 0 and rest + found > 1")
+    sizes = sizes.withColumn("turns", F.ceil(F.col("found") * F.col("rest") / AT_ONCE))
+    sizes = sizes.withColumn("last", F.lit(not first) & (F.col("turns") <= 1) & (F.col("rest") <= FEW))
+    some = F.col("front") & ((F.col("class") == F.col("one")) | (F.pmod(F.xxhash64("class"), F.col("turns")) == 0))
+    now = F.when(F.col("last"), True).when(F.col("found") == 0, F.col("class") == F.col("least")).otherwise(some)
+    return members.join(written(sizes, "sizes"), "key").select("key", "class", "front", now.alias("now"), "last", (F.col("found") < F.col("rest")).alias("apart"))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """``(id, th, root)`` for every row of ``docs``: ``root`` names the group of similar texts, ``th`` hashes the text.
+
+    Texts with the same shingles are one class. In every table the classes of a key
+    are compared with the least of them, what is left with those that are similar to
+    it, and so on, until each has found its like or been compared with all others of
+    its key. Where a key goes on for long and most of it is unlike, as with a passage
+    that many texts share, what is left must meet in a second table too. Null and wordless texts are
+    one group; ids may be null or repeated.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    rows = written(rows.mapInArrow(_sketched(shingle), f"id {kind}, th long, class binary, keys array<long>, grams array<int>"), "sketches")
+    classes = written(rows.groupBy("class").agg(F.first("keys").alias("keys")), "classes")
+    members = classes.select(F.explode("keys").alias("key"), "class", F.lit(False).alias("front"))
+    links, grams, rounds = None, None, 0
+    while True:
+        members = written(_opened(members, not rounds), "members")
+        if grams is None:
+            asked = members.select("class").distinct()
+            grams = written(rows.select("class", "grams").join(asked, "class", "left_semi").groupBy("class").agg(F.first("grams").alias("grams")), "grams")
+        pivots = members.filter("now").select("key", F.col("class").alias("root"), F.col("front").alias("ahead"))
+        others = members.filter("not front and (last or not now)").select("key", "class", "last")
+        met = written(others.join(pivots, "key").filter("ahead or not last or root < class").select("key", "class", "root"), "met")
+        if met.isEmpty():
+            break
+        good = written(_confirmed(met.select("class", "root").distinct(), grams, least), "links")
+        links = good if links is None else links.union(good)
+        found = met.join(good, ["class", "root"], "left_semi").select("key", "class").distinct().withColumn("new", F.lit(True))
+        rounds += 1
+        ahead = members.filter("not now").join(found, ["key", "class"], "left").select("key", "class", (F.col("front") | F.col("new").isNotNull()).alias("front"), "apart")
+        if rounds % PATIENCE == 0:
+            wider = ahead.filter("apart").join(classes, "class").select("class", "key", F.explode("keys").alias("other")).filter("key <> other")
+            second = wider.select(F.xxhash64("key", "other").alias("key"), "class", F.lit(False).alias("front")).distinct()
+            members = ahead.filter("not apart").select("key", "class", "front").union(second)
+        else:
+            members = ahead.select("key", "class", "front")
+    if links is None:
+        return rows.select("id", "th", F.col("class").alias("root"))
+    roots = components(links.withColumnsRenamed({"class": "a", "root": "b"})).withColumnRenamed("node", "class")
+    return rows.select("id", "th", "class").join(roots, "class", "left").select("id", "th", F.coalesce("root", "class").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """``docs`` with one row of every group of similar texts: that of the smallest id, then of the smallest text hash.
 
-    A null id counts after all others. Of repeated rows one stays.
+    A null id counts after all others. Of repeated rows one stays. Columns stay as
+    they are, whatever their names.
     """
-    groups = written(near_duplicates(docs, id_col, text_col), "groups")
-    least = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"))
-    keep = written(least.select(F.col("k.id").alias("keep_id"), F.col("k.th").alias("keep_th")).distinct(), "keep")
+    with scratch(docs.sparkSession) as lasting:
+        groups = written(similar(docs, id_col, text_col, shingle, least), "groups")
+        first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"))
+        keep = lasting(first.select(F.col("k.id").alias("keep_id"), F.col("k.th").alias("keep_th")).distinct(), "keep")
+        repeated = not groups.groupBy("id", "th").count().filter("count > 1").isEmpty()
     same = (F.xxhash64(docs[text_col]) == keep["keep_th"]) & docs[id_col].eqNullSafe(keep["keep_id"])
     kept = docs.join(keep, same, "left_semi")
-    repeated = groups.groupBy("id", "th").count().filter("count > 1").limit(1)
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept

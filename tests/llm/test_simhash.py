@@ -94,3 +94,70 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(90, 90), (100, 101)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def grams(text):
+    found = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {" ".join(found[i : i + 5]) for i in range(len(found) - 4)} or ({" ".join(found)} if found else set())
+
+
+def plain_groups(texts):
+    """The least position of each text's group, by comparing all pairs of shingle sets."""
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def near_copies(rng):
+    """Texts with copies that differ by some words, on either side of four fifths."""
+    texts = [None, "", " ", "one two", "ONE  two", "one two three"]
+    for n in (60, 100, 200, 400, 1000):
+        for _ in range(6):
+            base = [rng.choice(WORDS) for _ in range(n)]
+            texts.append(" ".join(base))
+            for share in (0.9, 0.85, 0.81, 0.75, 0.6):
+                other = list(base)
+                for at in rng.sample(range(n), max(1, round(n * (1 - share) / (1 + share) / 5))):
+                    other[at] = "changed"
+                texts.append(" ".join(other))
+    return texts
+
+
+def groups_of(spark, texts):
+    rows = [(i, t, "clash", 1) for i, t in enumerate(texts)]
+    out = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string, root string, keys int")).collect()
+    first = {}
+    for r in sorted(out, key=lambda r: r.id):
+        first.setdefault(r.root, r.id)
+    return [first[r.root] for r in sorted(out, key=lambda r: r.id)]
+
+
+def test_similar_texts_against_all_pairs(spark):
+    texts = near_copies(random.Random(31))
+    want = plain_groups(texts)
+    assert len(set(want)) < len(texts) * 0.7
+    assert groups_of(spark, texts) == want
+
+
+def test_a_shared_passage_makes_no_group_and_hides_none(spark, monkeypatch):
+    """Texts that share half of their words meet in some tables, round after round, and are told apart."""
+    monkeypatch.setattr(simhash, "PATIENCE", 2)
+    rng = random.Random(32)
+    passage = " ".join(rng.choice(WORDS) for _ in range(150))
+    texts = [f"{passage} " + " ".join(rng.choice(WORDS) for _ in range(90)) for _ in range(50)]
+    texts += [t.replace(" ", "  ") + " more" for t in texts[::5]]
+    assert groups_of(spark, texts) == plain_groups(texts)
+
+
+def test_one_of_each_group_stays(spark):
+    texts = near_copies(random.Random(33))
+    frame = spark.createDataFrame([(len(texts) - i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, root string")
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    want = plain_groups(texts[::-1])
+    assert sorted(r.doc_id - 1 for r in kept.collect()) == sorted(set(want))
