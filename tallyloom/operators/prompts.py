@@ -117,30 +117,45 @@ def empty_notification(host: str, date: Column, zone: str = "UTC") -> Column:
     return F.concat(_header("ℹ️", host, date, zone), F.lit("\n📭 *No Entries Found*\n\nThere was nothing to analyse in the period\\."))
 
 
+def _cut_by_bytes(line: Column, limit: int) -> Column:
+    """Pieces of at most ``limit`` bytes, each as long as whole characters allow. ASCII is cut by position, other text by characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(line), F.lit(1)), F.lit(limit))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def step(a: Column, c: Column) -> Column:
+        return F.when(
+            F.octet_length(a["now"]) + F.octet_length(c) <= limit, F.struct(a["done"].alias("done"), F.concat(a["now"], c).alias("now"))
+        ).otherwise(F.struct(F.concat(a["done"], F.array(a["now"])).alias("done"), c.alias("now")))
+
+    by_character = F.aggregate(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)), start, step, lambda a: F.concat(a["done"], F.array(a["now"])))
+    plain = F.octet_length(line) == F.length(line)
+    return F.when(plain, F.transform(starts, lambda i: F.substring(line, i, F.lit(limit)))).otherwise(by_character)
+
+
 def message_parts(message: Column, limit: int = PART_BYTES) -> Column:
-    """An array of parts of at most ``limit`` bytes, lines packed greedily, longer lines cut between characters.
+    """An array of parts of at most ``limit`` bytes; a message that fits is one part as it is.
 
-    A character has at most four bytes, so pieces of ``limit div 4`` characters
-    always fit; lines that fit as they are are not cut.
+    Lines are packed greedily, each with a line feed after it. A line that does not
+    fit with its line feed ends the part before it and is cut into parts of its own
+    between characters, to which nothing is added.
     """
-    size = limit // 4
-    def cut(s: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)), F.lit(size))
-        return F.when(F.octet_length(s) <= limit, F.array(s)).otherwise(F.transform(starts, lambda i: F.substring(s, i, F.lit(size))))
+    def pieces_of(line: Column) -> Column:
+        kept = F.array(F.struct(F.concat(line, F.lit("\n")).alias("text"), F.lit(True).alias("packs")))
+        cut = F.transform(_cut_by_bytes(line, limit), lambda p: F.struct(p.alias("text"), F.lit(False).alias("packs")))
+        return F.when(F.octet_length(line) < limit, kept).otherwise(cut)
 
-    pieces = F.flatten(F.transform(F.split(message, "\n", -1), cut))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
+    pieces = F.flatten(F.transform(F.split(message, "\n", -1), pieces_of))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    ended = lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"])))
 
-    def step(a: Column, s: Column) -> Column:
-        fits = F.octet_length(a["now"]) + 1 + F.octet_length(s) <= limit
+    def step(a: Column, p: Column) -> Column:
         return (
-            F.when(a["now"].isNull(), F.struct(a["done"].alias("done"), s.alias("now")))
-            .when(fits, F.struct(a["done"].alias("done"), F.concat(a["now"], F.lit("\n"), s).alias("now")))
-            .otherwise(F.struct(F.concat(a["done"], F.array(a["now"])).alias("done"), s.alias("now")))
+            F.when(~p["packs"], F.struct(F.concat(ended(a), F.array(p["text"])).alias("done"), F.lit("").alias("now")))
+            .when(F.octet_length(a["now"]) + F.octet_length(p["text"]) <= limit, F.struct(a["done"].alias("done"), F.concat(a["now"], p["text"]).alias("now")))
+            .otherwise(F.struct(ended(a).alias("done"), p["text"].alias("now")))
         )
 
-    packed = F.aggregate(pieces, start, step, lambda a: F.concat(a["done"], F.array(a["now"])))
-    return F.when(F.octet_length(message) <= limit, F.array(message)).otherwise(packed)
+    return F.when(F.octet_length(message) <= limit, F.array(message)).otherwise(F.aggregate(pieces, start, step, ended))
 
 
 def outbox(messages: DataFrame, alerts_configured: bool = True) -> DataFrame:

@@ -32,7 +32,7 @@ def sections(reports: DataFrame, header: str = HOST_HEADER, priority=T.host_prio
     section ``General``. Null content counts as empty.
     """
     body = F.coalesce(F.col("content"), F.lit(""))
-    bodies = F.transform(F.slice(F.split(body, header, -1), 2, 1_000_000), T.trimmed)
+    bodies = F.transform(F.slice(F.split(body, header, -1), 2, F.greatest(F.size(F.split(body, header, -1)) - 1, F.lit(0))), T.trimmed)
     pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit(header), F.lit(1)).alias("name"), bodies.alias("content"))
     named = F.when(body.rlike(header), F.transform(pairs, lambda p: F.struct(p["name"].alias("name"), p["content"].alias("content")))).otherwise(
         F.array(F.struct(F.lit("General").alias("name"), body.alias("content")))

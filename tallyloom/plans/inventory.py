@@ -412,7 +412,7 @@ def decoded_answers(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").filter("text <> ''")
     sound = F.concat(
         F.lit('Answer: {"criticalIssues": ["'), "role", F.lit('", "", {"description": "d"}, 7], "warnings": "lone", "recommendations": null, '),
-        F.substring(F.to_json(F.struct(F.lit("Good").alias("systemStatus"), F.col("text").alias("summary"))), 2, 10_000_000), F.lit(" and {more}"),
+        F.regexp_replace(F.to_json(F.struct(F.lit("Good").alias("systemStatus"), F.col("text").alias("summary"))), r"^\{", ""), F.lit(" and {more}"),
     )
     other = lambda status, summary: F.concat(F.lit("```"), F.to_json(F.struct(F.lit(status).alias("systemStatus"), summary.alias("summary"))), F.lit("```"))
     kind = F.col("turn") % 4

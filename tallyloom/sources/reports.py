@@ -120,18 +120,20 @@ def parse_watchdog_json(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_watchdog_table(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(entries, rejects)`` of tables with columns id, date, type, severity and message.
 
-    Lines up to the first header or rule line are ignored; lines with a bad id or
-    date are dropped; an unknown severity name counts as notice.
+    Fields are parted by any white space, and the message is the rest of its line.
+    Lines up to the first header or rule line are ignored, and so are later ones;
+    lines with a bad id or date are dropped; an unknown severity name counts as notice.
     """
-    pattern = r"^[\t ]*(\d+)[\t ]+(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})[\t ]+(.+?)[\t ]{2,}([A-Za-z]+)[\t ]+(.*)$"
-    rows = reports.select("report_id", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line"))
-    head = F.when(F.col("line").rlike(r"^[\t ]*(ID|-{3,})"), F.col("line_no"))
-    body = rows.withColumn("start", F.min(head).over(W.partitionBy("report_id"))).filter("line_no > start")
+    pattern = r"^\s*(\d+)\s+(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+)\s+(.*)$"
+    rows = reports.select("report_id", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line")).withColumn("line", T.trimmed(F.col("line")))
+    header = F.col("line").startswith("ID") | F.col("line").startswith("---")
+    head = F.when(header, F.col("line_no"))
+    body = rows.withColumn("start", F.min(head).over(W.partitionBy("report_id"))).filter(~header & (F.col("line_no") > F.col("start")))
     part = lambda i: F.regexp_extract("line", pattern, i)
     level = L.severity_level(F.lower(part(4)))
     entries = body.select(
         "report_id", F.col("line_no").alias("entry_no"), part(1).try_cast("bigint").alias("wid"),
-        F.unix_timestamp(F.try_to_timestamp(part(2), F.lit("yyyy-MM-dd HH:mm:ss"))).alias("timestamp"), T.trimmed(part(3)).alias("type"),
+        F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(part(2), r"\s+", " "), F.lit("yyyy-MM-dd HH:mm:ss"))).alias("timestamp"), T.trimmed(part(3)).alias("type"),
         F.when(level < 0, 5).otherwise(level).alias("severity"), T.trimmed(part(5)).alias("message"),
     ).filter("wid is not null and timestamp is not null")
     return entries, reports.join(entries, "report_id", "left_anti").select("report_id", F.lit("no entries").alias("reason"))

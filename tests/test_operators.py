@@ -111,12 +111,40 @@ def test_exclusions_and_prompts(spark):
     assert "Site: Site" in made["b"].user_prompt and "- own" in made["b"].user_prompt and "- Noise" in made["b"].system_prompt and "the log" in made["a"].user_prompt
 
 
+def plain_parts(message, limit):
+    if len(message.encode()) <= limit:
+        return [message]
+    parts, now = [], ""
+    for line in message.split("\n"):
+        if len(line.encode()) < limit:
+            if len((now + line).encode()) + 1 > limit:
+                parts, now = [*parts, now], ""
+            now += line + "\n"
+            continue
+        parts, now = [*parts, now] if now else parts, ""
+        piece = ""
+        for c in line:
+            if len((piece + c).encode()) > limit:
+                parts, piece = [*parts, piece], ""
+            piece += c
+        parts.append(piece)
+    return [*parts, now] if now else parts
+
+
 def test_messages_are_split_by_bytes_without_loss(spark):
-    texts = ["short", "x" * 9000, "\n".join("é" * 700 for _ in range(9)), "a\n\nb"]
+    texts = ["", "short", "x" * 4096, "x" * 4097, "x" * 9000, "\n".join("é" * 700 for _ in range(9)), "a\n\nb", "é" * 5000, "a" + "é" * 5000 + "\nend", "b\n" + "🙂" * 3000,
+             "\n" * 5000, "line\n" * 1500, "one\n" + "x" * 4095 + "\n" + "y" * 4096 + "\ntwo"]
     frame = spark.createDataFrame([(t,) for t in texts], "m string")
     out = [r.p for r in frame.select(prompts.message_parts(F.col("m")).alias("p")).collect()]
     assert all(len(p.encode()) <= prompts.PART_BYTES for parts in out for p in parts)
-    assert ["".join(p).replace("\n", "") for p in out] == [t.replace("\n", "") for t in texts]
+    assert out == [plain_parts(t, prompts.PART_BYTES) for t in texts]
+    assert out_of(spark, "x" * 5000).p == ["x" * 4096, "x" * 904]
+    # Nothing is lost or added but the line feed after the last line of a message that is split.
+    assert all("".join(p).replace("\n", "") == t.replace("\n", "") for p, t in zip(out, texts, strict=True))
+
+
+def out_of(spark, text):
+    return spark.createDataFrame([(text,)], "m string").select(prompts.message_parts(F.col("m")).alias("p")).first()
 
 
 def test_extension_points(spark):
