@@ -120,16 +120,19 @@ def parse_watchdog_json(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_watchdog_table(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(entries, rejects)`` of tables with columns id, date, type, severity and message.
 
-    Fields are parted by any white space, and the message is the rest of its line.
+    Fields are parted by any white space, and the message is the rest of its line; a
+    type of several words is taken where two blanks and a known severity follow it.
     Lines up to the first header or rule line are ignored, and so are later ones;
     lines with a bad id or date are dropped; an unknown severity name counts as notice.
     """
-    pattern = r"^\s*(\d+)\s+(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+)\s+(.*)$"
+    begin = r"^\s*(\d+)\s+(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\s+"
+    narrow, wide = begin + r"(\S+)\s+(\S+)\s+(.*)$", begin + r"(.+?)\s{2,}([A-Za-z]+)\s+(.*)$"
     rows = reports.select("report_id", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line")).withColumn("line", T.trimmed(F.col("line")))
     header = F.col("line").startswith("ID") | F.col("line").startswith("---")
     head = F.when(header, F.col("line_no"))
     body = rows.withColumn("start", F.min(head).over(W.partitionBy("report_id"))).filter(~header & (F.col("line_no") > F.col("start")))
-    part = lambda i: F.regexp_extract("line", pattern, i)
+    spaced = L.severity_level(F.lower(F.regexp_extract("line", wide, 4))) >= 0
+    part = lambda i: F.when(spaced, F.regexp_extract("line", wide, i)).otherwise(F.regexp_extract("line", narrow, i))
     level = L.severity_level(F.lower(part(4)))
     entries = body.select(
         "report_id", F.col("line_no").alias("entry_no"), part(1).try_cast("bigint").alias("wid"),

@@ -59,9 +59,9 @@ def test_missing_fields_are_zero(spark):
 
 
 def test_watchdog_table(spark):
-    text = "9  2026-01-01 00:00:00  php  error  early\n ID  Date  Type  Severity  Message\n ----  ----\n 7   2026-01-02 03:04:05   access   warning   no way in\n 8  2026-01-02 03:04:06  cron  odd  done\n x  2026-01-02 03:04:06  cron  info  bad id\n 9  2026-13-02 03:04:06  cron  info  bad date\n11 2026-01-02 03:04:05 php error it broke\n ID again"
+    text = "9  2026-01-01 00:00:00  php  error  early\n ID  Date  Type  Severity  Message\n ----  ----\n 7   2026-01-02 03:04:05   access denied   warning   no way in\n 8  2026-01-02 03:04:06  cron  odd  done\n x  2026-01-02 03:04:06  cron  info  bad id\n 9  2026-13-02 03:04:06  cron  info  bad date\n11 2026-01-02 03:04:05 php error it broke\n ID again"
     entries, rejects = R.parse_watchdog_table(one(spark, text))
-    assert sorted((r.wid, r.type, r.severity, r.message) for r in entries.collect()) == [(7, "access", 4, "no way in"), (8, "cron", 5, "done"), (11, "php", 3, "it broke")]
+    assert sorted((r.wid, r.type, r.severity, r.message) for r in entries.collect()) == [(7, "access denied", 4, "no way in"), (8, "cron", 5, "done"), (11, "php", 3, "it broke")]
     assert rejects.count() == 0
     assert R.parse_watchdog_table(one(spark, " ID  Date"))[1].count() == 1
 
