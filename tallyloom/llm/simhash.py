@@ -16,7 +16,8 @@ Texts are *similar* where the sets of their five-word shingles overlap by at lea
 four fifths. Fingerprints of such texts differ in ten of 64 bits and often in
 more; the masks that cover ten number 2,047. So ``similar`` adds tables keyed by
 the least of rehashed shingles to the covering ones of radius three, and confirms
-what meets in any table on the shingles themselves.
+what meets in any table on the shingles themselves, first with one text of each key,
+then between blocks of texts that are still in different groups.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import scratch, written
@@ -42,12 +43,12 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, MINIMA = 12, 4
 #: Texts that are compared with one text in a task.
 ROOT_SHARE = 1000
-#: Pairs of one key that are compared in one round where several classes have found their like.
-AT_ONCE = 20_000
-#: Classes of one key that are compared with each other at once.
-FEW = 128
-#: Rounds after which what is left of a key must meet in a second table as well.
-PATIENCE = 5
+#: A block of one key's classes: about so many classes, or so many shingles.
+BLOCK, BLOCK_GRAMS = 256, 1 << 20
+#: Blocks of one key beyond which its classes meet by their rarest shingles.
+MANY = 16
+#: Shingles that are compared at once.
+COLUMNS = 4096
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -256,65 +257,125 @@ def _confirmed(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
     return sides.filter(both >= least * (F.size("grams") + F.size("others") - both)).select("class", "root")
 
 
-def _opened(members: DataFrame, first: bool) -> DataFrame:
-    """``(key, class, front, now, last, apart)`` of the keys that are not done yet; ``now``: the class is to be compared with the rest of its key.
+def _unlike(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``(key, class, root, size)`` of the keys whose classes ``links`` leave in several groups; of keys with the same classes one."""
+    roots = components(links.withColumnsRenamed({"class": "a", "root": "b"})).withColumnsRenamed({"node": "class", "root": "known"})
+    rooted = written(members.join(roots, "class", "left").select("key", "class", "size", F.coalesce("known", "class").alias("root")), "rooted")
+    mark = lambda seed: F.sum(F.xxhash64("class", F.lit(seed)).cast("decimal(38,0)"))
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y"))
+    keys = keys.filter("low < high").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return written(rooted.join(keys, "key", "left_semi"), "unlike")
 
-    ``front`` marks classes that have found their like. They are compared with the
-    rest all at once or, where that would be more than ``AT_ONCE`` pairs, some of
-    them, by hash; where there are none, the least of the rest goes first. A rest of
-    up to ``FEW`` classes is, after the first round, compared in itself too, and the
-    key is done (``last``). ``apart``: fewer have found their like than have not.
+
+def _rarest(classes: DataFrame, grams: DataFrame, least: float) -> DataFrame:
+    """``(key, class, size)``: every class under each of its rarest shingles, as many as leave fewer than the share that two similar sets must have in common.
+
+    Two sets that overlap by ``least`` have one of those in common, however often their other shingles occur.
+    """
+    each = classes.join(grams, "class").select("class", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    each = written(each, "shingles")
+    ranked = each.join(each.groupBy("gram").agg(F.count("*").alias("often")), "gram").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("class").orderBy("often", "gram"))
+    )
+    taken = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
+    return ranked.filter(F.col("rank") <= taken).select(F.col("gram").cast("long").alias("key"), "class", "size")
+
+
+def _between(least: float):
+    """Links that join groups within one pair of blocks: a forest, not all pairs."""
+
+    def run(block: pa.Table) -> pa.Table:
+        names, roots = block.column("class").to_pylist(), block.column("root").to_pylist()
+        here = np.array(block.column("here").to_pylist(), dtype=bool)
+        arrays = [np.asarray(x.values) for x in block.column("grams")]
+        sizes = np.array([len(x) for x in arrays], dtype=np.int64)
+        rows, values = np.repeat(np.arange(len(names)), sizes), np.concatenate(arrays)
+        _, column, often = np.unique(values, return_inverse=True, return_counts=True)
+        shared = often[column] > 1
+        rows, column = rows[shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        one, two = (np.flatnonzero(here), np.flatnonzero(~here))
+        two = two if len(two) else one
+        both = np.zeros((len(one), len(two)), dtype=np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+            held = np.zeros((len(names), COLUMNS), dtype=np.float32)
+            held[rows[lo:hi], column[lo:hi] - at] = 1
+            both += held[one] @ held[two].T
+        both = both.astype(np.float64)
+        near = both >= least * (sizes[one][:, None] + sizes[two][None, :] - both)
+        parent = {r: r for r in roots}
+
+        def top(r):
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        out = []
+        for i, j in np.argwhere(near):
+            i, j = one[i], two[j]
+            x, y = top(roots[i]), top(roots[j])
+            if x != y:
+                parent[y] = x
+                out.append((names[i], names[j]))
+        return pa.table({"class": pa.array([a for a, _ in out], pa.binary()), "root": pa.array([b for _, b in out], pa.binary())})
+
+    return run
+
+
+def _settled(unlike: DataFrame, grams: DataFrame, least: float) -> DataFrame:
+    """Links between the groups of every key: its classes are dealt to blocks by size and hash, and pairs of blocks are compared in tasks.
+
+    A block holds about ``BLOCK`` classes or ``BLOCK_GRAMS`` shingles. Sizes of similar
+    sets differ by at most one size class, so only those blocks are paired.
     """
-    sizes = members.groupBy("key").agg(
-        F.count_if(~F.col("front")).alias("rest"), F.count_if("front").alias("found"),
-        F.min(F.when(F.col("front"), F.col("class"))).alias("one"), F.min("class").alias("least"),
-    ).filter("rest > 0 and rest + found > 1")
-    sizes = sizes.withColumn("turns", F.ceil(F.col("found") * F.col("rest") / AT_ONCE))
-    sizes = sizes.withColumn("last", F.lit(not first) & (F.col("turns") <= 1) & (F.col("rest") <= FEW))
-    some = F.col("front") & ((F.col("class") == F.col("one")) | (F.pmod(F.xxhash64("class"), F.col("turns")) == 0))
-    now = F.when(F.col("last"), True).when(F.col("found") == 0, F.col("class") == F.col("least")).otherwise(some)
-    return members.join(written(sizes, "sizes"), "key").select("key", "class", "front", now.alias("now"), "last", (F.col("found") < F.col("rest")).alias("apart"))
+    tier = F.floor(F.log("size") / F.log(F.lit(1 / least)) + 1e-9).cast("long")
+    unlike = unlike.withColumn("tier", tier)
+    weight = F.sum(F.greatest(F.lit(1 / BLOCK), F.col("size") / BLOCK_GRAMS))
+    cells = written(unlike.groupBy("key", "tier").agg(F.ceil(weight).cast("long").alias("parts")), "cells")
+    blocks = cells.select("key", "tier", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    dealt = unlike.join(cells, ["key", "tier"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")))
+    other = blocks.select("key", F.col("tier").alias("tier2"), F.col("part").alias("part2"))
+    paired = blocks.join(other, "key").filter("tier2 = tier + 1 or tier2 = tier and part2 >= part")
+    sides = F.array(F.struct("tier", "part", F.lit(True).alias("here")), F.struct(F.col("tier2").alias("tier"), F.col("part2").alias("part"), F.lit(False).alias("here")))
+    place = F.struct("tier", "part", "tier2", "part2").alias("pair")
+    sides = paired.select("key", place, F.explode(F.when(F.expr("tier = tier2 and part = part2"), F.slice(sides, 1, 1)).otherwise(sides)).alias("side"))
+    sides = sides.select("key", "pair", "side.*")
+    shipped = dealt.join(sides, ["key", "tier", "part"]).select("key", "pair", "class", "root", "here").join(grams, "class")
+    return shipped.groupBy("key", "pair").applyInArrow(_between(least), "class binary, root binary")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """``(id, th, root)`` for every row of ``docs``: ``root`` names the group of similar texts, ``th`` hashes the text.
 
     Texts with the same shingles are one class. In every table the classes of a key
-    are compared with the least of them, what is left with those that are similar to
-    it, and so on, until each has found its like or been compared with all others of
-    its key. Where a key goes on for long and most of it is unlike, as with a passage
-    that many texts share, what is left must meet in a second table too. Null and wordless texts are
-    one group; ids may be null or repeated.
+    are compared with the least of them. Keys whose classes are then still in several
+    groups are compared block by block, without the pairs that are in one group
+    already. Where such a key holds more than ``MANY`` blocks, as with a passage that
+    very many texts share, its classes meet by their rarest shingles first, which
+    loses no pair. Null and wordless texts are one group; ids may be null or repeated.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     rows = written(rows.mapInArrow(_sketched(shingle), f"id {kind}, th long, class binary, keys array<long>, grams array<int>"), "sketches")
-    classes = written(rows.groupBy("class").agg(F.first("keys").alias("keys")), "classes")
-    members = classes.select(F.explode("keys").alias("key"), "class", F.lit(False).alias("front"))
-    links, grams, rounds = None, None, 0
-    while True:
-        members = written(_opened(members, not rounds), "members")
-        if grams is None:
-            asked = members.select("class").distinct()
-            grams = written(rows.select("class", "grams").join(asked, "class", "left_semi").groupBy("class").agg(F.first("grams").alias("grams")), "grams")
-        pivots = members.filter("now").select("key", F.col("class").alias("root"), F.col("front").alias("ahead"))
-        others = members.filter("not front and (last or not now)").select("key", "class", "last")
-        met = written(others.join(pivots, "key").filter("ahead or not last or root < class").select("key", "class", "root"), "met")
-        if met.isEmpty():
-            break
-        good = written(_confirmed(met.select("class", "root").distinct(), grams, least), "links")
-        links = good if links is None else links.union(good)
-        found = met.join(good, ["class", "root"], "left_semi").select("key", "class").distinct().withColumn("new", F.lit(True))
-        rounds += 1
-        ahead = members.filter("not now").join(found, ["key", "class"], "left").select("key", "class", (F.col("front") | F.col("new").isNotNull()).alias("front"), "apart")
-        if rounds % PATIENCE == 0:
-            wider = ahead.filter("apart").join(classes, "class").select("class", "key", F.explode("keys").alias("other")).filter("key <> other")
-            second = wider.select(F.xxhash64("key", "other").alias("key"), "class", F.lit(False).alias("front")).distinct()
-            members = ahead.filter("not apart").select("key", "class", "front").union(second)
-        else:
-            members = ahead.select("key", "class", "front")
-    if links is None:
+    classes = rows.groupBy("class").agg(F.first("keys").alias("keys"), F.first(F.size("grams")).alias("size"))
+    members = written(classes.select(F.explode("keys").alias("key"), "class", "size"), "members")
+    keys = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("least")).filter("n > 1"), "keys")
+    met = written(members.join(keys, "key").select("key", "class", "size", "n", F.col("least").alias("root")), "met")
+    if met.isEmpty():
         return rows.select("id", "th", F.col("class").alias("root"))
+    asked = met.select("class").distinct()
+    grams = written(rows.select("class", "grams").join(asked, "class", "left_semi").groupBy("class").agg(F.first("grams").alias("grams")), "grams")
+    links = written(_confirmed(met.filter("class > root").select("class", "root").distinct(), grams, least), "links")
+    left = _unlike(met.filter("n > 2 and class > root").select("key", "class", "size"), links)
+    weight = F.sum(F.greatest(F.lit(1 / BLOCK), F.col("size") / BLOCK_GRAMS))
+    dense = written(left.groupBy("key").agg(weight.alias("blocks")).filter(F.col("blocks") > MANY).select("key"), "dense")
+    links = links.union(written(_settled(left.join(dense, "key", "left_anti"), grams, least), "links"))
+    if not dense.isEmpty():
+        hot = left.join(dense, "key", "left_semi").select("class").distinct()
+        links = links.union(written(_settled(_unlike(_rarest(hot, grams, least), links), grams, least), "links"))
     roots = components(links.withColumnsRenamed({"class": "a", "root": "b"})).withColumnRenamed("node", "class")
     return rows.select("id", "th", "class").join(roots, "class", "left").select("id", "th", F.coalesce("root", "class").alias("root"))
 

@@ -145,13 +145,16 @@ def test_similar_texts_against_all_pairs(spark):
 
 
 def test_a_shared_passage_makes_no_group_and_hides_none(spark, monkeypatch):
-    """Texts that share half of their words meet in some tables, round after round, and are told apart."""
-    monkeypatch.setattr(simhash, "PATIENCE", 2)
+    """Texts that share half of their words meet in some tables and are told apart, in one block, in many, and by their rarest shingles."""
     rng = random.Random(32)
     passage = " ".join(rng.choice(WORDS) for _ in range(150))
     texts = [f"{passage} " + " ".join(rng.choice(WORDS) for _ in range(90)) for _ in range(50)]
     texts += [t.replace(" ", "  ") + " more" for t in texts[::5]]
-    assert groups_of(spark, texts) == plain_groups(texts)
+    want = plain_groups(texts)
+    for block, many in ((256, 16), (8, 1000), (8, 1)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "MANY", many)
+        assert groups_of(spark, texts) == want
 
 
 def test_one_of_each_group_stays(spark):
