@@ -25,8 +25,8 @@ HASHES = "#" * 19
 SECTION = ["report_id", "section_no"]
 
 
-def sections(reports: DataFrame, header: str = HOST_HEADER, priority=T.host_priority) -> DataFrame:
-    """``(report_id, section_no, name, content, priority)``.
+def sections(reports: DataFrame, header: str = HOST_HEADER, priority=T.host_priority, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``(report_id, section_no, name, content, priority)`` and the ``carried`` columns of the report.
 
     Text before the first header goes; without a header the whole content is one
     section ``General``. Null content counts as empty.
@@ -37,7 +37,7 @@ def sections(reports: DataFrame, header: str = HOST_HEADER, priority=T.host_prio
     named = F.when(body.rlike(header), F.transform(pairs, lambda p: F.struct(p["name"].alias("name"), p["content"].alias("content")))).otherwise(
         F.array(F.struct(F.lit("General").alias("name"), body.alias("content")))
     )
-    out = reports.select("report_id", F.posexplode(named).alias("section_no", "s")).select("report_id", "section_no", "s.name", "s.content")
+    out = reports.select("report_id", *carried, F.posexplode(named).alias("section_no", "s")).select("report_id", *carried, "section_no", "s.name", "s.content")
     return out.withColumn("priority", priority(F.col("name"), F.col("content")))
 
 
@@ -51,7 +51,8 @@ def collapse(lined: DataFrame, norm, least: int, suffix, closing_line: bool) ->
     """Lines of one normal form become their first, with a count.
 
     Sections of up to ``least`` lines stay. Blank lines stay as they are.
-    ``closing_line`` adds the empty last line that rejoined host sections get.
+    ``closing_line`` adds the empty last line that rejoined host sections get; it
+    comes with a section's first line, which always stays, so no second pass is needed.
     """
     keys = [c for c in lined.columns if c not in ("line_no", "line")]
     with_norm = lined.withColumn("norm", norm(F.col("line")))
@@ -63,11 +64,11 @@ def collapse(lined: DataFrame, norm, least: int, suffix, closing_line: bool) ->
     long = F.col("_lines") > least
     kept = counted.filter(~long | (F.col("norm") == "") | (F.col("_first") == 1))
     text = F.when(long & (F.col("norm") != "") & (F.col("_times") > 1), F.concat("line", suffix(F.col("_times")))).otherwise(F.col("line"))
-    out = kept.select(*keys, "line_no", text.alias("line"), long.alias("_long"))
-    if closing_line:
-        last = out.filter("_long").groupBy(*keys).agg((F.max("line_no") + 1).alias("line_no")).select(*keys, "line_no", F.lit("").alias("line"), F.lit(True).alias("_long"))
-        out = out.union(last)
-    return out.drop("_long")
+    if not closing_line:
+        return kept.select(*keys, "line_no", text.alias("line"))
+    own = F.struct("line_no", text.alias("line"))
+    closing = F.struct(F.col("_lines").cast("int").alias("line_no"), F.lit("").alias("line"))
+    return kept.select(*keys, F.inline(F.when(long & (F.col("line_no") == 0), F.array(own, closing)).otherwise(F.array(own))))
 
 
 def collapse_host(lined: DataFrame) -> DataFrame:
@@ -87,10 +88,15 @@ def gathered(lined: DataFrame) -> DataFrame:
     return lined.groupBy(*keys).agg(F.transform(listed, lambda s: s["line"]).alias("lines"))
 
 
+def kept_lines(n: Column, ratio: Column) -> Column:
+    """W2's ``max(1, ceil(n * ratio))``."""
+    return F.greatest(F.ceil(n * ratio), F.lit(1)).cast("int")
+
+
 def keep_head(listed: Column, ratio: Column, omitted) -> Column:
     """The first ``max(1, ceil(n * ratio))`` lines with a note of what is left out; a ratio of 1 changes nothing."""
     n = F.size(listed)
-    k = F.greatest(F.ceil(n * ratio), F.lit(1)).cast("int")
+    k = kept_lines(n, ratio)
     head = F.concat(F.array_join(F.slice(listed, 1, k), "\n"), F.lit("\n"))
     note = F.when(k < n, omitted((n - k).cast("string"))).otherwise(F.lit(""))
     return F.when(ratio >= 1, F.array_join(listed, "\n")).otherwise(F.concat(head, note))
@@ -105,25 +111,29 @@ def cms_note(k: Column) -> Column:
 
 
 def essential_lines(lined: DataFrame) -> DataFrame:
-    """``(report_id, section_no, name, essential)``: first two lines, then telling ones, then the last two.
+    """The section's columns and ``essential``: first two lines, then telling ones, then the last two.
 
-    Blank lines and repeated normal forms go. Sections of up to six lines stay as
-    they are; if nothing is kept, the first three lines are tried.
+    ``line_no`` counts the given lines from 0 without gaps. Blank lines and repeated
+    normal forms go. Sections of up to six lines stay as they are; if nothing is
+    kept, the third line is tried too.
     """
-    whole = W.partitionBy(*SECTION)
-    placed = lined.withColumn("n", F.count("*").over(whole))
-    phases = F.array(
-        F.when(F.col("line_no") < 2, 1), F.when(T.is_essential_host_line(F.col("line")), 2), F.when(F.col("line_no") >= F.col("n") - 2, 3)
+    keys = [c for c in lined.columns if c not in ("line_no", "line")]
+    n = F.count("*").over(W.partitionBy(*SECTION))
+    bare = F.regexp_replace("line", r"\r+\z", "")
+    phase = F.when(F.col("line_no") < 2, 1).when(T.is_essential_host_line(F.col("line")), 2).when(F.col("line_no") >= F.col("n") - 2, 3)
+    placed = lined.withColumn("n", n).withColumn("phase", F.when((F.col("n") > 6) & (T.trimmed(F.col("line")) != ""), phase))
+    normed = placed.withColumn("norm", F.when(F.col("phase").isNotNull(), T.host_normal_form(bare)))
+    once = normed.withColumn("r", F.row_number().over(W.partitionBy(*SECTION, "norm").orderBy("phase", "line_no")))
+    pick = F.when(F.col("phase").isNotNull() & (F.col("r") == 1), F.struct("phase", "line_no", bare.alias("line")))
+    listed = once.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]).alias("lines"),
+        F.transform(F.array_sort(F.collect_list(pick)), lambda s: s["line"]).alias("found"),
     )
-    picked = placed.filter("n > 6").select("report_id", "section_no", "line_no", F.regexp_replace("line", r"\r+\z", "").alias("line"), F.explode(F.array_compact(phases)).alias("phase"))
-    picked = picked.filter(T.trimmed(F.col("line")) != "").withColumn("norm", T.host_normal_form(F.col("line")))
-    once = picked.withColumn("r", F.row_number().over(W.partitionBy(*SECTION, "norm").orderBy("phase", "line_no"))).filter("r = 1")
-    found = once.groupBy(*SECTION).agg(F.transform(F.array_sort(F.collect_list(F.struct("phase", "line_no", "line"))), lambda s: s["line"]).alias("kept"))
-    base = gathered(lined.select("report_id", "section_no", "name", "line_no", "line")).join(found, SECTION, "left")
-    kept = F.coalesce("kept", F.array().cast("array<string>"))
-    left_out = F.size("lines") - F.size(kept)
-    noted = F.when(left_out > 0, F.concat(kept, F.array(F.concat(F.lit("[... "), left_out.cast("string"), F.lit(" more lines omitted for brevity ...]"))))).otherwise(kept)
-    return base.select("report_id", "section_no", "name", F.when(F.size("lines") <= 6, F.array_join("lines", "\n")).otherwise(F.array_join(noted, "\n")).alias("essential"))
+    third = F.regexp_replace(F.get("lines", F.lit(2)), r"\r+\z", "")
+    listed = listed.withColumn("kept", F.when((F.size("found") == 0) & (T.trimmed(third) != ""), F.array(third)).otherwise(F.col("found")))
+    left_out = F.size("lines") - F.size("kept")
+    noted = F.when(left_out > 0, F.concat("kept", F.array(F.concat(F.lit("[... "), left_out.cast("string"), F.lit(" more lines omitted for brevity ...]"))))).otherwise(F.col("kept"))
+    return listed.select(*keys, F.when(F.size("lines") <= 6, F.array_join("lines", "\n")).otherwise(F.array_join(noted, "\n")).alias("essential"))
 
 
 def trim_to_budget(content: Column, budget: Column) -> Column:
@@ -147,43 +157,78 @@ def trim_to_budget(content: Column, budget: Column) -> Column:
     return F.when((budget <= 0) | (T.estimate_tokens(content) <= budget), content).when(best > 0, cut).otherwise(notice)
 
 
-def _rendered(secs: Column, ratios: tuple[float, float, float]) -> Column:
-    """R2 for host sections, each with what its priority keeps."""
-    def one(s: Column) -> Column:
-        ratio = F.when(s["priority"] == 1, ratios[0]).when(s["priority"] == 3, ratios[2]).otherwise(ratios[1])
-        return F.concat(F.lit(f"\n{HASHES} "), s["name"], F.lit(f" {HASHES}\n"), keep_head(s["lines"], ratio, host_note), F.lit("\n"))
+def heading(name: Column) -> Column:
+    """R2: the line above a host section."""
+    return F.concat(F.lit(f"\n{HASHES} "), name, F.lit(f" {HASHES}\n"))
+
 
-    return F.array_join(F.transform(secs, one), "")
+def ladder_ratios(priority: Column) -> Column:
+    """What a section of this priority keeps on each step, as an array."""
+    high, medium, low = (F.array(*map(F.lit, step)) for step in zip(*LADDER))
+    return F.when(priority == 1, high).when(priority == 3, low).otherwise(medium)
+
+
+def ladder_sizes(name: Column, priority: Column, sizes: Column) -> Column:
+    """Bytes ``b`` and words ``w`` that a rendered section takes on each step, from those of its lines.
+
+    Both add up: lines are joined by line feeds, and headings, notes and sections
+    end in one. So no step's text has to be made in order to measure it.
+    """
+    n = F.size(sizes)
+
+    def step(ratio: Column) -> Column:
+        k = F.when(ratio >= 1, n).otherwise(kept_lines(n, ratio))
+        note = F.when(k < n, host_note((n - k).cast("string"))).otherwise(F.lit(""))
+        feeds = k + F.when(ratio >= 1, 0).otherwise(1)
+        start = F.struct(
+            (F.octet_length(heading(name)) + F.octet_length(note) + feeds).cast("long").alias("b"),
+            (T.n_words(heading(name)) + T.n_words(note)).cast("long").alias("w"),
+        )
+        return F.aggregate(F.slice(sizes, 1, k), start, lambda a, s: F.struct((a["b"] + s["b"]).alias("b"), (a["w"] + s["w"]).alias("w")))
+
+    return F.transform(ladder_ratios(priority), step)
+
+
+def _measured(collapsed: DataFrame) -> DataFrame:
+    """``(report_id, budget, level, secs)``: the sections of a report, and the first step of the ladder that fits, or null."""
+    keys = ["report_id", "budget", "section_no", "name", "priority"]
+    sized = F.struct("line_no", "line", F.octet_length("line").cast("long").alias("b"), T.n_words(F.col("line")).cast("long").alias("w"))
+    listed = collapsed.groupBy(*keys).agg(F.array_sort(F.collect_list(sized)).alias("listed"))
+    steps = ladder_sizes(F.col("name"), F.col("priority"), F.col("listed"))
+    per_section = listed.select(*keys, F.col("listed.line").alias("lines"), steps.alias("steps"))
+    totals = [F.sum(F.col("steps")[i][part]).alias(f"{part}{i}") for i in range(len(LADDER)) for part in "bw"]
+    secs = F.array_sort(F.collect_list(F.struct("section_no", "name", "priority", "lines"))).alias("secs")
+    level = F.coalesce(*[F.when(T.tokens_of(F.col(f"b{i}"), F.col(f"w{i}")) <= F.col("budget"), i + 1) for i in range(len(LADDER))])
+    return per_section.groupBy("report_id", "budget").agg(secs, *totals).select("report_id", "budget", level.alias("level"), "secs")
 
 
 def fit_host_reports(reports: DataFrame, budget: Column) -> DataFrame:
     """``(report_id, level, content)``: the first step of the ladder whose text fits the budget.
 
     Level 0 is the report as it is, 1 to 5 are the ladder after collapsing, 6 the
-    essential lines, 7 those cut to the budget. Reports that fit at once take no
-    part in the rest. A step's text is made only where the steps before do not fit.
+    essential lines of what collapsing left, 7 those cut to the budget. Reports that
+    fit at once take no part in the rest. Sums of line sizes choose the step, and
+    its text alone is made.
     """
     sized = reports.select("report_id", F.coalesce("content", F.lit("")).alias("content"), budget.alias("budget"))
     fits = T.estimate_tokens(F.col("content")) <= F.col("budget")
     easy = sized.filter(fits).select("report_id", F.lit(0).alias("level"), "content")
-    hard = sized.filter(~fits)
-    collapsed = collapse_host(lines(sections(hard)))
-    per_report = gathered(collapsed).groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "name", "priority", "lines"))).alias("secs"))
-    tried = per_report.join(hard.select("report_id", "budget"), "report_id")
-    steps = F.lit(None).cast("struct<level:int,content:string>")
-    for level, ratios in reversed(list(enumerate(LADDER, 1))):
-        text = _rendered(F.col("secs"), ratios)
-        steps = F.when(T.estimate_tokens(text) <= F.col("budget"), F.struct(F.lit(level).alias("level"), text.alias("content"))).otherwise(steps)
-    tried = tried.select("report_id", "budget", steps.alias("won"))
-    essential = essential_lines(collapsed.join(tried.filter("won is null").select("report_id"), "report_id", "left_semi"))
-    tail = essential.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "name", "essential"))).alias("secs"))
-    joined = F.array_join(F.transform("secs", lambda s: F.concat(F.lit(f"\n{HASHES} "), s["name"], F.lit(f" {HASHES}\n"), s["essential"], F.lit("\n"))), "")
-    tail = tail.select("report_id", joined.alias("text")).join(hard.select("report_id", "budget"), "report_id")
-    tail = tail.select(
+    measured = _measured(collapse_host(lines(sections(sized.filter(~fits), carried=("budget",)))))
+
+    def one(s: Column) -> Column:
+        ratio = F.element_at(ladder_ratios(s["priority"]), F.col("level"))
+        return F.concat(heading(s["name"]), keep_head(s["lines"], ratio, host_note), F.lit("\n"))
+
+    won = measured.filter("level is not null").select("report_id", "level", F.array_join(F.transform("secs", one), "").alias("content"))
+    beyond = measured.filter("level is null").select("report_id", "budget", F.inline("secs"))
+    essential = essential_lines(beyond.select("report_id", "budget", "section_no", "name", F.posexplode("lines").alias("line_no", "line")))
+    tail = essential.groupBy("report_id", "budget").agg(F.array_sort(F.collect_list(F.struct("section_no", "name", "essential"))).alias("secs"))
+    joined = F.array_join(F.transform("secs", lambda s: F.concat(heading(s["name"]), s["essential"], F.lit("\n"))), "")
+    tail = tail.select("report_id", "budget", joined.alias("text")).select(
         "report_id", F.when(T.estimate_tokens(F.col("text")) <= F.col("budget"), 6).otherwise(7).alias("level"),
         trim_to_budget(F.col("text"), F.col("budget")).alias("content"),
     )
-    return easy.union(tried.filter("won is not null").select("report_id", "won.level", "won.content")).union(tail)
+    return easy.union(won).union(tail)
 
 
 def fit_cms_reports(reports: DataFrame, budget: Column) -> DataFrame:

@@ -40,6 +40,110 @@ def test_reports_fit_their_budget(spark, budget):
     assert all(r.n <= budget for r in sizes)
 
 
+def plain_ladder(text, budget):
+    """W4 without Spark, for lines that differ in plain integers only: every step's text is made and measured."""
+    import math
+    import re
+
+    from tallyloom.functions import text as T
+
+    def tokens(t):
+        return max(len(t.encode()) // 4, int(len(t.split()) / 0.75))
+
+    def has(t, words):
+        return any(k in t.lower() for k in words)
+
+    def norm(line):
+        return re.sub(r"\d+", "N", line.strip())
+
+    def collapsed(lines):
+        if len(lines) <= 10:
+            return lines
+        times = {}
+        for x in lines:
+            times[norm(x)] = times.get(norm(x), 0) + 1
+        out, seen = [], set()
+        for x in lines:
+            if norm(x) and norm(x) not in seen:
+                seen.add(norm(x))
+                out.append(x + (f" (occurred {times[norm(x)]} times)" if times[norm(x)] > 1 else ""))
+            elif not norm(x):
+                out.append(x)
+        return out + [""]
+
+    def head(lines, ratio):
+        if ratio >= 1:
+            return "\n".join(lines)
+        k = max(1, math.ceil(len(lines) * ratio))
+        note = f"\n[... {len(lines) - k} more lines omitted for brevity ...]\n" if k < len(lines) else ""
+        return "\n".join(lines[:k]) + "\n" + note
+
+    def essential(lines):
+        if len(lines) <= 6:
+            return "\n".join(lines)
+        out, seen = [], set()
+        for x in lines[:2] + [x for x in lines if has(x, T.HOST_ESSENTIAL)] + lines[-2:]:
+            x = x.rstrip("\r")
+            if x.strip() and norm(x) not in seen:
+                seen.add(norm(x))
+                out.append(x)
+        if not out and lines[2].strip():
+            out = [lines[2].rstrip("\r")]
+        return "\n".join(out + [f"[... {len(lines) - len(out)} more lines omitted for brevity ...]"] * (len(out) < len(lines)))
+
+    def joined(parts):
+        return "".join(f"\n{sections.HASHES} {name} {sections.HASHES}\n{body}\n" for name, body in parts)
+
+    if tokens(text) <= budget:
+        return 0, text
+    secs = []
+    for part in re.split(r"(?m)^### ", text)[1:]:
+        name, body = part.split(" ###", 1)
+        high = has(name, T.HOST_HIGH) or has(body, T.HOST_HIGH)
+        secs.append((name, 1 if high else 2 if has(name, T.HOST_MEDIUM) else 3, collapsed(body.strip().split("\n"))))
+    for level, ratios in enumerate(sections.LADDER, 1):
+        made = joined((name, head(lines, ratios[p - 1])) for name, p, lines in secs)
+        if tokens(made) <= budget:
+            return level, made
+    made = joined((name, essential(lines)) for name, _, lines in secs)
+    return (6, made) if tokens(made) <= budget else (7, None)
+
+
+def test_the_ladder_takes_the_step_and_text_of_a_plain_version(spark):
+    def word(i):
+        return chr(97 + i % 26) + chr(97 + i // 26 % 26)
+
+    noisy = [f"unit {word(i)} said {i}" for i in range(60)]
+    texts = [
+        "### Kernel ###\n" + "\n".join(noisy) + "\n### Disk Space ###\n" + "\n".join(f"part {word(i)}" for i in range(40)),
+        "### Notes ###\n" + "\n".join(["same 1", "same 2", "", "same 3"] * 5 + noisy[:30] + ["an error here 7", "an error here 8", "end"]) + "\n### Tail ###\nx",
+        "### Ünï ###\n" + "\n".join(f"größe {word(i)} {i}\r" for i in range(25)),
+        "### Blank ###\nfirst\n" + "\n" * 12 + "last",
+    ]
+    budgets = (5, 27, 31, 40, 60, 80, 130, 180, 200, 260, 350, 420, 500)
+    cases = {i * 1000 + b: (text, b) for i, text in enumerate(texts) for b in budgets}
+    made = spark.createDataFrame([(k, *case) for k, case in cases.items()], "report_id int, content string, budget int")
+    got = {r.report_id: (r.level, r.content) for r in sections.fit_host_reports(made, F.col("budget")).collect()}
+    assert got.keys() == cases.keys()
+    for k, case in cases.items():
+        level, content = plain_ladder(*case)
+        assert got[k][0] == level, k
+        assert content is None or got[k][1] == content, k
+    assert {level for level, _ in got.values()} == set(range(8))
+
+
+def test_essential_lines_count_from_what_collapsing_left(spark):
+    text = "### A ###\n" + "\n".join(["one 1"] * 9 + ["b", "c", "d", "e", "f", "g", "h"])
+    lines = ["one 1 (occurred 9 times)", "b", "h"]
+    got = [r for r in sections.fit_host_reports(reports(spark, text, "### B ###\n\n\n\n\n\n\n\n"), F.lit(22)).collect() if r.report_id == 0]
+    level, content = plain_ladder(text, 22)
+    assert (got[0].level, content or got[0].content) == (level, got[0].content)
+    listed = spark.createDataFrame([(0, 0, "A", i, x) for i, x in enumerate(["", "", "third 3\r", "", "", "", "", ""])], "report_id int, section_no int, name string, line_no int, line string")
+    assert sections.essential_lines(listed).first().essential == "third 3\n[... 7 more lines omitted for brevity ...]"
+    kept = spark.createDataFrame([(0, 0, "A", i, x) for i, x in enumerate([lines[0], "b", "c", "d", "e", "f", "g", "h", ""])], "report_id int, section_no int, name string, line_no int, line string")
+    assert sections.essential_lines(kept).first().essential.split("\n") == [lines[0], "b", "h", "[... 6 more lines omitted for brevity ...]"]
+
+
 def test_trimming_keeps_the_longest_head(spark):
     text = "\n".join(f"line {i}" for i in range(50))
     got = reports(spark, text, "a b").select("report_id", sections.trim_to_budget(F.col("content"), F.lit(40)).alias("t")).orderBy("report_id").collect()
