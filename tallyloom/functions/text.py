@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Unicode white space.
-SPACE = r"\t\n\x0B\f\r \u0085   -     　"
+SPACE = r"\t\n\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 GAP = r"[\t\n\f\r ]"
 _L, _R = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
@@ -86,7 +86,7 @@ INJECTIONS = (
     r"(?i)" + _L + "SYSTEM" + GAP + "*:",
 )
 FILTERED = "[FILTERED]"
-_HIDDEN = r"[​-‏‪-‮⁠-⁯﻿]"
+_HIDDEN = r"[\u200B-\u200F\u202A-\u202E\u2060-\u206F\uFEFF]"
 _UNPRINTABLE = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} \n\t\r]"
 
 # Characters that message markup escapes; the backslash is among them.
@@ -163,7 +163,7 @@ def estimate_tokens(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Credentials replaced."""
-    return _replaced(text, [(p, REDACTED.replace("[", "[")) for p in CREDENTIALS])
+    return _replaced(text, [(p, REDACTED) for p in CREDENTIALS])
 
 
 def has_credentials(text: Column) -> Column:
