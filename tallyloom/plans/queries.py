@@ -185,13 +185,16 @@ def numbered_summaries(spark, sf_dir):
     return H.numbered(summaries(spark, sf_dir), ["log_source_type", "site_name"]).select("summary_id", "no")
 
 
-@query("""SELECT p_partkey, split_part(p_type, ' ', 1) AS prefix, true AS known_model FROM part""")
+@query(f"""WITH f AS (SELECT substr(p_type, 1, 4) AS prefix FROM part WHERE substr(p_type, 1, 1) NOT IN ('P', 'L') UNION SELECT p_type FROM part WHERE substr(p_type, -1, 1) IN ('Y', 'D')),
+m AS (SELECT p_type, max(length(prefix)) AS longest FROM (SELECT DISTINCT p_type FROM part) t JOIN f ON starts_with(p_type, prefix) GROUP BY 1)
+SELECT p_partkey, coalesce(CAST(longest AS DOUBLE), {L.FALLBACK[0]}) AS rate, longest IS NOT NULL AS known_model FROM part LEFT JOIN m USING (p_type)""")
 def priced_models(spark, sf_dir):
-    """The longest family prefix of every part type."""
+    """Part types priced by the longest of their families: four letters, the whole type where it ends in Y or D, or none."""
     part = read(spark, sf_dir, "part")
-    prefix = F.substring_index("p_type", " ", 1)
-    families = part.select(prefix.alias("prefix")).distinct().select("prefix", *[F.lit(1.0).alias(r) for r in L.RATES])
-    return L.with_prices(part.select("p_partkey", "p_type", prefix.alias("prefix")), families, "p_type").select("p_partkey", "prefix", "known_model")
+    short = part.filter(~F.substring("p_type", 1, 1).isin("P", "L")).select(F.substring("p_type", 1, 4).alias("prefix"))
+    whole = part.filter(F.substring("p_type", -1, 1).isin("Y", "D")).select(F.col("p_type").alias("prefix"))
+    families = short.union(whole).distinct().select("prefix", *[F.length("prefix").cast("double").alias(r) for r in L.RATES])
+    return L.with_prices(part.select("p_partkey", "p_type"), families, "p_type").select("p_partkey", F.col(L.RATES[0]).alias("rate"), "known_model")
 
 
 @query(r"""SELECT conv_id, turn, regexp_replace(upper(role) || ': ' || text, '([\\_*\[\]()~`>#+\-=|{}.!:])', '\\\1', 'g') AS escaped FROM conversations""")
