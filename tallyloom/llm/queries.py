@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, decontaminate, licenses, packing, revisits, sharding, simhash, substrings, toxicity, urlfilter
+from tallyloom.llm import alignment, ann, decontaminate, licenses, packing, prefixes, revisits, sharding, simhash, substrings, toxicity, tries, urlfilter
 from tallyloom.llm.common import table
 
 QUERIES: dict = {}
@@ -74,10 +74,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -221,3 +221,22 @@ FROM f"""
 def op9_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates of every document."""
     return licenses.license_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of every document's tokens by two tokenizers."""
+    documents, _ = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return documents.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return tries.prefix_trie(tries.rebuilt(tries.conversation_rows(table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op13_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and how much of it the limit leaves."""
+    return prefixes.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
