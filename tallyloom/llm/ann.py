@@ -105,8 +105,12 @@ class Centroids:
         scaled = q * (self.norm / np.linalg.norm(q, axis=1))[:, None]
         return np.hstack([scaled, np.zeros((len(q), 1))])
 
-    def search(self, q: np.ndarray, ratio: float, width: int = BEAM) -> list[int]:
-        """Lists for one aimed query within ``ratio`` of the nearest: best-first over the graph."""
+    def search(self, q: np.ndarray, ratio: float, width: int = BEAM, sizes: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """Lists for one aimed query within ``ratio`` of the nearest: best-first over the graph.
+
+        Where these lists hold fewer than ``need`` different vectors by ``sizes``, the
+        next nearest lists join them until they do, or until all lists are open.
+        """
         entry = np.arange(0, len(self.points), max(1, len(self.points) // 16))
         seen = set(entry.tolist())
         dist = lambda which: ((self.points[which] - q) ** 2).sum(1)
@@ -128,7 +132,12 @@ class Centroids:
                 found.append((e, j))
                 least = min(least, e)
                 (heapq.heappush if len(best) < width else heapq.heappushpop)(best, -e)
-        return [i for d, i in sorted(found) if d <= least * ratio**2]
+        opened = [i for d, i in sorted(found) if d <= least * ratio**2]
+        if sizes is not None and sizes[opened].sum() < need:
+            rest = np.setdiff1d(np.argsort(dist(slice(None)), kind="stable"), opened, assume_unique=True)
+            more = int(np.searchsorted(sizes[opened].sum() + np.cumsum(sizes[rest]), need)) + 1
+            opened += rest[:more].tolist()
+        return opened
 
     def ratio(self, q: np.ndarray, near: list[np.ndarray], target: float = TARGET) -> float:
         """The least ratio at which the lists opened for the queries ``q`` hold ``target`` of their neighbours ``near``."""
@@ -263,7 +272,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     A row is no neighbour of itself, but its copies are. Unusable vectors, null ids
     and vectors of another length than the most common one take no part. Equal
     scores rank by smaller id. Repeated (id, vector) rows count once. Opened lists
-    hold ``target`` of the true neighbours, as measured on up to ``MEASURED`` queries.
+    hold ``target`` of the true neighbours, as measured on up to ``MEASURED`` queries,
+    and at least ``k`` candidates, or all there are. Other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("asks"))
@@ -301,8 +311,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
                 homes = index.homes(index.lift(_matrix(part.column(1))))
                 many = np.repeat(np.arange(part.num_rows), [len(h) for h in homes])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(many)), part.column(1).take(pa.array(many)), pa.array([j for h in homes for j in h], pa.int32())],
-                    names=["e", "v", "list"],
+                    [
+                        part.column(0).take(pa.array(many)), part.column(1).take(pa.array(many)), pa.array([j for h in homes for j in h], pa.int32()),
+                        pa.array([n == 0 for h in homes for n in range(len(h))]),
+                    ],
+                    names=["e", "v", "list", "main"],
                 )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +325,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
                 found = []
                 for i, q in enumerate(index.aim(_matrix(part.column(1)))):
                     near: dict[int, list[int]] = {}
-                    for j in index.search(q, ratio):
+                    for j in index.search(q, ratio, sizes=sizes, need=k + 1):
                         near.setdefault(j // TOGETHER, []).append(j)
                     found += [(i, g, js) for g, js in near.items()]
                 many = pa.array([i for i, _, _ in found], pa.int64())
@@ -326,15 +339,19 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
 
     def blocks(df: DataFrame, name: str, size: int, *columns: str) -> DataFrame:
         """Rows of neighbouring lists in salted blocks of about ``size``; there are at most ``lists`` sizes."""
-        df = written(df, name)
-        sizes = df.groupBy("part").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
-        salted = df.join(F.broadcast(sizes), "part").withColumn("salt", F.pmod(F.xxhash64("e"), F.col("parts")))
+        counts = df.groupBy("part").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+        salted = df.join(F.broadcast(counts), "part").withColumn("salt", F.pmod(F.xxhash64("e"), F.col("parts")))
         return salted.groupBy("part", "salt").agg(F.collect_list(F.struct(*columns)).alias(name)).select("part", name)
 
-    placed = entries.select("e", "v").mapInArrow(place, "e long, v array<double>, list int").withColumn("part", F.floor(F.col("list") / TOGETHER).cast("int"))
+    placed = entries.select("e", "v").mapInArrow(place, "e long, v array<double>, list int, main boolean").withColumn("part", F.floor(F.col("list") / TOGETHER).cast("int"))
+    placed = written(placed, "placed")
+    # Every vector counts in its main list alone, so lists that hold k + 1 so counted hold k others than the query's own.
+    sizes = np.zeros(len(index.points), dtype=np.int64)
+    for r in placed.filter("main").groupBy("list").count().collect():  # one row for each list at most
+        sizes[r["list"]] = r["count"]
     stored = blocks(placed, "block", BLOCK, "e", "v", "list")
     probed = entries.filter("asks").select("e", "v").mapInArrow(probe, "e long, v array<double>, lists array<int>, part int")
-    asked = blocks(probed, "asked", QUERIES, "e", "v", "lists")
+    asked = blocks(written(probed, "probed"), "asked", QUERIES, "e", "v", "lists")
     met = stored.join(asked, "part").select("block", "asked").mapInArrow(_meet(k + 1), "q long, e long, score double")
     one = met.groupBy("q", "e").agg(F.max("score").alias("score"))
     top = one.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "e"))).filter(F.col("r") <= k + 1)

@@ -43,6 +43,18 @@ def _dot(a, b):
     return out
 
 
+def test_every_query_gets_all_ranks_though_its_lists_are_thin(spark):
+    rng = np.random.default_rng(8)
+    centres = 10 * rng.normal(size=(16, 8))
+    x = np.vstack([np.repeat(centres, 500, axis=0) + 0.1 * rng.normal(size=(8000, 8)), 60 * rng.normal(size=(14, 8))])
+    asks = set(range(8000, 8014)) | {0, 4000}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(frame, F.col("vec_id").isin(*asks)).collect():
+        got.setdefault(r.query_id, set()).add((r.rank, r.vec_id))
+    assert set(got) == asks and all({k for k, _ in g} == set(range(1, 21)) and len({v for _, v in g}) == 20 for g in got.values())
+
+
 def test_unusable_vectors_few_rows_and_empty(spark):
     schema = "vec_id long, embedding array<double>"
     rows = [
