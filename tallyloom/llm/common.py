@@ -22,9 +22,11 @@ WORD_BYTES = bytes(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a new one only where none is set."""
+    """The folder that driver and executors share, as the cluster names it; a new one only where none is set and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -72,5 +74,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP), "")
 
 
+def quoted(name: str) -> str:
+    """A column name as it must be written where dots would part it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

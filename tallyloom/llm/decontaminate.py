@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyloom.llm.common import words, written
+from tallyloom.llm.common import quoted, words, written
 
 WINDOW = 10
 #: Posting lists that are intersected for each window.
@@ -190,7 +190,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, **names) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """``docs`` without the rows in which a benchmark window occurs."""
+    """``docs`` without the rows in which a benchmark window occurs; their columns stay as they are, whatever their names."""
     found = Decontaminator(docs, bench, id_col, text_col, **names).matches()
     found = _small(written(found.select(F.col("id").alias("leak_id"), F.col("th").alias("leak_th")), "leaks"))
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("leak_id")) & (F.xxhash64(docs[text_col]) == F.col("leak_th")), "left_anti")
+    own = lambda c: F.col(f"own.{quoted(c)}")
+    same = own(id_col).eqNullSafe(F.col("found.leak_id")) & (F.xxhash64(own(text_col)) == F.col("found.leak_th"))
+    return docs.alias("own").join(found.alias("found"), same, "left_anti")

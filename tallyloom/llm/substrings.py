@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import suffixsort
-from tallyloom.llm.common import shared_folder, written
+from tallyloom.llm.common import quoted, shared_folder, written
 
 LENGTH = 200
 GRAM = 32
@@ -367,7 +367,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | N
     joined = docs.join(cut, (k1 == cut["cut_1"]) & (k2 == cut["cut_2"]), "left")
     columns = []
     for name in docs.columns:
-        own = docs[name]
+        own = docs[quoted(name)]
         if name == text_col:
             own = F.coalesce(cut["cut_text"], own)
         elif name == length_col:

@@ -218,7 +218,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     taken = {c.lower() for c in docs.columns}
     into = next(name for n in range(len(taken) + 1) if (name := f"scores_{n}") not in taken)
     scored = classify(docs, train(docs, labels, id_col, text_col, **options), text_col, into)
-    return scored.filter(~F.col(into)["is_toxic"]).select(*[docs[c] for c in docs.columns])
+    return scored.filter(~F.col(into)["is_toxic"]).drop(into)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

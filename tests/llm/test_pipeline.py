@@ -76,6 +76,21 @@ def test_each_stage_against_plain_versions(spark, folder):
     assert {r.doc_id for r in whole} == set(frames["decontamination"])
 
 
+def test_stages_keep_columns_whatever_their_names(spark, folder, tmp_path):
+    path, _ = folder
+    names = ["leak_id", "leak_th", "a.b", "id", "th", "t1", "cut_1", "kept", "scores", "Scores_0", "fp", "component", "n_hit", "own", "found"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").filter("doc_id < 40 or doc_id >= 300")
+    plain, odd = docs, docs.select("*", *[F.lit(f"x{i}").alias(n) for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = stage(spark, plain, path), stage(spark, odd, path)
+        assert wide.columns == odd.columns
+        wide.write.parquet(f"{tmp_path}/{name}")
+        odd = spark.read.parquet(f"{tmp_path}/{name}")
+        assert sorted(odd.select("doc_id", "text").collect(), key=str) == sorted(plain.select("doc_id", "text").collect(), key=str)
+        assert odd.filter(" or ".join(f"`{n}` <> 'x{i}'" for i, n in enumerate(names))).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, path).count() > 0
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
