@@ -59,13 +59,22 @@ def latest(summaries: DataFrame, n: int) -> DataFrame:
 
 
 def attach_history(reports: DataFrame, summaries: DataFrame, days: int = 7) -> DataFrame:
-    """Each report with the summaries of its source and site in the days before its run, numbered."""
-    s = summaries.alias("s")
+    """Each report with the summaries of its source and site in the days before its run, numbered.
+
+    Time is cut into spans of ``days``, and a report meets the two spans that its
+    days touch, so the join is on source, site and span: summaries of one busy site
+    are dealt out by span, and none meets a report of another time.
+    """
+    width = int(days) * 86400
+    span = lambda at: F.floor(F.unix_timestamp(at) / width)
+    asked = reports.withColumn("span", F.explode(F.array(span(F.col("run_time")) - 1, span(F.col("run_time"))))).alias("r")
+    stored = summaries.withColumn("span", span(F.col("timestamp"))).alias("s")
     same = (
-        (F.col("r.source_type") == F.col("s.log_source_type")) & (F.col("r.site_id") == F.col("s.site_name"))
+        (F.col("r.source_type") == F.col("s.log_source_type")) & (F.col("r.site_id") == F.col("s.site_name")) & (F.col("r.span") == F.col("s.span"))
         & (F.col("s.timestamp") >= F.col("r.run_time") - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col("s.timestamp") <= F.col("r.run_time"))
     )
-    return numbered(reports.alias("r").join(s, same).select("r.report_id", "s.*"), ["report_id"])
+    joined = asked.join(stored, same).select("r.report_id", *[F.col(f"s.`{c}`") for c in summaries.columns])
+    return numbered(joined, ["report_id"])
 
 
 def history_block(reports: DataFrame, summaries: DataFrame, days: int = 7) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +17,8 @@ from tallyloom.functions import text as T
 MOST_PATTERNS = 50
 #: Bytes of a message part.
 PART_BYTES = 4096
+#: Bytes of patterns that are shipped to all tasks at most; more are joined by scope.
+SHIPPED_BYTES = 32 << 20
 # Our own wording: instructions by source, format reminder and closing request.
 TEMPLATES = {
     "logwatch": "You review the daily digest of a Linux host. Report failures, security events and resource shortages.",
@@ -54,6 +58,80 @@ def apply_exclusions(findings: DataFrame, patterns: DataFrame, text_col: str = "
     return joined.filter(~F.coalesce(hit, F.lit(False))).select(*findings.columns)
 
 
+def scopes_of(source_type: Column, site_id: Column) -> Column:
+    """Names of the pattern lists that hold for a report: the global one, that of its source, and that of a CMS site."""
+    own = F.when(source_type == "drupal_watchdog", "drupal").otherwise(source_type)
+    return F.filter(F.array(F.lit("global"), own, F.when(own == "drupal", F.concat(F.lit("site/"), site_id))), lambda s: s.isNotNull())
+
+
+def scoped_patterns(exclusions: DataFrame) -> DataFrame:
+    """``(name, pattern)`` of ``(scope, site_id, pos, pattern)``: the first 50 of each list, cleaned by X12, in lower case."""
+    ranked = exclusions.withColumn("r", F.row_number().over(W.partitionBy("scope", "site_id").orderBy("pos"))).filter(F.col("r") <= MOST_PATTERNS)
+    name = F.when(F.col("scope") == "site", F.concat(F.lit("site/"), "site_id")).otherwise(F.col("scope"))
+    return ranked.select(name.alias("name"), F.lower(T.clean_pattern(F.col("pattern"))).alias("pattern")).filter("pattern <> ''").distinct()
+
+
+class _Lists:
+    """Automata of pattern lists, each built when the first text of its scope comes, once in a worker."""
+
+    def __init__(self, patterns: dict[str, list[str]]):
+        self.patterns, self.built = patterns, {}
+
+    def __getstate__(self) -> dict:
+        return {"patterns": self.patterns, "built": {}}
+
+    def hit(self, text: str, names: Iterator[str]) -> bool:
+        for name in names:
+            if name not in self.built:
+                self.built[name] = self._build(self.patterns.get(name, ()))
+            automaton = self.built[name]
+            if automaton is not None and next(automaton.iter(text), None) is not None:
+                return True
+        return False
+
+    @staticmethod
+    def _build(patterns):
+        import ahocorasick
+
+        if not patterns:
+            return None
+        automaton = ahocorasick.Automaton()
+        for p in patterns:
+            automaton.add_word(p, True)
+        automaton.make_automaton()
+        return automaton
+
+
+def without_excluded(findings: DataFrame, patterns: DataFrame, scopes: Column, text_col: str = "text", shipped_bytes: int = SHIPPED_BYTES) -> DataFrame:
+    """Findings without those whose text contains a pattern of one of their ``scopes``, whatever the case.
+
+    Patterns (``scoped_patterns``) of a scope become one Aho-Corasick automaton, which
+    reads a text once however many patterns it has. They are shipped to all tasks
+    if their bytes are at most ``shipped_bytes``; else texts meet the lists of their
+    scopes in joins. A null text holds no pattern; a finding without scopes stays.
+    """
+    spark = findings.sparkSession
+    text, names = F.lower(F.col(text_col)), F.coalesce(scopes, F.array().cast("array<string>"))
+    lists = patterns.groupBy("name").agg(F.collect_set("pattern").alias("patterns"))  # at most 50 of a scope
+    if (patterns.agg(F.sum(F.octet_length("pattern") + F.octet_length("name"))).first()[0] or 0) <= shipped_bytes:
+        shipped = spark.sparkContext.broadcast(_Lists({r["name"]: r["patterns"] for r in lists.collect()}))  # ``shipped_bytes`` at most
+
+        @F.pandas_udf("boolean")
+        def hit(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+            found = shipped.value
+            return pd.Series([t is not None and found.hit(t, w) for t, w in zip(texts, wanted)], dtype=bool)
+
+        return findings.filter(~hit(text, names))
+    taken = {c.lower() for c in findings.columns}
+    own, met = (next(n for i in range(len(taken) + 1) if (n := f"{base}_{i}") not in taken) for base in ("scopes", "hit"))
+    marked = findings.withColumns({own: names, met: F.lit(False)})
+    for i in range(3):
+        joined = marked.alias("f").join(lists.alias("l"), F.get(F.col(f"f.{own}"), F.lit(i)) == F.col("l.name"), "left")
+        now = F.coalesce(F.exists("l.patterns", lambda p: F.lower(F.col(f"f.`{text_col}`")).contains(p)), F.lit(False))
+        marked = joined.select(*[F.col(f"f.`{c}`") for c in findings.columns], F.col(f"f.{own}"), (F.col(f"f.{met}") | now).alias(met))
+    return marked.filter(~F.col(met)).drop(own, met)
+
+
 def exclusion_blocks(reports: DataFrame, patterns: DataFrame) -> DataFrame:
     """``(report_id, global_block, context_block)``; empty text for no patterns."""
     def block(scope: Column, title: str) -> Column:

@@ -16,7 +16,9 @@ from tallyloom.operators import prompts as P
 from tallyloom.operators import sections as S
 from tallyloom.plans.queries import ENTRIES, SPACES, SUMMARIES, TOKENS, entries, read, summaries
 from tallyloom.sources import reports as R
+from tallyloom.sources.store import SummaryStore, outbox_table
 from tallyloom.streaming import jobs as J
+from tallyloom.workspace import new_path, written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -201,16 +203,24 @@ def exclusion_texts(spark, sf_dir):
     return P.exclusion_blocks(reports, patterns)
 
 
-@query(f"""WITH {LINES}
-SELECT doc_id AS report_id, count(*) AS n FROM l JOIN (SELECT doc_id, substr(text, 1, 12) AS p FROM documents WHERE text <> '') USING (doc_id)
-WHERE NOT contains(lower(line), lower(p)) GROUP BY 1""")
+@query(f"""WITH {LINES}, x AS (SELECT CASE item_id % 5 WHEN 0 THEN 'global' WHEN 1 THEN 'logwatch' WHEN 2 THEN 'drupal' WHEN 3 THEN 'ocms' ELSE 'site/' || (item_id % 25) END AS name, item_id AS pos,
+  regexp_extract(text, '^[a-zA-Z]+ [a-zA-Z]+ [a-zA-Z]+') AS pattern FROM benchmark),
+p AS (SELECT DISTINCT name, lower(pattern) AS pattern FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos) AS r FROM x) WHERE r <= 50 AND pattern <> ''),
+f AS (SELECT doc_id AS report_id, no, lower(line) AS line, CASE doc_id % 3 WHEN 0 THEN ['global', 'logwatch'] WHEN 1 THEN ['global', 'drupal', 'site/' || (doc_id % 25)] ELSE ['global', 'ocms'] END AS names FROM l),
+h AS (SELECT DISTINCT report_id, no FROM f JOIN p ON list_contains(names, name) AND contains(line, pattern))
+SELECT report_id, count(*) AS n_lines, count(*) FILTER (h.no IS NULL) AS n_kept FROM f LEFT JOIN h USING (report_id, no) GROUP BY 1""")
 def kept_findings(spark, sf_dir):
-    """Lines of a report that lack its first twelve characters."""
+    """Lines of every document without those that contain one of the patterns of their report: the first words of benchmark items."""
     findings = doc_lines(spark, sf_dir).select(F.col("doc_id").alias("report_id"), "line")
-    docs = read(spark, sf_dir, "documents").filter("text <> ''")
-    patterns = docs.select(F.col("doc_id").alias("report_id"), F.substring("text", 1, 12).alias("pattern"))
-    kept = P.apply_exclusions(findings, patterns, "line").join(patterns.select("report_id"), "report_id", "left_semi")
-    return kept.groupBy("report_id").agg(F.count("*").alias("n"))
+    source = F.expr("CASE report_id % 3 WHEN 0 THEN 'logwatch' WHEN 1 THEN 'drupal_watchdog' ELSE 'ocms' END")
+    listed = read(spark, sf_dir, "benchmark").select(
+        F.expr("CASE item_id % 5 WHEN 0 THEN 'global' WHEN 1 THEN 'logwatch' WHEN 2 THEN 'drupal' WHEN 3 THEN 'ocms' ELSE 'site' END").alias("scope"),
+        F.expr("CASE item_id % 5 WHEN 4 THEN CAST(item_id % 25 AS STRING) ELSE '' END").alias("site_id"),
+        F.col("item_id").alias("pos"), F.regexp_extract("text", "^[a-zA-Z]+ [a-zA-Z]+ [a-zA-Z]+", 0).alias("pattern"),
+    )
+    kept = P.without_excluded(findings, P.scoped_patterns(listed), P.scopes_of(source, (F.col("report_id") % 25).cast("string")), "line")
+    counts = lambda df, c: df.groupBy("report_id").agg(F.count("*").alias(c))
+    return counts(findings, "n_lines").join(counts(kept, "n_kept"), "report_id", "left").fillna(0, ["n_kept"])
 
 
 HISTORY = SUMMARIES + """, r AS (SELECT log_source_type AS source_type, site_name AS site_id, max(timestamp) AS run_time, log_source_type || '/' || site_name AS report_id FROM s GROUP BY 1, 2),
@@ -452,16 +462,16 @@ def json_entries(spark, sf_dir):
 
 @query(ENTRIES + BACK)
 def line_entries(spark, sf_dir):
-    """S4, T1's batch twin: a day's entries as NDJSON with lines that do not parse."""
+    """A day's entries as NDJSON with lines that do not parse."""
     made = _per_report(entries(spark, sf_dir), F.to_json(F.struct(*_FIELDS)), lambda a: F.concat(F.array_join(a, ",\n"), F.lit("\n{broken\n")))
     return R.parse_watchdog_json(made)[0].select(_day(), "wid", "timestamp", "type", "severity", "message")
 
 
-@query(ENTRIES + BACK)
+@query(ENTRIES + BACK.replace("type", "replace(type, ' ', '_') AS type"))
 def table_entries(spark, sf_dir):
-    """A day's entries as text tables."""
+    """A day's entries as text tables, whose types are one word."""
     row = F.concat(
-        F.lit("  "), F.col("wid").cast("string"), F.lit("  "), F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit("  "), "type", F.lit("   "),
+        F.lit("  "), F.col("wid").cast("string"), F.lit("  "), F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit("  "), F.replace("type", F.lit(" "), F.lit("_")), F.lit("   "),
         L.severity_name(F.col("severity")), F.lit("  "), "message",
     )
     head = "note before\n  ID  Date  Type  Severity  Message\n ---- ----\n"
@@ -498,10 +508,24 @@ def windowed_counts(spark, sf_dir):
     return J.counts(entries(spark, sf_dir))
 
 
-@query(ENTRIES + r"SELECT DISTINCT site_id, regexp_replace(regexp_replace(message, '\b\d+\b', '[N]', 'g'), '/[a-zA-Z0-9/_-]+', '[PATH]', 'g') AS pattern FROM e")
+@query("WITH RECURSIVE " + ENTRIES.removeprefix("WITH ") + r""", k AS (SELECT site_id, timestamp AS t, min(wid) AS wid, regexp_replace(regexp_replace(message, '\b\d+\b', '[N]', 'g'), '/[a-zA-Z0-9/_-]+', '[PATH]', 'g') AS pattern FROM e GROUP BY 1, 2, 4),
+f AS (SELECT site_id, pattern, min(t) AS t FROM k GROUP BY 1, 2 UNION ALL SELECT k.site_id, k.pattern, min(k.t) AS t FROM f JOIN k ON f.site_id = k.site_id AND f.pattern = k.pattern AND k.t > f.t + 21600 GROUP BY 1, 2)
+SELECT k.site_id, k.pattern, k.t AS timestamp, k.wid FROM f JOIN k USING (site_id, pattern, t)""")
 def first_patterns(spark, sf_dir):
-    """T3's batch twin: the keys of which one event stays."""
-    return J.first_of_pattern(entries(spark, sf_dir)).select("site_id", "pattern")
+    """T3's batch twin: the first event of each site and pattern, and then none for six hours."""
+    seconds = entries(spark, sf_dir).withColumn("event_time", F.timestamp_seconds("timestamp"))
+    return J.first_of_pattern(seconds, "6 hours").select("site_id", "pattern", "timestamp", "wid")
+
+
+@query(ENTRIES + """SELECT wid % 50 > 1 AS ok, CASE WHEN wid % 50 > 1 THEN wid END AS wid, CASE WHEN wid % 50 > 1 THEN type END AS type, CASE WHEN wid % 50 > 1 THEN severity END AS severity,
+  CASE WHEN wid % 50 > 1 THEN timestamp END AS timestamp, CASE WHEN wid % 50 > 1 THEN site_id END AS site_id, CASE WHEN wid % 50 > 1 THEN '' END AS referer FROM e""")
+def streamed_lines(spark, sf_dir):
+    """T1's batch twin: entries as lines, of which some break off and some give their severity as a text."""
+    fields = [F.col(c) for c in (*_FIELDS, "site_id") if c != "severity"]
+    text = lambda severity: F.to_json(F.struct(*fields, severity.alias("severity")))
+    kind = F.col("wid") % 50
+    line = F.when(kind == 0, text(F.lit("bad"))).when(kind == 1, F.substring(text(F.col("severity")), 1, 30)).otherwise(F.concat(F.lit(" "), text(F.col("severity")), F.lit(",")))
+    return J.parse_lines(entries(spark, sf_dir).select(line.alias("value"))).select("ok", "wid", "type", "severity", "timestamp", "site_id", "referer")
 
 
 @query(ENTRIES + """, w AS (SELECT hostname, unnest(generate_series(timestamp // 60 * 60 - 540, timestamp // 60 * 60, 60)) AS s FROM e WHERE severity = 3)
@@ -510,3 +534,92 @@ def failure_windows(spark, sf_dir):
     """T4's batch twin: errors as failed logins."""
     told = F.when(F.col("severity") == 3, F.concat(F.lit("Login failed: "), "message")).otherwise(F.col("message"))
     return J.failure_bursts(entries(spark, sf_dir).withColumn("message", told), 2)
+
+
+# Files, configurations and stored tables, written and read back
+
+#: Bytes that a file of ``admitted_files`` may hold.
+FILE_BYTES = 300
+
+
+@query(f"""SELECT item_id, strlen(text) + 1 AS size_bytes, CASE WHEN strlen(text) + 1 > {FILE_BYTES} THEN 'too large' WHEN strlen(text) + 1 < 100 THEN 'too short' END AS reason,
+  CASE WHEN strlen(text) + 1 BETWEEN 100 AND {FILE_BYTES} THEN md5(text || chr(10)) END AS digest FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL""")
+def admitted_files(spark, sf_dir):
+    """Benchmark items as files, of which only those of fitting size are opened."""
+    path = new_path(spark, "items")
+    read(spark, sf_dir, "benchmark").filter("text is not null and item_id is not null").select("item_id", "text").write.partitionBy("item_id").text(path)
+    good, bad = R.admitted(spark, path, "logwatch", F.current_timestamp(), FILE_BYTES / 2**20)
+    item = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id")
+    return good.select(item, "size_bytes", F.lit(None).cast("string").alias("reason"), F.md5("content").alias("digest")).union(bad.select(item, "size_bytes", "reason", F.lit(None)))
+
+
+@query("""WITH c AS (SELECT c_custkey // 50 AS config_id, c_custkey, c_name, c_custkey % 97 = 5 AS strange FROM customer),
+b AS (SELECT config_id FROM c WHERE strange UNION SELECT config_id FROM c GROUP BY 1 HAVING config_id % 11 = 3)
+SELECT config_id, CAST(c_custkey AS VARCHAR) AS site_id, c_name AS display_name, NULL AS reason FROM c WHERE config_id NOT IN (FROM b)
+UNION ALL SELECT config_id, NULL, NULL, 'unknown field: sites.' || c_custkey || '.colour' FROM c WHERE strange
+UNION ALL SELECT DISTINCT config_id, NULL, NULL, 'unknown field: zone' FROM c WHERE config_id % 11 = 3""")
+def strict_sites(spark, sf_dir):
+    """Customers as sites of configurations, some with fields that the application shape does not know."""
+    key = F.floor(F.col("c_custkey") / 50).cast("bigint")
+    site = F.struct(F.col("c_name").alias("name"), F.lit("main").alias("log_kind"), F.when(F.col("c_custkey") % 97 == 5, F.lit("red")).alias("colour"))
+    sites = F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"), site.alias("s"))))
+    made = read(spark, sf_dir, "customer").groupBy(key.alias("config_id")).agg(sites.alias("sites"))
+    zone = F.when(F.col("config_id") % 11 == 3, F.lit("north")).alias("zone")
+    texts = written(made.select("config_id", F.to_json(F.struct(F.lit("1.0").alias("version"), F.lit("/r").alias("registry_path"), "sites", zone)).alias("content")), "configs")
+    good, bad = R.parse_site_config(texts, "application")
+    none = F.lit(None).cast("string")
+    return good.select("config_id", "site_id", "display_name", none.alias("reason")).union(bad.select("config_id", "site_id", none, "reason"))
+
+
+STORED = ENTRIES + """, v AS (SELECT events.event_id, ts, CASE WHEN event_type IN ('view', 'click') THEN 'ocms' ELSE 'logwatch' END AS log_source_type, CAST(user_id % 3 AS VARCHAR) AS site_name,
+  CASE event_type WHEN 'error' THEN 'Bad' ELSE 'Good' END AS system_status, (user_id % 5) / 1e3 AS cost_usd, user_id AS input_tokens, event_id % 1000 AS output_tokens
+  FROM events WHERE (event_id % 3 <> 0 OR event_id % 2 = 0) AND ts >= TIMESTAMP '2024-01-10') """
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[SummaryStore, int]:
+    """Events as analyses in a store: two overlapping batches, one of them twice, then all before a day deleted; and how many were."""
+    made = read(spark, sf_dir, "events").select(
+        "event_id", F.col("event_id").cast("string").alias("summary_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.when(F.col("event_type").isin("view", "click"), F.lit("ocms")).otherwise("").alias("log_source_type"),
+        (F.col("user_id") % 3).cast("string").alias("site_name"), F.when(F.col("event_type") == "error", F.lit("Bad")).otherwise("Good").alias("system_status"),
+        ((F.col("user_id") % 5) / 1e3).alias("cost_usd"), F.col("user_id").alias("input_tokens"), (F.col("event_id") % 1000).alias("output_tokens"),
+    )
+    store = SummaryStore(spark, new_path(spark, "store")).create()
+    for part in ("event_id % 3 <> 0", "event_id % 3 <> 0", "event_id % 2 = 0"):
+        store.append(made.filter(part))
+    return store, store.retain(F.lit("2024-01-20").cast("timestamp"), 10)
+
+
+@query(STORED + """, o AS (SELECT count(*) AS n_deleted FROM events WHERE (event_id % 3 <> 0 OR event_id % 2 = 0) AND ts < TIMESTAMP '2024-01-10')
+SELECT CAST(event_id AS VARCHAR) AS summary_id, log_source_type, site_name, CAST(ts AS DATE) AS summary_date, n_deleted FROM v, o""")
+def stored_summaries(spark, sf_dir):
+    """What a store holds after repeated appends and retention."""
+    store, gone = stored(spark, sf_dir)
+    return store.read().select("summary_id", "log_source_type", "site_name", "summary_date", F.lit(gone).cast("bigint").alias("n_deleted"))
+
+
+@query(STORED + """SELECT log_source_type, site_name, system_status, count(*) AS n, round(sum(cost_usd), 8) AS cost, grouping(log_source_type, site_name, system_status) AS scope
+FROM v GROUP BY GROUPING SETS ((), (system_status), (log_source_type, site_name), (log_source_type, site_name, system_status))""")
+def stored_statistics(spark, sf_dir):
+    """A10 from the store's partial statistics, from which retention has subtracted."""
+    return stored(spark, sf_dir)[0].statistics().withColumn("cost", F.round("cost", 8))
+
+
+@query(STORED + """SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(sum(cost_usd), 8) AS cost, round(avg(cost_usd) FILTER (cost_usd > 0), 8) AS avg_cost, round(avg(input_tokens), 4) AS avg_input,
+  round(avg(output_tokens), 4) AS avg_output FROM v GROUP BY 1 ORDER BY 1 DESC LIMIT 30""")
+def stored_costs(spark, sf_dir):
+    """A11 from the store's partial statistics: a report of the latest 30 days."""
+    costs = stored(spark, sf_dir)[0].daily_costs(30)
+    return costs.select("day", "n", *[F.round(c, 8).alias(c) for c in ("cost", "avg_cost")], *[F.round(c, 4).alias(c) for c in ("avg_input", "avg_output")])
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS report_id, unnest(CASE o_orderstatus WHEN 'F' THEN ['archive', 'alerts'] ELSE ['archive'] END) AS channel, 0 AS part_no, 'Order ' || o_orderkey AS text FROM orders""")
+def routed_messages(spark, sf_dir):
+    """T5's batch twin, S16: orders as analyses routed to the outbox, half of them twice."""
+    made = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("report_id"), F.when(F.col("o_orderstatus") == "F", F.lit("Awful")).otherwise("Good").alias("system_status"),
+        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("body"),
+    )
+    outbox = outbox_table(spark, new_path(spark, "outbox")).create()
+    for batch in (made.filter("report_id % 2 = 0"), made):
+        outbox.append(P.outbox(batch))
+    return outbox.read()

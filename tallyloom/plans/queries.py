@@ -209,13 +209,6 @@ def filtered_turns(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.filter_injections(F.concat(F.upper("role"), F.lit(": "), "text")).alias("filtered"))
 
 
-@query("""SELECT doc_id, 'Bearer' AS kind, '[REDACTED] ' || substr(text, 1, 20) || ' [REDACTED]' AS redacted FROM documents""")
-def redacted_documents(spark, sf_dir):
-    """X8 on texts with a token put before and after."""
-    put = F.concat(F.lit("Bearer abc.def "), F.substring("text", 1, 20), F.lit(" api_key=xyz"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.lit("Bearer").alias("kind"), T.redact(put).alias("redacted"))
-
-
 _REDACTIONS = (
     "sk-ant-[a-zA-Z0-9_-]{10,}", "sk-[a-zA-Z0-9_-]{32,}", "[0-9]{8,12}:[a-zA-Z0-9_-]{30,}", "Bearer[\\t\\n\\f\\r ]+[a-zA-Z0-9_.-]+",
     "(?i)authorization[:\\t\\n\\f\\r ]+[^\\t\\n\\f\\r ]+", "(?i)api[_-]?key[=:][^\\t\\n\\f\\r &\"'']+", "(?i)x-api-key[:\\t\\n\\f\\r ]+[^\\t\\n\\f\\r ]+",

@@ -6,9 +6,11 @@ collected to the driver.
 
 from __future__ import annotations
 
-import uuid
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,6 +23,8 @@ LEAST_BYTES = {"logwatch": 100, "drupal_watchdog": 50, "ocms": 1}
 ENTRY = "struct<wid:variant,uid:variant,type:variant,message:variant,variables:variant,severity:variant,link:variant,location:variant,referer:variant,hostname:variant,timestamp:variant>"
 NUMBERS = {"wid": "bigint", "uid": "bigint", "severity": "int", "timestamp": "bigint"}
 TEXTS = ("type", "message", "variables", "link", "location", "referer", "hostname")
+#: Elements of an array, and their bytes, that are handed on together.
+ELEMENTS, ELEMENT_BYTES = 4096, 4 << 20
 EXCLUSION_SCOPES = ("global", "logwatch", "drupal", "ocms")
 VERSIONS = ("1.0", "1.1", "1.2")
 
@@ -40,16 +44,48 @@ def profile(files: DataFrame, now: Column) -> DataFrame:
     return files.select("path", "size_bytes", (F.col("size_bytes") / 1048576.0).alias("size_mb"), "modified", age.alias("age_hours"))
 
 
-def admit(files: DataFrame, source_type: str, now: Column, max_mb: int = 10) -> tuple[DataFrame, DataFrame]:
-    """``(reports, rejects)``; the first failing check gives the reason."""
-    size = F.octet_length("content")
-    stale = F.lit(False) if source_type == "drupal_watchdog" else F.unix_timestamp(now) - F.unix_timestamp("modified") > 24 * 3600
-    reason = (
-        F.when(F.col("size_bytes") > max_mb * 1024 * 1024, "too large").when(stale, "older than 24 hours").when(size == 0, "empty")
-        .when(size < LEAST_BYTES[source_type], "too short")
-    )
-    marked = files.withColumn("reason", reason)
-    return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null").select("path", "reason")
+def list_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """``(path, size_bytes, modified)`` of files, by their metadata alone: no file is opened. Spark leaves empty files out of every scan, this one too."""
+    return spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+
+
+def _limits(source_type: str, now: Column, max_mb: float) -> tuple[int, Column | None, int]:
+    """The most bytes, the oldest time if there is one, and the least bytes that metadata can judge.
+
+    What a watchdog file must hold is said of the digest made of it (``admit_digests``), not of the file.
+    """
+    watchdog = source_type == "drupal_watchdog"
+    return int(max_mb * 1024 * 1024), None if watchdog else now - F.expr("INTERVAL 24 HOURS"), 1 if watchdog else LEAST_BYTES[source_type]
+
+
+def refusal(size: Column, modified: Column, source_type: str, now: Column, max_mb: float = 10) -> Column:
+    """Why a file is not admitted, by its metadata; the first failing check gives the reason, null admits."""
+    most, oldest, least = _limits(source_type, now, max_mb)
+    stale = F.lit(False) if oldest is None else modified < oldest
+    return F.when(size > most, "too large").when(stale, "older than 24 hours").when(size == 0, "empty").when(size < least, "too short")
+
+
+def admitted(spark: SparkSession, paths: list[str] | str, source_type: str, now: Column, max_mb: float = 10) -> tuple[DataFrame, DataFrame]:
+    """``(reports, rejects)`` of files: listed first, and only those admitted are read.
+
+    The limits on size and time are conditions on the metadata of the scan itself,
+    so Spark leaves other files out of its listing and makes no task for them.
+    ``now`` must be a constant. Rejects carry path, size and reason.
+    """
+    listed = list_files(spark, paths).withColumn("reason", refusal(F.col("size_bytes"), F.col("modified"), source_type, now, max_mb))
+    most, oldest, least = _limits(source_type, now, max_mb)
+    size, modified = F.col("_metadata.file_size"), F.col("_metadata.file_modification_time")
+    files = spark.read.text(paths, wholetext=True).filter((size <= most) & (size >= least))
+    if oldest is not None:
+        files = files.filter(modified >= oldest)
+    read = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), size.alias("size_bytes"), modified.alias("modified"))
+    return read, listed.filter("reason is not null").select("path", "size_bytes", "reason")
+
+
+def admit_digests(digests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S2 for watchdog reports: ``(digests, rejects)`` of ``(report_id, n_entries, content)``: short ones pass only if there are no entries."""
+    short = (F.octet_length("content") < LEAST_BYTES["drupal_watchdog"]) & (F.col("n_entries") > 0)
+    return digests.filter(~short), digests.filter(short).select("report_id", F.lit("too short").alias("reason"))
 
 
 def labelled_union(files: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,74 +106,139 @@ def labelled_union(files: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Data
     )
 
 
-def _entries(value: Column) -> Column:
-    """Zero values for missing fields, from a struct of variants."""
+def entry_fields(value: Column, more: tuple[str, ...] = ()) -> Column:
+    """Zero values for missing fields, from a struct of variants; ``more`` names further texts."""
     numbers = [F.coalesce(F.try_variant_get(value[c], "$", t), F.lit(0)).cast(t).alias(c) for c, t in NUMBERS.items()]
-    texts = [F.coalesce(F.try_variant_get(value[c], "$", "string"), F.lit("")).alias(c) for c in TEXTS]
+    texts = [F.coalesce(F.try_variant_get(value[c], "$", "string"), F.lit("")).alias(c) for c in (*TEXTS, *more)]
     return F.struct(*numbers, *texts)
 
 
-def _typed(value: Column) -> Column:
+def well_typed(value: Column, more: tuple[str, ...] = ()) -> Column:
     """False where a field holds a value of another type; such an entry does not parse."""
     def kind(c: str) -> Column:
         return F.coalesce(F.schema_of_variant(value[c]), F.lit("VOID"))
 
     numbers = [kind(c).isin("BIGINT", "VOID") for c in NUMBERS]
-    return reduce(lambda a, b: a & b, [*numbers, *(kind(c).isin("STRING", "VOID") for c in TEXTS)])
+    return reduce(lambda a, b: a & b, [*numbers, *(kind(c).isin("STRING", "VOID") for c in (*TEXTS, *more))])
+
+
+def is_entry(text: Column, parsed: Column, more: tuple[str, ...] = ()) -> Column:
+    """Whether a JSON text is one entry: an object whose fields have their types."""
+    return F.coalesce(text.startswith("{") & F.try_parse_json(text).isNotNull() & well_typed(parsed, more), F.lit(False))
+
+
+_STRUCTURE = re.compile(rb'"(?:[^"\\]|\\.)*+"|[\[\]{},"]', re.DOTALL)
+
+
+def array_elements(text: bytes) -> Iterator[tuple[int, int] | None]:
+    """Where the elements of a JSON array begin and end, one after the other; ``None`` at last if it is no whole array.
+
+    Only brackets, commas and strings are looked at. What an element holds is for its parser to judge.
+    """
+    depth, begin, some = 0, 0, False
+    for m in _STRUCTURE.finditer(text):
+        c = text[m.start()]
+        if c in b"[{":
+            depth += 1
+            if depth == 1:
+                begin = m.end()
+        elif c in b"]}":
+            depth -= 1
+            if depth == 0:
+                if some or text[begin:m.start()].strip():
+                    yield begin, m.start()
+                if text[m.end():].strip() or text[m.start()] != 93:
+                    yield None
+                return
+        elif c == 44 and depth == 1:
+            some = True
+            yield begin, m.start()
+            begin = m.end()
+        elif c == 34 and m.end() - m.start() == 1:
+            break
+    yield None
+
+
+def split_arrays(reports: DataFrame) -> DataFrame:
+    """``(report_id, entry_no, element)`` of ``(report_id, body)``: the elements of each body's array as text.
+
+    One element after the other leaves the text, a few megabytes at a time, so an
+    array is never held in parsed form. A body that is no whole array ends with an element that is null.
+    """
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, held, size = batch.column(1)[i].as_py(), [], 0
+                no = 0
+                for place in array_elements(text):
+                    held.append((no, None if place is None else text[place[0]:place[1]]))
+                    size += 0 if place is None else place[1] - place[0]
+                    no += 1
+                    if len(held) == ELEMENTS or size > ELEMENT_BYTES:
+                        yield made(batch, i, held)
+                        held, size = [], 0
+                if held:
+                    yield made(batch, i, held)
+
+    def made(batch: pa.RecordBatch, i: int, held: list) -> pa.RecordBatch:
+        ids = batch.column(0).take(pa.array([i] * len(held), pa.int32()))
+        return pa.RecordBatch.from_arrays([ids, pa.array([n for n, _ in held], pa.int32()), pa.array([e for _, e in held], pa.binary())], names=["report_id", "entry_no", "element"])
+
+    given = reports.select("report_id", F.col("body").cast("binary").alias("body"))
+    split = given.mapInArrow(rows, f"report_id {given.schema['report_id'].dataType.simpleString()}, entry_no int, element binary")
+    return split.withColumn("element", T.trimmed(F.col("element").cast("string")))
 
 
 def parse_watchdog_json(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(entries, rejects)`` of ``(report_id, content)``: an array, else one object, else one object per line.
 
-    Lines that do not parse are dropped; a line over 10 MiB or no entry at all
-    rejects the report. ``null`` and ``[]`` hold no entries.
+    An array of which any element is no entry is read by lines, as is an object with
+    a field of another type. Lines that do not parse are dropped; a line over 10 MiB
+    or no entry at all rejects the report. ``null`` and ``[]`` hold no entries.
     """
     body = reports.select("report_id", T.trimmed(F.coalesce("content", F.lit(""))).alias("body"))
     lines_of = F.split("body", "\n", -1)
     first = F.regexp_extract("body", r"(?d)\A\s*(.*)", 1)
-    whole = F.try_parse_json("body")
     lone = F.from_json("body", ENTRY)
-    by_line = ~F.col("body").startswith("[") & (F.size(lines_of) > 1) & first.rlike(r"^\{.*\},?\s*$") & F.try_parse_json(F.regexp_replace(first, r",\s*$", "")).isNotNull()
+    by_line = (F.size(lines_of) > 1) & first.rlike(r"^\{.*\},?\s*$") & F.try_parse_json(F.regexp_replace(first, r",\s*$", "")).isNotNull()
     shape = (
-        F.when(F.col("body").isin("null", "[]"), "none")
-        .when(F.col("body").startswith("[") & F.col("body").endswith("]") & whole.isNotNull(), "array")
-        .when(~by_line & F.col("body").startswith("{") & whole.isNotNull() & _typed(lone), "object").otherwise("lines")
+        F.when(F.col("body") == "null", "none").when(F.col("body").startswith("[") & F.col("body").endswith("]"), "array")
+        .when(~by_line & is_entry(F.col("body"), lone), "object").otherwise("lines")
     )
     shaped = body.withColumn("shape", shape)
-    items = F.when(F.col("shape") == "array", F.from_json("body", f"array<{ENTRY}>")).when(F.col("shape") == "object", F.array(lone))
-    structured = shaped.filter("shape in ('array', 'object')").select("report_id", F.posexplode(items).alias("entry_no", "e"))
-    structured = structured.withColumn("ok", F.coalesce(_typed(F.col("e")), F.lit(False)))
-    bad = structured.groupBy("report_id").agg(F.bool_and("ok").alias("ok")).filter("not ok").select("report_id", F.lit("an entry does not parse").alias("reason"))
-    good = structured.join(bad.select("report_id"), "report_id", "left_anti").select("report_id", "entry_no", _entries(F.col("e")).alias("e"))
-    raw = shaped.filter("shape = 'lines'").select("report_id", F.posexplode(lines_of).alias("entry_no", "line")).withColumn("line", T.trimmed(F.col("line")))
+    arrays = shaped.filter("shape = 'array'")
+    elements = split_arrays(arrays).withColumn("e", F.from_json("element", ENTRY)).withColumn("ok", is_entry(F.col("element"), F.col("e")))
+    broken = elements.groupBy("report_id").agg(F.bool_and("ok").alias("ok")).filter("not ok").select("report_id")
+    whole = elements.join(broken, "report_id", "left_anti").select("report_id", "entry_no", entry_fields(F.col("e")).alias("e"))
+    alone = shaped.filter("shape = 'object'").select("report_id", F.lit(0).alias("entry_no"), entry_fields(lone).alias("e"))
+    by_lines = shaped.filter("shape = 'lines'").union(arrays.join(broken, "report_id", "left_semi").select(*shaped.columns))
+    raw = by_lines.select("report_id", F.posexplode(lines_of).alias("entry_no", "line")).withColumn("line", T.trimmed(F.col("line")))
     over = raw.filter(F.octet_length("line") > MAX_LINE_BYTES).select("report_id", F.lit("a line is too long").alias("reason")).distinct()
-    read = raw.filter(~F.col("line").isin("", "[", "]")).withColumn("line", F.regexp_replace("line", r",\z", "")).filter(F.try_parse_json("line").isNotNull() & F.col("line").startswith("{"))
-    read = read.withColumn("e", F.from_json("line", ENTRY)).filter(_typed(F.col("e"))).select("report_id", "entry_no", _entries(F.col("e")).alias("e")).join(over, "report_id", "left_anti")
-    empty = shaped.filter("shape = 'lines'").join(read, "report_id", "left_anti").join(over, "report_id", "left_anti").select("report_id", F.lit("no entries").alias("reason"))
-    return good.union(read).select("report_id", "entry_no", "e.*"), bad.union(over).union(empty)
+    read = raw.filter(~F.col("line").isin("", "[", "]")).withColumn("line", F.regexp_replace("line", r",\z", "")).withColumn("e", F.from_json("line", ENTRY))
+    read = read.filter(is_entry(F.col("line"), F.col("e"))).select("report_id", "entry_no", entry_fields(F.col("e")).alias("e")).join(over, "report_id", "left_anti")
+    empty = by_lines.join(read, "report_id", "left_anti").join(over, "report_id", "left_anti").select("report_id", F.lit("no entries").alias("reason"))
+    return whole.union(alone).union(read).select("report_id", "entry_no", "e.*"), over.union(empty)
 
 
 def parse_watchdog_table(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(entries, rejects)`` of tables with columns id, date, type, severity and message.
 
-    Fields are parted by any white space, and the message is the rest of its line; a
-    type of several words is taken where two blanks and a known severity follow it.
-    Lines up to the first header or rule line are ignored, and so are later ones;
-    lines with a bad id or date are dropped; an unknown severity name counts as notice.
+    Fields are parted by white space: type and severity are one word each, the
+    message is the rest of its line. Lines up to the first header or rule line are
+    ignored, and so are later ones; lines with a bad id or date are dropped; an
+    unknown severity name counts as notice.
     """
-    begin = r"^\s*(\d+)\s+(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\s+"
-    narrow, wide = begin + r"(\S+)\s+(\S+)\s+(.*)$", begin + r"(.+?)\s{2,}([A-Za-z]+)\s+(.*)$"
+    row = r"(?ds)\A(\d+)\s+(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+)\s+(.*)\z"
     rows = reports.select("report_id", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line")).withColumn("line", T.trimmed(F.col("line")))
     header = F.col("line").startswith("ID") | F.col("line").startswith("---")
     head = F.when(header, F.col("line_no"))
     body = rows.withColumn("start", F.min(head).over(W.partitionBy("report_id"))).filter(~header & (F.col("line_no") > F.col("start")))
-    spaced = L.severity_level(F.lower(F.regexp_extract("line", wide, 4))) >= 0
-    part = lambda i: F.when(spaced, F.regexp_extract("line", wide, i)).otherwise(F.regexp_extract("line", narrow, i))
+    part = lambda i: F.regexp_extract("line", row, i)
     level = L.severity_level(F.lower(part(4)))
     entries = body.select(
         "report_id", F.col("line_no").alias("entry_no"), part(1).try_cast("bigint").alias("wid"),
-        F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(part(2), r"\s+", " "), F.lit("yyyy-MM-dd HH:mm:ss"))).alias("timestamp"), T.trimmed(part(3)).alias("type"),
-        F.when(level < 0, 5).otherwise(level).alias("severity"), T.trimmed(part(5)).alias("message"),
+        F.unix_timestamp(F.try_to_timestamp(part(2), F.lit("yyyy-MM-dd HH:mm:ss"))).alias("timestamp"), part(3).alias("type"),
+        F.when(level < 0, 5).otherwise(level).alias("severity"), part(5).alias("message"),
     ).filter("wid is not null and timestamp is not null")
     return entries, reports.join(entries, "report_id", "left_anti").select("report_id", F.lit("no entries").alias("reason"))
 
@@ -169,25 +270,75 @@ def parse_registry(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("reason is null").select("report_id", "site_id", "directory", "user", "port"), marked.filter("reason is not null").select("report_id", "line_no", "reason")
 
 
-def parse_site_config(configs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(sites, rejects)`` of ``(config_id, content)``: CMS shape (watchdog paths) or application shape (log kinds)."""
+# The fields of the two site configurations; a star stands for any site id.
+CMS_FIELDS = (
+    "version", "default_site", "sites", "sites.*", "sites.*.name", "sites.*.drupal_root", "sites.*.watchdog_path",
+    "sites.*.watchdog_format", "sites.*.min_severity", "sites.*.watchdog_limit",
+)
+APPLICATION_FIELDS = ("version", "default_site", "registry_path", "default_log_kind", "sites", "sites.*", "sites.*.name", "sites.*.log_kind")
+
+
+def json_fields(configs: DataFrame, depth: int, any_key: tuple[str, ...] = (), within: tuple[str, ...] | None = None) -> DataFrame:
+    """``(config_id, path, rule)``: every field of JSON objects down to ``depth``, found by walking the keys of a VARIANT.
+
+    ``path`` names the field, ``rule`` is the path with a star for keys right under
+    a path of ``any_key``. Arrays are not entered, and of fields only those whose rule
+    is in ``within``, if that is given; text that is no JSON has no fields.
+    """
+    level = configs.select("config_id", F.lit("").alias("path"), F.lit("").alias("rule"), F.try_parse_json("content").alias("value"))
+    found = []
+    for _ in range(depth):
+        objects = level.filter(F.schema_of_variant("value").startswith("OBJECT"))
+        inner = objects.lateralJoin(configs.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("pos", "key", "inside"))
+        dotted = lambda c, key: F.concat(F.when(F.col(c) != "", F.concat(F.col(c), F.lit("."))).otherwise(""), key)
+        key = F.when(F.col("rule").isin(*any_key), F.lit("*")).otherwise(F.col("key"))
+        level = inner.select("config_id", dotted("path", F.col("key")).alias("path"), dotted("rule", key).alias("rule"), F.col("inside").alias("value"))
+        found.append(level.select("config_id", "path", "rule"))
+        level = level if within is None else level.filter(F.lower("rule").isin(*within))
+    return reduce(DataFrame.union, found)
+
+
+def unknown_fields(configs: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """``(config_id, path)`` of fields outside ``allowed``, whose names count in any case; what they hold is not looked at."""
+    fields = json_fields(configs, max(a.count(".") for a in allowed) + 1, tuple(a[:-2] for a in allowed if a.endswith(".*")), allowed)
+    return fields.filter(~F.lower("rule").isin(*allowed)).select("config_id", "path")
+
+
+def parse_site_config(configs: DataFrame, shape: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(sites, rejects)`` of ``(config_id, content)``: the CMS shape, or the application shape, which knows its fields.
+
+    ``shape`` is ``cms`` or ``application``; without one a config that names a
+    registry or a log kind is of the application shape. Any fault rejects a config
+    whole, each with its reason: unknown fields (application shape only) with their
+    path, no sites, an unknown default site, and faults of sites under their id.
+    """
     site = "struct<name:string,drupal_root:string,watchdog_path:string,watchdog_format:string,min_severity:int,watchdog_limit:int,log_kind:string>"
     read = configs.withColumn("c", F.from_json("content", f"struct<version:string,default_site:string,registry_path:string,default_log_kind:string,sites:map<string,{site}>>"))
+    kinds = F.coalesce(F.exists(F.map_values("c.sites"), lambda s: s["log_kind"].isNotNull()), F.lit(False))
+    guessed = F.col("c.registry_path").isNotNull() | F.col("c.default_log_kind").isNotNull() | kinds
+    read = read.withColumn("application", F.coalesce(guessed, F.lit(False)) if shape is None else F.lit(shape == "application"))
     top = (
-        F.when(F.col("c.sites").isNull() | (F.size("c.sites") == 0), "no sites")
+        F.when(F.try_parse_json("content").isNull() | F.col("c").isNull(), "does not parse").when(F.col("c.sites").isNull() | (F.size("c.sites") == 0), "no sites")
         .when((F.coalesce("c.default_site", F.lit("")) != "") & ~F.coalesce(F.map_contains_key("c.sites", F.col("c.default_site")), F.lit(False)), "default site does not exist")
+        .when(F.col("application") & L.log_kind(F.coalesce("c.default_log_kind", F.lit(""))).isNull(), "unknown log kind")
+    )
+    faulty = read.select("config_id", F.lit(None).cast("string").alias("site_id"), top.alias("reason")).filter("reason is not null")
+    strange = unknown_fields(read.filter("application").select("config_id", "content"), APPLICATION_FIELDS)
+    strange = strange.select("config_id", F.lit(None).cast("string").alias("site_id"), F.concat(F.lit("unknown field: "), "path").alias("reason"))
+    rows = read.filter(top.isNull()).select(
+        "config_id", "application", F.col("c.default_site").alias("default_site"), F.col("c.registry_path").alias("registry_path"),
+        F.col("c.default_log_kind").alias("default_log_kind"), F.explode("c.sites").alias("site_id", "s"),
     )
-    read = read.withColumn("reason", top)
-    rows = read.filter("reason is null").select("config_id", F.col("c.default_site").alias("default_site"), F.col("c.registry_path").alias("registry_path"), F.col("c.default_log_kind").alias("default_log_kind"), F.explode("c.sites").alias("site_id", "s"))
-    cms = F.col("registry_path").isNull()
-    form = F.coalesce(F.nullif(F.lower("s.watchdog_format"), F.lit("")), F.lit("json"))
+    cms = ~F.col("application")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    form = F.coalesce(F.nullif("s.watchdog_format", F.lit("")), F.lit("json"))
     why = (
-        F.when(cms & (F.coalesce("s.watchdog_path", F.lit("")) == ""), "no watchdog path").when(cms & ~form.isin("json", "drush"), "unknown format")
-        .when(cms & ~F.coalesce("s.min_severity", F.lit(3)).between(0, 7), "severity out of range").when(~cms & L.log_kind(F.col("s.log_kind")).isNull(), "unknown log kind")
+        F.when(cms & blank("s.drupal_root"), "no drupal root").when(cms & blank("s.watchdog_path"), "no watchdog path").when(cms & ~form.isin("json", "drush"), "unknown format")
+        .when(cms & ~F.coalesce("s.min_severity", F.lit(0)).between(0, 7), "severity out of range").when(~cms & L.log_kind(F.coalesce("s.log_kind", F.lit(""))).isNull(), "unknown log kind")
     )
     marked = rows.withColumn("reason", why).withColumns({"format": form, "display_name": F.coalesce(F.nullif("s.name", F.lit("")), "site_id")})
-    good = marked.filter("reason is null").select("config_id", "site_id", "default_site", "display_name", "format", "default_log_kind", "s.*")
-    bad = read.filter("reason is not null").select("config_id", F.lit(None).cast("string").alias("site_id"), "reason").union(marked.filter("reason is not null").select("config_id", "site_id", "reason"))
+    bad = faulty.union(strange).union(marked.filter("reason is not null").select("config_id", "site_id", "reason"))
+    good = marked.join(bad.select("config_id").distinct(), "config_id", "left_anti").select("config_id", "site_id", "default_site", "display_name", "format", "registry_path", "default_log_kind", "s.*")
     return good, bad
 
 
@@ -231,14 +382,6 @@ def available_sites(sites: DataFrame) -> DataFrame:
     return sites.select("site_id", "display_name", (F.col("site_id") == F.col("default_site")).alias("is_default")).orderBy("site_id")
 
 
-def append_summaries(analyses: DataFrame, path: str) -> None:
-    """Append analyses, partitioned by source and day."""
-    source = F.coalesce(F.nullif("log_source_type", F.lit("")), F.lit("logwatch"))
-    rows = analyses.withColumns({"log_source_type": source, "summary_date": F.to_date("timestamp")})
-    key = F.sha2(F.concat_ws("|", F.col("timestamp").cast("string"), "log_source_type", "site_name", "summary"), 256)
-    rows.withColumn("summary_id", key).write.mode("append").partitionBy("log_source_type", "summary_date").parquet(path)
-
-
 def upgrade_summaries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(summaries, rejects)`` of old rows: text timestamps, JSON text lists, and no source or site in the first version."""
     for name, default in (("log_source_type", "logwatch"), ("site_name", "")):
@@ -252,23 +395,3 @@ def upgrade_summaries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     columns = [c for c in rows.columns if c not in ("timestamp", *lists)]
     good = marked.filter("reason is null").select(*columns, F.col("_at").alias("timestamp"), *[F.coalesce(f"_{c}", F.array().cast("array<string>")).alias(c) for c in lists])
     return good, marked.filter("reason is not null").select(*columns, "timestamp", "reason")
-
-
-def apply_retention(spark: SparkSession, path: str, now: Column, days: int = 90) -> int:
-    """Rewrite the stored table without expired rows, by way of a staged copy of the affected days; the number deleted."""
-    table = spark.read.parquet(path)
-    old = F.col("timestamp") < now - F.expr(f"INTERVAL {int(days)} DAYS")
-    n = table.filter(old).count()
-    if n:
-        parts = table.filter(old).select("log_source_type", "summary_date").distinct()
-        staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-        table.join(parts, ["log_source_type", "summary_date"], "left_semi").filter(~old).write.partitionBy("log_source_type", "summary_date").parquet(staged)
-        kept = spark.read.schema(table.schema).option("basePath", staged).parquet(staged)
-        emptied = parts.join(kept.select("log_source_type", "summary_date").distinct(), ["log_source_type", "summary_date"], "left_anti").collect()  # one row per emptied day
-        if not kept.isEmpty():
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_source_type", "summary_date").parquet(path)
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        for r in emptied:
-            gone = hadoop(f"{path}/log_source_type={r['log_source_type']}/summary_date={r['summary_date']}")
-            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
-    return n

@@ -280,3 +280,30 @@ def test_every_report_query_runs(spark):
     known = __spark_entry__.queries()
     empty = [name for name in registry.QUERIES if not known[name](spark, folder).count()]
     assert set(empty) <= {"repeated_failures", "failure_windows"}  # the smallest table need not hold a burst
+
+
+def test_patterns_of_a_scope_meet_texts_by_automata_or_by_joins(spark):
+    import random
+
+    rng = random.Random(3)
+    bits = ["Disk", "disk full", "éa", "É", "php", "a", "zz", "full"]
+    lists = {n: sorted(rng.sample(bits, 3)) for n in ("global", "logwatch", "drupal", "site/1", "site/2")} | {"global": ["ZZ"]}
+    listed = [(n.split("/")[0], n.split("/")[1] if "/" in n else "", i, p) for n, ps in lists.items() for i, p in enumerate(ps)] + [("ocms", "", i, f"p{i}") for i in range(60)]
+    patterns = prompts.scoped_patterns(spark.createDataFrame(listed, "scope string, site_id string, pos int, pattern string"))
+    assert patterns.filter("name = 'ocms'").count() == prompts.MOST_PATTERNS
+    kinds = [("logwatch", "1"), ("drupal_watchdog", "1"), ("drupal_watchdog", "2"), ("drupal_watchdog", None), ("ocms", "1"), (None, None)]
+    rows = [(i, *rng.choice(kinds), " ".join(rng.choice([*bits, "x", "P7", "p55"]) for _ in range(rng.randint(0, 3)))) for i in range(300)] + [(300, "ocms", "1", None)]
+    findings = spark.createDataFrame([(*r, 1) for r in rows], "id int, source string, site string, text string, `a.b` int")
+    scopes = prompts.scopes_of(F.col("source"), F.col("site"))
+    lists["ocms"] = [f"p{i}" for i in range(50)]
+
+    def stays(source, site, text):
+        own = {"drupal_watchdog": "drupal"}.get(source, source)
+        names = ["global", own] + ([f"site/{site}"] if own == "drupal" and site else [])
+        return text is None or not any(p.lower() in text.lower() for n in names for p in lists.get(n, []))
+
+    want = [i for i, *r in rows if stays(*r)]
+    assert 0 < len(want) < 300
+    for most in (1 << 20, 0):
+        kept = prompts.without_excluded(findings, patterns, scopes, shipped_bytes=most)
+        assert kept.columns == findings.columns and sorted(r.id for r in kept.collect()) == want
