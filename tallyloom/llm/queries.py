@@ -185,7 +185,7 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_rows(table(spark, sf_dir, "documents"))
     return out.select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version", "next_shard",
+        F.lit(None).cast("int").alias("grown_shard"), "vslot", "part", "map_version", "next_shard",
     )
 
 

@@ -30,7 +30,7 @@ def test_even_bytes_gapless_slots_and_sizes(spark):
 
 
 def test_the_map_covers_all_slots_and_versions_only_move_to_the_new_shard(spark):
-    rows = spark.range(3000).select(sharding.slot_of(F.col("id"), 128).alias("vslot"), (F.col("id") % 97 + 1).alias("size"))
+    rows = spark.range(3000).select(sharding.slot_of(F.col("id"), 128).alias("vslot"), F.lit(0).alias("part"), (F.col("id") % 97 + 1).alias("size"))
     sizes = sharding.slot_sizes(rows)
     first = sharding.new_map(sizes, 128, 4)
     second = sharding.grow(first, sizes, 4)
@@ -46,3 +46,54 @@ def test_nulls_repeats_and_empty(spark):
     out = sharding.shard_rows(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((str(r.id), r.size) for r in out) == [("7", 2), ("7", 2), ("None", 1), ("None", 2)]
     assert len({(r.shard, r.slot) for r in out}) == 4
+
+
+def test_an_id_on_a_third_of_all_rows_is_cut_into_parts(spark):
+    rows = [(7 if i % 3 == 0 else i, "x" * (i % 90)) for i in range(12_000)]
+    frame = spark.createDataFrame([(i, t, "clash", 1, 1) for i, t in rows], SCHEMA)
+    out = sharding.shard_rows(frame).collect()
+    held, places, last = Counter(), {}, Counter()
+    for r in out:
+        held[r.shard] += r.size
+        places.setdefault(r.shard, []).append(r.slot)
+        last[r.vslot, r.part] += 1
+    assert Counter((r.id, r.size) for r in out) == Counter((i, len(t) + 1) for i, t in rows)
+    assert all(sorted(s) == list(range(len(s))) for s in places.values()) and len(places) == 16
+    assert max(held.values()) <= 1.03 * min(held.values())
+    assert max(last.values()) < 100  # no window sorts the whole id
+
+
+def test_slots_are_dealt_as_by_a_plain_version(spark):
+    given = {(s, p): (s * 37 + p * 11) % 101 for s in range(60) for p in range(1 + s % 3)}
+    sizes = spark.createDataFrame([(s, p, b, 1) for (s, p), b in given.items() if b], "vslot int, part int, bytes long, rows long")
+    full = {k: b for k, b in given.items() if b} | {(s, 0): 0 for s in range(60) if not any(b for (v, _), b in given.items() if v == s)}
+    loads, want = [0] * 5, {}
+    for (s, p), b in sorted(full.items(), key=lambda x: (-x[1], x[0])):
+        shard = loads.index(min(loads))
+        loads[shard] += b
+        want[s, p] = shard
+    assert {(r.vslot, r.part): r.shard for r in sharding.new_map(sizes, 60, 5).collect()} == want
+
+
+def test_maps_are_stored_loaded_and_rebalanced(spark, tmp_path):
+    path = str(tmp_path / "map")
+    sizes = spark.createDataFrame([(s, 0, 10, 1) for s in range(64)], "vslot int, part int, bytes long, rows long")
+    sharding.store_map(sharding.new_map(sizes, 64, 4), path)
+    first = sharding.load_map(spark, path)
+    changed = spark.createDataFrame([(s, p, 60 if s % 8 == 0 else 10, 1) for s in range(64) for p in range(1 + (s == 8))], "vslot int, part int, bytes long, rows long")
+    sharding.store_map(sharding.rebalance(first, changed, 4), path)
+    new = sharding.load_map(spark, path)
+    assert {r.version for r in new.collect()} == {2} and {r.version for r in sharding.load_map(spark, path, 1).collect()} == {1}
+    before, after = ({(r.vslot, r.part): r.shard for r in m.collect()} for m in (first, new))
+    assert set(after) == {(r.vslot, r.part) for r in changed.collect()}
+    weights = {(r.vslot, r.part): r.bytes for r in changed.collect()}
+    load = lambda m: [sum(b for k, b in weights.items() if m.get(k) == s) for s in range(4)]
+    mean = sum(weights.values()) / 4
+    assert max(load(after)) - min(load(after)) <= 60 < max(load(before)) - min(load(before)) + 61
+    moved = [k for k in before if before[k] != after[k]]
+    assert all(load(before)[before[k]] > mean for k in moved)
+    try:
+        sharding.store_map(new, path)
+        raise AssertionError("a version was replaced")
+    except Exception as e:
+        assert "already exists" in str(e).lower() or "PATH_ALREADY_EXISTS" in str(e)
