@@ -77,6 +77,55 @@ def collapse_lines(spark, sf_dir):
     return before.join(after.groupBy("report_id").agg(F.count("*").alias("lines_after"), F.max(F.coalesce("times", F.lit(1))).alias("most_repeated")), "report_id")
 
 
+def _rejoined(norm: str, least: int, suffix: str, closing: str) -> str:
+    """SQL of every document's lines after near-duplicate collapse, joined again."""
+    return f"""WITH l AS (SELECT doc_id, generate_subscripts(a, 1) AS no, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+n AS (SELECT *, {norm} AS norm, count(*) OVER (PARTITION BY doc_id) AS lines FROM l),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY no) AS first, count(*) OVER (PARTITION BY doc_id, norm) AS times FROM n)
+SELECT doc_id AS report_id, md5(string_agg(line || CASE WHEN lines > {least} AND norm <> '' AND times > 1 THEN {suffix} ELSE '' END, chr(10) ORDER BY no) || {closing}) AS digest
+FROM c WHERE lines <= {least} OR norm = '' OR first = 1 GROUP BY doc_id"""
+
+
+def _one_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines as one section."""
+    return S.lines(doc_reports(spark, sf_dir).select("report_id", F.lit(0).alias("section_no"), F.coalesce("content", F.lit("")).alias("content")))
+
+
+@query(_rejoined(NORM, 10, "' (occurred ' || times || ' times)'", "CASE WHEN max(lines) > 10 THEN chr(10) ELSE '' END"))
+def collapsed_texts(spark, sf_dir):
+    """Every document's text after near-duplicate collapse."""
+    joined = S.gathered(S.collapse_host(_one_section(spark, sf_dir)))
+    return joined.select("report_id", F.md5(F.array_join("lines", "\n")).alias("digest"))
+
+
+CMS_NORM = (
+    f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^[{SPACES}]+|[{SPACES}]+$', '', 'g'), "
+    r"'[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}', 'UUID', 'g'), '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b', 'IP', 'g'), "
+    r"'\d{4}-\d{2}-\d{2}[\t\n\f\r ]+\d{2}:\d{2}:\d{2}', 'TIMESTAMP', 'g'), '\b\d{2}:\d{2}:\d{2}\b', 'TIME', 'g'), '\b\d+([a-zA-Z]+)\b', 'N\1', 'g'), '\b\d+\b', 'N', 'g')"
+)
+
+
+@query(_rejoined(CMS_NORM, 5, "' (x' || times || ')'", "''"))
+def collapsed_cms_texts(spark, sf_dir):
+    """The same by the rule of CMS digests."""
+    joined = S.gathered(S.collapse_cms(_one_section(spark, sf_dir)))
+    return joined.select("report_id", F.md5(F.array_join("lines", "\n")).alias("digest"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, generate_subscripts(a, 1) AS no, unnest(a) AS raw, len(a) AS n, a FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+b AS (SELECT *, regexp_replace(raw, '\\r+$', '') AS line, regexp_replace(raw, '^[{SPACES}]+|[{SPACES}]+$', '', 'g') = '' AS blank FROM l),
+p AS (SELECT *, {NORM} AS norm, CASE WHEN blank THEN NULL WHEN no <= 2 THEN 1 WHEN regexp_matches(lower(raw), '{'|'.join(T.HOST_ESSENTIAL)}') THEN 2 WHEN no > n - 2 THEN 3 END AS phase FROM b WHERE n > 6),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY phase, no) AS r FROM p WHERE phase IS NOT NULL),
+f AS (SELECT doc_id, count(*) AS kept, string_agg(line, chr(10) ORDER BY phase, no) AS text FROM k WHERE r = 1 GROUP BY 1),
+t AS (SELECT doc_id, 1 AS kept, line AS text FROM b WHERE n > 6 AND no = 3 AND NOT blank AND doc_id NOT IN (SELECT doc_id FROM f)),
+d AS (SELECT DISTINCT doc_id, n, array_to_string(a, chr(10)) AS whole FROM l)
+SELECT d.doc_id AS report_id, md5(CASE WHEN n <= 6 THEN whole ELSE concat_ws(chr(10), coalesce(f.text, t.text), CASE WHEN n > coalesce(f.kept, t.kept, 0) THEN '[... ' || (n - coalesce(f.kept, t.kept, 0)) || ' more lines omitted for brevity ...]' END) END) AS digest
+FROM d LEFT JOIN f USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def essential_texts(spark, sf_dir):
+    """Every document's essential lines."""
+    return S.essential_lines(_one_section(spark, sf_dir)).select("report_id", F.md5("essential").alias("digest"))
+
+
 @query(f"SELECT doc_id AS report_id, {TOKENS} AS tokens FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def token_estimates(spark, sf_dir):
     """A9."""
@@ -135,7 +184,41 @@ def repeated_failures(spark, sf_dir):
     return E.repeated_failures(entries(spark, sf_dir), F.col("severity") == 3, 2)
 
 
-@query()
+def _part(no: int, title: str, rows: str, line: str, order: str, head: str = "''", tail: str = "''") -> str:
+    """SQL of one section of the digest; ``rows`` names its table."""
+    return (
+        f"SELECT report_id, {no} AS part, '## {title}' || chr(10) || {head} || string_agg({line}, '' ORDER BY {order}) || {tail} || chr(10) AS text FROM {rows} GROUP BY report_id"
+    )
+
+
+_LEVEL = "CASE severity WHEN 3 THEN 'error' WHEN 4 THEN 'warning' WHEN 5 THEN 'notice' WHEN 6 THEN 'info' ELSE 'debug' END"
+_AT = "strftime(to_timestamp({}), '%Y-%m-%d %H:%M:%S')"
+_MORE = "CASE WHEN max({0}) > 0 THEN {2} || '... and ' || max({0}) || ' more {1}' || chr(10) ELSE '' END"
+_GROUPED = "SELECT report_id, pattern, count(*) AS n, arg_min(type, (-timestamp, -wid)) AS type FROM p WHERE {} GROUP BY 1, 2"
+DIGESTS = ENTRIES + (
+    r", p AS (SELECT *, regexp_replace(regexp_replace(message, '\b\d+\b', '[N]', 'g'), '/[a-zA-Z0-9/_-]+', '[PATH]', 'g') AS pattern FROM e), "
+    f"sev AS (SELECT report_id, severity, upper({_LEVEL}) AS name, count(*) AS n FROM e GROUP BY 1, 2, 3), typ AS (SELECT report_id, type, count(*) AS n FROM e GROUP BY 1, 2), "
+    f"crit AS (SELECT *, row_number() OVER w AS r, greatest(count(*) OVER (PARTITION BY report_id) - 50, 0) AS more FROM e WHERE severity <= 3 WINDOW w AS (PARTITION BY report_id ORDER BY timestamp DESC, wid DESC) QUALIFY r <= 50), "
+    f"note AS (SELECT *, row_number() OVER w AS r, greatest(count(*) OVER (PARTITION BY report_id) - 20, 0) AS more FROM e WHERE severity IN (5, 6) WINDOW w AS (PARTITION BY report_id ORDER BY timestamp DESC, wid DESC) QUALIFY r <= 20), "
+    f"warn AS ({_GROUPED.format('severity = 4')}), acc AS ({_GROUPED.format(chr(39) + 'access denied' + chr(39) + ' = type')}), "
+    f"miss AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY n DESC, pattern) AS r, sum(n) OVER (PARTITION BY report_id) AS total, greatest(count(*) OVER (PARTITION BY report_id) - 10, 0) AS more "
+    f"FROM ({_GROUPED.format(chr(39) + 'page not found' + chr(39) + ' = type')}) QUALIFY r <= 10), parts AS ("
+    f"SELECT report_id, 0 AS part, '## Summary Statistics' || chr(10) || 'Total entries: ' || count(*) || chr(10) || 'Time range: ' || {_AT.format('min(timestamp)')} || ' to ' || {_AT.format('max(timestamp)')} || chr(10) || chr(10) AS text FROM e GROUP BY report_id UNION ALL "
+    + " UNION ALL ".join((
+        _part(1, "Severity Breakdown", "sev", "'- ' || name || ': ' || n || chr(10)", "severity"), _part(2, "Entry Types", "typ", "'- ' || type || ': ' || n || chr(10)", "n DESC, type"),
+        _part(3, "Critical/Error Entries (Full Detail)", "crit", f"'[' || {_AT.format('timestamp')} || '] ' || upper({_LEVEL}) || ' | ' || type || ' | ' || hostname || ' | /' || chr(10) || '  Message: ' || message || chr(10)", "r",
+              tail=_MORE.format("more", "critical/error entries", "chr(10)")),
+        _part(4, "Warning Entries", "warn", "'- [' || n || 'x] ' || type || ': ' || pattern || chr(10)", "n DESC, pattern"),
+        _part(5, "Access/Permission Events", "acc", "'- [' || n || 'x] ' || pattern || chr(10)", "n DESC, pattern"),
+        _part(6, "Page Not Found (404) Summary", "miss", "'- [' || n || 'x] ' || pattern || chr(10)", "r", "'Total 404 errors: ' || CAST(max(total) AS BIGINT) || chr(10)", _MORE.format("more", "unique 404 patterns", "''")),
+        _part(7, "Recent Notice/Info Entries (Sample)", "note", f"'- [' || {_LEVEL} || '] ' || type || ': ' || CASE WHEN length(message) > 100 THEN substr(message, 1, 97) || '...' ELSE message END || chr(10)", "r",
+              tail=_MORE.format("more", "notice/info entries", "''")),
+    ))
+    + ") "
+)
+
+
+@query(DIGESTS + "SELECT report_id, '=== DRUPAL WATCHDOG LOG ANALYSIS ===' || chr(10) || chr(10) || string_agg(text, '' ORDER BY part) AS content FROM parts GROUP BY 1")
 def watchdog_digests(spark, sf_dir):
     """R1 with A1-A6, W8."""
     e = entries(spark, sf_dir)
