@@ -576,15 +576,15 @@ STORED = ENTRIES + """, v AS (SELECT events.event_id, ts, CASE WHEN event_type I
   FROM events WHERE (event_id % 3 <> 0 OR event_id % 2 = 0) AND ts >= TIMESTAMP '2024-01-10') """
 
 
-def stored(spark: SparkSession, sf_dir: str) -> tuple[SummaryStore, int]:
-    """Events as analyses in a store: two overlapping batches, one of them twice, then all before a day deleted; and how many were."""
+def stored(spark: SparkSession, sf_dir: str, times: int = 1) -> tuple[SummaryStore, int]:
+    """Events as analyses in a store: two overlapping batches, the first ``times`` times, then all before a day deleted; and how many were."""
     made = read(spark, sf_dir, "events").select(
         "event_id", F.col("event_id").cast("string").alias("summary_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.when(F.col("event_type").isin("view", "click"), F.lit("ocms")).otherwise("").alias("log_source_type"),
         (F.col("user_id") % 3).cast("string").alias("site_name"), F.when(F.col("event_type") == "error", F.lit("Bad")).otherwise("Good").alias("system_status"),
         ((F.col("user_id") % 5) / 1e3).alias("cost_usd"), F.col("user_id").alias("input_tokens"), (F.col("event_id") % 1000).alias("output_tokens"),
     )
     store = SummaryStore(spark, new_path(spark, "store")).create()
-    for part in ("event_id % 3 <> 0", "event_id % 3 <> 0", "event_id % 2 = 0"):
+    for part in ["event_id % 3 <> 0"] * times + ["event_id % 2 = 0"]:
         store.append(made.filter(part))
     return store, store.retain(F.lit("2024-01-20").cast("timestamp"), 10)
 
@@ -593,7 +593,7 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[SummaryStore, int]:
 SELECT CAST(event_id AS VARCHAR) AS summary_id, log_source_type, site_name, CAST(ts AS DATE) AS summary_date, n_deleted FROM v, o""")
 def stored_summaries(spark, sf_dir):
     """What a store holds after repeated appends and retention."""
-    store, gone = stored(spark, sf_dir)
+    store, gone = stored(spark, sf_dir, 2)
     return store.read().select("summary_id", "log_source_type", "site_name", "summary_date", F.lit(gone).cast("bigint").alias("n_deleted"))
 
 
