@@ -305,7 +305,22 @@ def redacted_texts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.redact(put).alias("redacted"))
 
 
-@query()
+def _head(text: str) -> str:
+    """SQL of how many characters of a text fit into one part."""
+    return f"list_max(list_filter(range({P.PART_BYTES // 4}, {P.PART_BYTES + 1}), lambda n: strlen(substr({text}, 1, n)) <= {P.PART_BYTES}))"
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT conv_id AS report_id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1),
+l AS (SELECT report_id, unnest(a) AS line, generate_subscripts(a, 1) AS no FROM (SELECT report_id, string_split(body, chr(10)) AS a FROM m WHERE strlen(body) > {P.PART_BYTES})),
+c AS (SELECT report_id, no, 1 AS k, substr(line, 1, {_head('line')}) AS piece, substr(line, {_head('line')} + 1) AS rest FROM l WHERE strlen(line) >= {P.PART_BYTES}
+  UNION ALL SELECT report_id, no, k + 1, substr(rest, 1, {_head('rest')}), substr(rest, {_head('rest')} + 1) FROM c WHERE rest <> ''),
+s AS (SELECT report_id, no, 1 AS k, line || chr(10) AS piece, true AS packs FROM l WHERE strlen(line) < {P.PART_BYTES} UNION ALL SELECT report_id, no, k, piece, false FROM c),
+i AS (SELECT report_id, piece, packs, strlen(piece) AS b, row_number() OVER (PARTITION BY report_id ORDER BY no, k) AS i FROM s),
+g AS (SELECT report_id, i, packs, b AS held, 0 AS part_no FROM i WHERE i = 1 UNION ALL
+  SELECT i.report_id, i.i, i.packs, CASE WHEN i.packs AND g.packs AND held + b <= {P.PART_BYTES} THEN held + b ELSE b END, CASE WHEN i.packs AND g.packs AND held + b <= {P.PART_BYTES} THEN part_no ELSE part_no + 1 END
+  FROM g JOIN i ON i.report_id = g.report_id AND i.i = g.i + 1),
+p AS (SELECT report_id, part_no, string_agg(piece, '' ORDER BY i) AS text FROM g JOIN i USING (report_id, i) GROUP BY 1, 2 UNION ALL SELECT report_id, 0, body FROM m WHERE strlen(body) <= {P.PART_BYTES})
+SELECT report_id, unnest(['archive', 'alerts']) AS channel, part_no, text FROM p""")
 def message_parts(spark, sf_dir):
     """Conversations as routed message parts."""
     turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("body"))
