@@ -36,7 +36,7 @@ def test_against_brute_force(spark):
     urls = URLS + [f"http://{rng.choice(['', 'www.', 'm.'])}h{rng.randrange(40)}.{rng.choice(['org', 'net', 'com'])}/{rng.choice(['es/', 'fr/', 'en/', ''])}p{rng.randrange(30)}" for _ in range(800)]
     listed = {f"h{i}.org/p{i % 30}" for i in range(40)} | {f"h{i}.net/p{j}" for i in range(0, 40, 3) for j in range(30)} | {"casino-win.io/deal"}
     frame = spark.createDataFrame([(i, u, "clash", 1, True) for i, u in enumerate(urls)], SCHEMA)
-    for blocks in (urlfilter.BLOCKS, 1):  # one block: nearly all are possible, and the exact join decides
+    for blocks in (None, 65_536, 1):  # one block: nearly all are possible, and the exact join decides
         out = sorted(urlfilter.judge(frame, spark.createDataFrame([(k,) for k in listed], "key string"), blocks=blocks).collect())
         assert [tuple(r)[1:] for r in out] == [plain(u, listed) for u in urls]
 
@@ -56,3 +56,23 @@ def test_listed_urls_repeats_and_empty(spark):
     assert urlfilter.judge(none, urlfilter.listed_urls(none)).count() == 0
     twice = urlfilter.judge(pages.union(pages), urlfilter.listed_urls(pages)).collect()
     assert sorted(str((r.id, r.verdict)) for r in twice) == sorted(2 * [str(x) for x in [(1, "block"), (2, "block"), (3, "allow"), (None, "allow")]])
+
+
+def test_the_filter_grows_with_its_list(spark):
+    assert [urlfilter.blocks_for(n) for n in (0, 1, 16, 17, 10**6, 10**12)] == [1, 1, 1, 2, 62_500, urlfilter.MOST_BLOCKS]
+    n = 40_000
+    listed = spark.range(n).selectExpr("concat('k', id) AS key")
+    blocks = urlfilter.blocks_for(n)
+    bloom = urlfilter.bloom_filter(listed, blocks)
+    assert bloom.count() <= blocks
+    others = spark.range(n, 6 * n).selectExpr("id", "concat('k', id) AS key")
+    assert urlfilter.split_by_filter(others, bloom, blocks).filter("possible").count() < 5 * n // 1000
+
+
+def test_an_empty_list_and_long_urls(spark):
+    long = "http://h.org/" + "a" * 300_000
+    pages = spark.createDataFrame([(1, long), (2, long + "/"), (3, "http://h.org/b")], "page_id long, url string")
+    empty = spark.createDataFrame([], "key string")
+    assert {r.verdict for r in urlfilter.judge(pages, empty).collect()} == {"allow"}
+    listed = spark.createDataFrame([(long[7:],)], "key string")
+    assert sorted((r.id, r.verdict) for r in urlfilter.judge(pages, listed).collect()) == [(1, "block"), (2, "block"), (3, "allow")]
