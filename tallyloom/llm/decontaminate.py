@@ -19,15 +19,16 @@ from tallyloom.llm.common import quoted, words, written
 WINDOW = 10
 #: Posting lists that are intersected for each window.
 LISTS = 2
-#: Rows up to which a counted side is broadcast; beyond it the same join shuffles.
+#: Rows and bytes up to which a measured side is broadcast; beyond either the same join shuffles.
 BROADCAST_ROWS = 200_000
-#: The same for rows that carry a list.
-WIDE_ROWS = 20_000
+BROADCAST_BYTES = 8 << 20
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a written table if its counted size allows, else leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a written table if it has few rows and, written out, few bytes; else leave the join to shuffle."""
+    size = F.octet_length(F.to_json(F.struct(*[df[quoted(c)].alias(c) for c in df.columns])))
+    counted = df.select(size.alias("size")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if counted[0] <= rows and counted[1] <= most else df
 
 
 def windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -42,11 +43,19 @@ def windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", s
     )
 
 
-def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, th, pos, term)``: a row's key is its id with a hash of its text, so rows that share an id stay apart."""
-    return docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(words(F.col(text_col))).alias("pos", "term")
-    )
+def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, th, n_words, w)``, stored: the words of every row, cut out of its text once for all that follows.
+
+    A row's key is its id with a hash of its text, so rows that share an id stay apart.
+    """
+    own = lambda c: docs[quoted(c)]
+    listed = docs.select(own(id_col).alias("id"), F.xxhash64(own(text_col)).alias("th"), words(own(text_col)).alias("w"))
+    return written(listed.select("id", "th", F.size("w").cast("long").alias("n_words"), "w"), "tokens")
+
+
+def tokens(rows: DataFrame) -> DataFrame:
+    """``(id, th, pos, term)`` of tokenised rows."""
+    return rows.select("id", "th", F.posexplode("w").alias("pos", "term"))
 
 
 def anchors(found: DataFrame, toks: DataFrame, lists: int = LISTS) -> DataFrame:
@@ -80,9 +89,9 @@ class Decontaminator:
 
     def __init__(self, docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", bench_text: str = "text", size: int = WINDOW, lists: int = LISTS):
-        self.docs, self.id_col, self.text_col = docs, id_col, text_col
+        self.rows = tokenised(docs, id_col, text_col)
         self.windows = written(windows(bench, item_col, bench_text, size), "windows")
-        toks = tokens(docs, id_col, text_col)
+        toks = tokens(self.rows)
         self.anchors = written(anchors(self.windows, toks, lists), "anchors")
         self.index = positional_index(toks, written(self.anchors.select("term").distinct(), "terms"))
 
@@ -116,10 +125,7 @@ class Decontaminator:
             self.candidates().groupBy("id", "th").agg(F.collect_list(F.struct("start", "phrase")).alias("cands")), "candidates"
         )
         side = listed.withColumnsRenamed({"id": "i", "th": "t"})
-        rows = self.docs.select(F.col(self.id_col).alias("id"), F.xxhash64(self.text_col).alias("th"), F.col(self.text_col).alias("text"))
-        joined = rows.join(_small(side, WIDE_ROWS), F.expr("id <=> i and th = t")).select(
-            "id", "th", words(F.col("text")).alias("w"), "cands"
-        )
+        joined = self.rows.join(_small(side), F.expr("id <=> i and th = t")).select("id", "th", "w", "cands")
         held = F.filter(
             "cands",
             lambda c: F.array_join(F.slice("w", c["start"] + 1, F.size(F.split(c["phrase"], " "))), " ") == c["phrase"],
@@ -173,10 +179,7 @@ class Decontaminator:
             F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "n_hit", "items"
         )
         named = _small(written(named, "hits"))
-        rows = self.docs.select(
-            F.col(self.id_col).alias("id"), F.xxhash64(self.text_col).alias("th"), F.size(words(F.col(self.text_col))).cast("long").alias("n_words")
-        )
-        return rows.join(named, F.expr("id <=> hit_id and th = hit_th"), "left").select(
+        return self.rows.select("id", "th", "n_words").join(named, F.expr("id <=> hit_id and th = hit_th"), "left").select(
             "id", "th", "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
