@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyloom.llm.common import quoted, words, written
+from tallyloom.llm.urlfilter import blocks_for, bloom_filter, split_by_filter
 
 WINDOW = 10
 #: Posting lists that are intersected for each window.
@@ -119,13 +120,17 @@ class Decontaminator:
         """Exact phrase matches per row: ``(id, th, found)`` with ``found`` an array of (start, phrase).
 
         A candidate list is bounded by its row's words times the few windows that
-        can start at one word.
+        can start at one word. Rows meet their candidates in a shuffle; a Bloom filter
+        of bounded size keeps the words of nearly all other rows out of it.
         """
         listed = written(
             self.candidates().groupBy("id", "th").agg(F.collect_list(F.struct("start", "phrase")).alias("cands")), "candidates"
         )
-        side = listed.withColumnsRenamed({"id": "i", "th": "t"})
-        joined = self.rows.join(_small(side), F.expr("id <=> i and th = t")).select("id", "th", "w", "cands")
+        blocks = blocks_for(listed.count())
+        bloom = bloom_filter(listed.select(F.col("th").alias("key")), blocks)
+        possible = split_by_filter(self.rows.select("id", "th", "w", F.col("th").alias("key")), bloom, blocks).filter("possible")
+        side = listed.withColumnsRenamed({"id": "i", "th": "t"}).hint("merge")
+        joined = possible.join(side, F.expr("id <=> i and th = t")).select("id", "th", "w", "cands")
         held = F.filter(
             "cands",
             lambda c: F.array_join(F.slice("w", c["start"] + 1, F.size(F.split(c["phrase"], " "))), " ") == c["phrase"],
