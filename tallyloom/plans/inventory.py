@@ -302,14 +302,23 @@ def exported_entries(spark, sf_dir):
 # Sections, compression and text rules
 
 
-@query(ENTRIES + f""", c AS (SELECT report_id, type, count(*) AS n_lines, string_agg(message, chr(10) ORDER BY wid) AS content FROM e GROUP BY 1, 2)
+#: Entries of one made report at most, so that none grows with the table.
+REPORT_ENTRIES = 5000
+
+
+def _block() -> Column:
+    """The report of a day and a block of ids."""
+    return F.concat("report_id", F.lit("/"), F.floor(F.col("wid") / REPORT_ENTRIES).cast("string")).alias("report_id")
+
+
+@query(ENTRIES + f""", c AS (SELECT report_id || '/' || (wid // {REPORT_ENTRIES}) AS report_id, type, count(*) AS n_lines, string_agg(message, chr(10) ORDER BY wid) AS content FROM e GROUP BY 1, 2)
 SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY type) - 1 AS section_no, type AS name, n_lines, md5(content) AS digest,
   CASE WHEN regexp_matches(type, '{_any(T.HOST_HIGH)}') OR regexp_matches(content, '{_any(T.HOST_HIGH)}') THEN 1 WHEN regexp_matches(type, '{_any(T.HOST_MEDIUM)}') THEN 2 ELSE 3 END AS host_priority,
   CASE WHEN regexp_matches(type, '{_any(T.CMS_HIGH)}') OR regexp_matches(content, '{_any(T.CMS_HIGH)}') THEN 1 WHEN regexp_matches(type, '{_any(T.CMS_MEDIUM)}') THEN 2 ELSE 3 END AS cms_priority
 FROM c""")
 def digest_sections(spark, sf_dir):
-    """A host digest per day with a section per type, cut into its sections again."""
-    per_type = entries(spark, sf_dir).groupBy("report_id", "type").agg(
+    """A host digest per day and block of ids with a section per type, cut into its sections again."""
+    per_type = entries(spark, sf_dir).groupBy(_block(), "type").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wid", "message"))), lambda s: s["message"]), "\n").alias("t")
     )
     body = F.concat(F.lit("#### "), "type", F.lit(" ####\n"), "t", F.lit("\n"))
@@ -439,14 +448,10 @@ _FIELDS = ("wid", "uid", "type", "message", "severity", "hostname", "location",
 
 
 #: Entries that a written report may hold: those of a day whose ids lie in one block of so many.
-REPORT_ENTRIES = 5000
-
-
 def _per_report(made: DataFrame, text, joined) -> DataFrame:
-    """Reports of a day and a block of ids, so that none grows with the table; ``_day`` finds the day again."""
+    """Reports of a day and a block of ids; ``_day`` finds the day again."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("wid", text.alias("t")))), lambda s: s["t"])
-    block = F.concat("report_id", F.lit("/"), F.floor(F.col("wid") / REPORT_ENTRIES).cast("string"))
-    return made.groupBy(block.alias("report_id")).agg(joined(listed).alias("content"))
+    return made.groupBy(_block()).agg(joined(listed).alias("content"))
 
 
 def _day() -> Column:

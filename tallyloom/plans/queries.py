@@ -225,13 +225,88 @@ def watchdog_digests(spark, sf_dir):
     return E.digest(e.select("report_id").distinct(), e)
 
 
-@query()
+def _has(text: str, keywords) -> str:
+    """SQL of "the lower-cased text holds a keyword"; keywords here hold nothing that patterns read otherwise."""
+    return f"regexp_matches(lower({text}), '{'|'.join(keywords)}')"
+
+
+def _cut(header: str, reports: str, high, medium, general: str) -> str:
+    """SQL of ``sec``: the numbered sections of the texts ``t`` of a table keyed by ``id``, with their priorities."""
+    return (
+        f"cut AS (SELECT id, t, regexp_extract_all(t, '{header}', 1) AS names, string_split_regex(t, '{header}') AS bodies FROM {reports}), "
+        f"named AS ({general} SELECT id, i - 1 AS no, names[i] AS name, regexp_replace(bodies[i + 1], '^[{SPACES}]+|[{SPACES}]+$', '', 'g') AS content "
+        "FROM (SELECT *, unnest(generate_series(1, len(names))) AS i FROM cut WHERE len(names) > 0)), "
+        f"sec AS (SELECT *, CASE WHEN {_has('name', high)} OR {_has('content', high)} THEN 1 WHEN {_has('name', medium)} THEN 2 ELSE 3 END AS priority FROM named), "
+    )
+
+
+def _folded(norm: str, least: int, suffix: str, closing: str) -> str:
+    """SQL of ``g``: the lines ``a`` that collapsing leaves of every section of ``sec``."""
+    return f"""l AS (SELECT id, no, name, priority, generate_subscripts(a, 1) AS line_no, unnest(a) AS line FROM (SELECT *, string_split(content, chr(10)) AS a FROM sec)),
+n AS (SELECT *, {norm} AS norm, count(*) OVER (PARTITION BY id, no) AS lines FROM l),
+c AS (SELECT *, row_number() OVER (PARTITION BY id, no, norm ORDER BY line_no) AS first, count(*) OVER (PARTITION BY id, no, norm) AS times FROM n),
+k AS (SELECT id, no, name, priority, line_no, line || CASE WHEN lines > {least} AND norm <> '' AND times > 1 THEN {suffix} ELSE '' END AS line
+  FROM c WHERE lines <= {least} OR norm = '' OR first = 1 {closing}),
+g AS (SELECT id, no, name, priority, list(line ORDER BY line_no) AS a FROM k GROUP BY ALL), """
+
+
+def _tokens(text: str) -> str:
+    return TOKENS.replace("(t)", f"({text})").replace("(t,", f"({text},")
+
+
+_GAPS = "[\\t\\n\\f\\r ]*"
+_RATIOS = ", ".join(f"({level}, {priority}, CAST({ratio} AS DOUBLE))" for level, step in enumerate(S.LADDER, 1) for priority, ratio in enumerate(step, 1))
+_OMITTED = "'[... ' || ({}) || ' more lines omitted for brevity ...]'"
+_HEADING = f"chr(10) || '{S.HASHES} ' || name || ' {S.HASHES}' || chr(10)"
+FITTED = (
+    f"WITH r AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents), hard AS (SELECT * FROM r WHERE {TOKENS} > 400), "
+    + _cut(f"(?m)^#{{3,}}{_GAPS}(.+?){_GAPS}#{{3,}}$", "hard", T.HOST_HIGH, T.HOST_MEDIUM, "SELECT id, 0 AS no, 'General' AS name, t AS content FROM cut WHERE len(names) = 0 UNION ALL")
+    + _folded(NORM, 10, "' (occurred ' || times || ' times)'", "UNION ALL SELECT DISTINCT id, no, name, priority, lines + 1, '' FROM c WHERE lines > 10")
+    + f"""steps AS (SELECT id, no, name, level, ratio, a, CAST(greatest(ceil(len(a) * ratio), 1) AS BIGINT) AS k FROM g JOIN (VALUES {_RATIOS}) AS ladder(level, priority, ratio) USING (priority)),
+made AS (SELECT id, level, string_agg({_HEADING} || CASE WHEN ratio >= 1 THEN array_to_string(a, chr(10)) ELSE array_to_string(a[1:k], chr(10)) || chr(10)
+  || CASE WHEN k < len(a) THEN chr(10) || {_OMITTED.format('len(a) - k')} || chr(10) ELSE '' END END || chr(10), '' ORDER BY no) AS t FROM steps GROUP BY ALL),
+won AS (SELECT id, min(level) AS level, arg_min(t, level) AS t FROM made WHERE {TOKENS} <= 400 GROUP BY id),
+el AS (SELECT id, no, generate_subscripts(a, 1) AS line_no, unnest(a) AS raw, len(a) AS n FROM g WHERE id NOT IN (SELECT id FROM won)),
+eb AS (SELECT *, regexp_replace(raw, '\\r+$', '') AS line, regexp_replace(raw, '^[{SPACES}]+|[{SPACES}]+$', '', 'g') = '' AS blank FROM el WHERE n > 6),
+ep AS (SELECT *, {NORM} AS norm, CASE WHEN blank THEN NULL WHEN line_no <= 2 THEN 1 WHEN {_has('raw', T.HOST_ESSENTIAL)} THEN 2 WHEN line_no > n - 2 THEN 3 END AS phase FROM eb),
+ek AS (SELECT *, row_number() OVER (PARTITION BY id, no, norm ORDER BY phase, line_no) AS once FROM ep WHERE phase IS NOT NULL),
+ef AS (SELECT id, no, count(*) AS kept, string_agg(line, chr(10) ORDER BY phase, line_no) AS t FROM ek WHERE once = 1 GROUP BY ALL),
+third AS (SELECT id, no, 1 AS kept, line AS t FROM eb WHERE line_no = 3 AND NOT blank AND (id, no) NOT IN (SELECT (id, no) FROM ef)),
+es AS (SELECT g.id, g.no, name, CASE WHEN len(a) <= 6 THEN array_to_string(a, chr(10)) ELSE concat_ws(chr(10), coalesce(ef.t, third.t),
+  CASE WHEN len(a) > coalesce(ef.kept, third.kept, 0) THEN {_OMITTED.format('len(a) - coalesce(ef.kept, third.kept, 0)')} END) END AS t
+  FROM g LEFT JOIN ef USING (id, no) LEFT JOIN third USING (id, no) WHERE g.id NOT IN (SELECT id FROM won)),
+et AS (SELECT id, string_agg({_HEADING} || t || chr(10), '' ORDER BY no) AS t FROM es GROUP BY id),
+tl AS (SELECT id, generate_subscripts(a, 1) AS i, unnest(a) AS line, len(a) AS n FROM (SELECT id, string_split(t, chr(10)) AS a FROM et WHERE {TOKENS} > 400)),
+ts AS (SELECT id, i, n, line, sum(strlen(line) + CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER w + {len(S.NOTICE) + 1} AS b,
+  sum(len(regexp_extract_all(line, '[^{SPACES}]+'))) OVER w + {len(S.NOTICE.split())} AS w FROM tl WINDOW w AS (PARTITION BY id ORDER BY i)),
+tc AS (SELECT id, string_agg(line, chr(10) ORDER BY i) || chr(10) || '{S.NOTICE}' AS t FROM ts WHERE i < n AND greatest(b // 4, floor(w / 0.75)) <= 400 GROUP BY id)
+SELECT id AS report_id, CAST(0 AS INTEGER) AS level, t AS content FROM r WHERE id NOT IN (SELECT id FROM hard) UNION ALL SELECT id, level, t FROM won
+UNION ALL SELECT id, 6, t FROM et WHERE {TOKENS} <= 400 UNION ALL SELECT et.id, 7, coalesce(tc.t, '{S.NOTICE}') FROM et LEFT JOIN tc USING (id) WHERE {_tokens('et.t')} > 400"""
+)
+
+
+@query(FITTED)
 def fitted_reports(spark, sf_dir):
     """Every report brought to 400 tokens."""
     return S.fit_host_reports(doc_reports(spark, sf_dir), F.lit(400))
 
 
-@query()
+_CMS_STEP = " ".join(f"WHEN {priority} THEN CAST({ratio} AS DOUBLE)" for priority, ratio in enumerate(S.CMS_RATIOS, 1))
+
+
+@query(
+    DIGESTS + ", d AS (SELECT report_id AS id, '=== DRUPAL WATCHDOG LOG ANALYSIS ===' || chr(10) || chr(10) || string_agg(text, '' ORDER BY part) AS t FROM parts GROUP BY 1), "
+    + _cut(f"(?m)^(?:##|===){_GAPS}(.+?){_GAPS}(?:===)?$", "d", T.CMS_HIGH, T.CMS_MEDIUM, "")
+    + _folded(CMS_NORM, 5, "' (x' || times || ')'", "")
+    + f"""heads AS (SELECT id, no, name, 1.0 AS ratio, string_split(content, chr(10)) AS a FROM sec WHERE priority = 1 UNION ALL SELECT id, no, name, CASE priority {_CMS_STEP} END, a FROM g WHERE priority > 1),
+hk AS (SELECT *, CAST(greatest(ceil(len(a) * ratio), 1) AS BIGINT) AS k FROM heads),
+ht AS (SELECT id, no, name, CASE WHEN ratio >= 1 THEN array_to_string(a, chr(10)) ELSE array_to_string(a[1:k], chr(10)) || chr(10)
+  || CASE WHEN k < len(a) THEN chr(10) || '[... ' || (len(a) - k) || ' similar entries omitted ...]' || chr(10) ELSE '' END END AS t FROM hk),
+w AS (SELECT id, string_agg(chr(10) || '## ' || name || chr(10) || t || chr(10), '' ORDER BY no) AS t FROM ht WHERE t <> '' GROUP BY id),
+tell AS (SELECT id, t, list_filter(string_split(t, chr(10)), lambda x: starts_with(x, '##') OR starts_with(x, '===') OR {_has('x', T.CMS_ESSENTIAL)}) AS a FROM w)
+SELECT d.id AS report_id, CASE WHEN tell.t IS NULL THEN '' WHEN {_tokens('tell.t')} <= 400 THEN tell.t
+  ELSE array_to_string(a[1:40], chr(10)) || CASE WHEN len(a) > 40 THEN chr(10) || chr(10) || '[... truncated to 40 lines due to size limits ...]' ELSE '' END END AS content FROM d LEFT JOIN tell USING (id)"""
+)
 def fitted_digests(spark, sf_dir):
     """W6, P2, X5, A8 on the digests of R1."""
     return S.fit_cms_reports(watchdog_digests(spark, sf_dir), F.lit(400))
