@@ -6,11 +6,16 @@ window is searched from its rarest corpus terms: their posting lists, moved back
 by the term's offset, are intersected on (row, start). What survives is compared
 word for word on the row itself, so matches are exact; rows are never sampled
 and frequent terms are never dropped.
+
+A window is near where its rarest term stands and every other word of it stands at
+most ``slop`` words off its place beside that term. The same two lists then meet
+within ``slop`` of each other, and all words are compared on the row. An exact
+match is near, too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,6 +23,10 @@ from tallyloom.llm.common import quoted, words, written
 from tallyloom.llm.urlfilter import blocks_for, bloom_filter, split_by_filter
 
 WINDOW = 10
+#: How far off its place a word of a near match may stand.
+SLOP = 3
+#: Starts of near matches meet in buckets of so many words.
+SPAN = 16
 #: Posting lists that are intersected for each window.
 LISTS = 2
 #: Rows and bytes up to which a measured side is broadcast; beyond either the same join shuffles.
@@ -96,75 +105,79 @@ class Decontaminator:
         self.anchors = written(anchors(self.windows, toks, lists), "anchors")
         self.index = positional_index(toks, written(self.anchors.select("term").distinct(), "terms"))
 
-    def _moved(self, rank: int | None = None) -> DataFrame:
-        """Offset-adjusted lists: where each window would start, by each of its anchor postings."""
-        wanted = self.anchors if rank is None else self.anchors.filter(F.col("rank") == rank)
+    def _moved(self, rank: int, slop: int) -> DataFrame:
+        """Offset-adjusted list: where each window would start, by its anchor of this rank."""
         return (
-            self.index.join(_small(wanted), "term")
-            .select("phrase", "n_lists", "rank", "id", "th", (F.col("pos") - F.col("offset")).alias("start"))
-            .filter("start >= 0")
-        )
-
-    def candidates(self) -> DataFrame:
-        """``(phrase, id, th, start)`` where all of a window's anchor lists meet."""
-        first = self._moved(1).select("phrase", "n_lists", "id", "th", "start")
-        rest = self._moved(2).select("phrase", "id", "th", "start")
-        single = first.filter("n_lists = 1")
-        met = first.filter("n_lists > 1").join(
-            rest.withColumnsRenamed({"phrase": "p", "id": "i", "th": "t", "start": "s"}),
-            F.expr("phrase = p and id <=> i and th = t and start = s"), "left_semi",
+            self.index.join(_small(self.anchors.filter(F.col("rank") == rank)), "term")
+            .select("phrase", "n_lists", "id", "th", (F.col("pos") - F.col("offset")).alias("start"))
+            .filter(F.col("start") >= -2 * slop)
         )
-        return single.union(met).select("phrase", "id", "th", "start").distinct()
 
-    def matches(self) -> DataFrame:
+    def candidates(self, slop: int = 0) -> DataFrame:
+        """``(phrase, id, th, start)`` where a window's anchor lists meet, up to ``slop`` words apart."""
+        first = self._moved(1, slop)
+        rest = self._moved(2, slop).drop("n_lists").withColumnsRenamed({"phrase": "p", "id": "i", "th": "t", "start": "s"})
+        paired = first.filter("n_lists > 1")
+        same = "phrase = p and id <=> i and th = t and start = s"
+        if slop:
+            # What lies within ``slop`` of a start is in its bucket or in one beside it.
+            bucket = lambda c: F.floor(c / max(SPAN, 2 * slop + 1))
+            start = F.col("start")
+            paired = paired.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(start - slop), bucket(start + slop)))))
+            rest = rest.withColumn("b", bucket(F.col("s")))
+            same = f"phrase = p and id <=> i and th = t and bucket = b and abs(start - s) <= {slop}"
+        columns = ["phrase", "id", "th", "start"]
+        return first.filter("n_lists = 1").select(*columns).union(paired.join(rest, F.expr(same), "left_semi").select(*columns)).distinct()
+
+    def matches(self, slop: int = 0) -> DataFrame:
         """Exact phrase matches per row: ``(id, th, found)`` with ``found`` an array of (start, phrase).
 
+        With a ``slop`` there is an array ``near`` of the near matches beside it, and
+        rows with either of them are listed.
+
         A candidate list is bounded by its row's words times the few windows that
         can start at one word. Rows meet their candidates in a shuffle; a Bloom filter
         of bounded size keeps the words of nearly all other rows out of it.
         """
         listed = written(
-            self.candidates().groupBy("id", "th").agg(F.collect_list(F.struct("start", "phrase")).alias("cands")), "candidates"
+            self.candidates(slop).groupBy("id", "th").agg(F.collect_list(F.struct("start", "phrase")).alias("cands")), "candidates"
         )
         blocks = blocks_for(listed.count())
         bloom = bloom_filter(listed.select(F.col("th").alias("key")), blocks)
         possible = split_by_filter(self.rows.select("id", "th", "w", F.col("th").alias("key")), bloom, blocks).filter("possible")
         side = listed.withColumnsRenamed({"id": "i", "th": "t"}).hint("merge")
         joined = possible.join(side, F.expr("id <=> i and th = t")).select("id", "th", "w", "cands")
-        held = F.filter(
-            "cands",
-            lambda c: F.array_join(F.slice("w", c["start"] + 1, F.size(F.split(c["phrase"], " "))), " ") == c["phrase"],
+        exact = lambda c: (c["start"] >= 0) & (
+            F.array_join(F.slice("w", F.greatest(c["start"], F.lit(0)) + 1, F.size(F.split(c["phrase"], " "))), " ") == c["phrase"]
         )
-        return joined.select("id", "th", held.alias("found")).filter(F.size("found") > 0).dropDuplicates(["id", "th"])
 
-    def proximity(self, slop: int = 3) -> DataFrame:
-        """``(id, th, item, start, distance)``: the two rarest terms of a window stand up to ``slop`` words off their exact places.
+        def near(c: Column) -> Column:
+            def stands(term: Column, j: Column) -> Column:
+                low = F.greatest(c["start"] + j - slop, F.lit(0))
+                return F.array_contains(F.slice("w", low + 1, F.greatest(c["start"] + j + slop + 1 - low, F.lit(0))), term)
 
-        Starts are put in buckets of ``slop + 1`` so that each posting meets three
-        buckets only and not the whole list of its row. Windows of one word have no
-        second term and do not appear.
-        """
-        wide = slop + 1
-        left = self._moved(1).select("phrase", "id", "th", "start").withColumn(
-            "bucket", F.explode(F.array(*[F.floor(F.col("start") / wide) + d for d in (-1, 0, 1)]))
-        )
-        right = self._moved(2).select(
-            F.col("phrase").alias("p"), F.col("id").alias("i"), F.col("th").alias("t"), F.col("start").alias("s"),
-            F.floor(F.col("start") / wide).alias("b"),
-        )
-        near = left.join(right, F.expr(f"phrase = p and id <=> i and th = t and bucket = b and abs(start - s) <= {slop}"))
-        return near.join(self.windows.select("item", "phrase").distinct(), "phrase").select(
-            "id", "th", "item", "start", F.abs(F.col("start") - F.col("s")).alias("distance")
-        ).distinct()
+            return F.forall(F.transform(F.split(c["phrase"], " "), stands), lambda held: held)
+
+        held = {"found": F.filter("cands", exact)}
+        if slop:
+            held["near"] = F.filter("cands", lambda c: exact(c) | near(c))
+        listed = joined.select("id", "th", *[c.alias(n) for n, c in held.items()])
+        return listed.filter(" or ".join(f"size({n}) > 0" for n in held)).dropDuplicates(["id", "th"])
+
+    def proximity(self, slop: int = SLOP) -> DataFrame:
+        """``(id, th, item, phrase, start, exact)``: every near match of a window of an item, and whether it is exact."""
+        listed = self.matches(slop).select("id", "th", "found", F.explode("near").alias("m"))
+        placed = listed.select("id", "th", "m.phrase", "m.start", F.array_contains("found", F.col("m")).alias("exact"))
+        return placed.join(_small(self.windows.select("item", "phrase")), "phrase").select("id", "th", "item", "phrase", "start", "exact")
 
-    def report(self) -> DataFrame:
-        """``(id, n_words, n_hit, items, contaminated)`` for every row of the corpus.
+    def report(self, slop: int = SLOP) -> DataFrame:
+        """``(id, n_words, n_hit, items, contaminated, near_items)`` for every row of the corpus.
 
         Null texts have no words and no hits. Repeated rows each get their line.
-        ``items`` holds the matching item ids as sorted strings. An item with a
-        null id is no item.
+        ``items`` holds the matching item ids as sorted strings, ``near_items`` those
+        with near matches. An item with a null id is no item.
         """
-        found = written(self.matches(), "matches")
+        found = written(self.matches(slop), "matches")
         spans = F.array_sort(F.transform("found", lambda m: F.struct(m["start"], (m["start"] + F.size(F.split(m["phrase"], " "))).alias("stop"))))
         merged = F.aggregate(
             spans,
@@ -175,13 +188,15 @@ class Decontaminator:
             ),
         )
         hit = found.select("id", "th", merged["n"].alias("n_hit"))
+        phrases = lambda name: F.transform(name, lambda m: F.struct(m["phrase"].alias("phrase"), F.lit(name).alias("kind")))
+        ids = lambda name: F.array_sort(F.collect_set(F.when(F.col("kind") == name, F.col("item").cast("string"))))
         items = (
-            found.select("id", "th", F.explode(F.array_distinct(F.transform("found", lambda m: m["phrase"]))).alias("phrase"))
+            found.select("id", "th", F.inline(F.array_distinct(F.concat(phrases("found"), phrases("near")))))
             .join(_small(self.windows.select("item", "phrase")), "phrase")
-            .groupBy("id", "th").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+            .groupBy("id", "th").agg(ids("found").alias("items"), ids("near").alias("near_items"))
         )
         named = hit.join(items.withColumnsRenamed({"id": "i", "th": "t"}), F.expr("id <=> i and th = t")).select(
-            F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "n_hit", "items"
+            F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "n_hit", "items", "near_items"
         )
         named = _small(written(named, "hits"))
         return self.rows.select("id", "th", "n_words").join(named, F.expr("id <=> hit_id and th = hit_th"), "left").select(
@@ -189,6 +204,7 @@ class Decontaminator:
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+            F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"),
         )
 
 

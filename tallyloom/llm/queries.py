@@ -30,13 +30,15 @@ def op5_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark words found in every document."""
+    """Benchmark words found in every document, and the items near by."""
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"),
+        F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"),
     )
 
 
@@ -62,10 +64,25 @@ m AS (SELECT d.rid, d.s, d.k, b.item_id FROM dw d JOIN bw b ON d.k = b.k AND d.p
 hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(s, s + k - 1)) AS p FROM m) GROUP BY rid),
 it AS (
   SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY rid)
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY rid),
+tok AS (SELECT rid, unnest(generate_series(0, len(w) - 1)) AS pos, unnest(w) AS term FROM w WHERE len(w) > 0),
+freq AS (SELECT term, count(*) AS freq FROM tok GROUP BY term),
+pt AS (SELECT phrase, string_split(phrase, ' ') AS terms FROM bw GROUP BY phrase),
+pl AS (
+  SELECT p.*, freq, count(*) FILTER (freq IS NULL) OVER (PARTITION BY phrase) AS absent
+  FROM (SELECT phrase, terms, unnest(generate_series(0, len(terms) - 1)) AS o, unnest(terms) AS term FROM pt) p LEFT JOIN freq USING (term)),
+an AS (SELECT * FROM pl WHERE absent = 0 QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY freq, o) = 1),
+ca AS (SELECT tok.rid, phrase, terms, pos - o AS s, w FROM tok JOIN an USING (term) JOIN w ON w.rid = tok.rid),
+ne AS (
+  SELECT DISTINCT rid, phrase FROM ca
+  WHERE len(list_filter(generate_series(0, len(terms) - 1), lambda j: list_contains(w[greatest(s + j - 3, 0) + 1 : greatest(s + j + 4, 0)], terms[j + 1]))) = len(terms)),
+ni AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM ne JOIN bw USING (phrase)) GROUP BY rid)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items,
-  sha256(coalesce(it.items, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)"""
+  sha256(coalesce(it.items, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated,
+  coalesce(ni.n_items, 0) AS n_near_items, sha256(coalesce(ni.items, '')) AS near_items_sha256
+FROM w LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid) LEFT JOIN ni USING (rid)"""
 
 
 @query
