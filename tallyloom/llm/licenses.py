@@ -21,6 +21,22 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import WORD_BYTES
 
+def _gnu_header(name: str) -> str:
+    """The notice that the GNU licenses ask for at the head of a file."""
+    return f"""
+        free software <<var 0 1>> you can redistribute it and/or modify it under the terms of the GNU
+        {name} Public License as published by
+        the Free Software Foundation, <<optional>> either <</optional>> version <<var 1 2>>
+        <<optional>> of the License <</optional>> <<optional>> or (at your option) any later version <</optional>>.
+        <<var 1 6>> distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        {name} Public License for more details.
+        <<optional>> You should have received a copy of the GNU
+        {name} Public License along with <<var 1 6>>
+        <<optional>> if not see <<var 1 6>> <</optional>> <</optional>>
+    """
+
+
 # Phrases and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -83,18 +99,9 @@ TEMPLATES = {
         licensed under <<optional>> a creative commons license <</optional>> cc by <<optional>> nc <</optional>>
         <<optional>> sa <</optional>> <<optional>> nd <</optional>> <<var 1 2>>
     """,
-    "gpl-header": """
-        free software <<var 0 1>> you can redistribute it and/or modify it under the terms of the GNU
-        <<optional>> Lesser <</optional>> <<optional>> Affero <</optional>> General Public License as published by
-        the Free Software Foundation, <<optional>> either <</optional>> version <<var 1 2>>
-        <<optional>> of the License <</optional>> <<optional>> or (at your option) any later version <</optional>>.
-        <<var 1 6>> distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
-        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU <<optional>> Lesser <</optional>>
-        <<optional>> Affero <</optional>> General Public License for more details.
-        <<optional>> You should have received a copy of the GNU <<optional>> Lesser <</optional>>
-        <<optional>> Affero <</optional>> General Public License along with <<var 1 6>>
-        <<optional>> if not see <<var 1 6>> <</optional>> <</optional>>
-    """,
+    "gpl-header": _gnu_header("General"),
+    "lgpl-header": _gnu_header("Lesser General"),
+    "agpl-header": _gnu_header("Affero General"),
     "gpl-notice": """
         is licensed under the gnu general public license
         <<optional>> as published by the free software foundation <</optional>> <<optional>> either <</optional>>

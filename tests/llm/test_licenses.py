@@ -88,6 +88,16 @@ def test_whole_licenses_are_found_and_changed_ones_are_not(spark):
     assert [tuple(out[i])[1:7] for i in range(len(texts))] == [plain(t) for t in texts]
 
 
+def test_gnu_headers_are_told_apart():
+    automata = {label: licenses.Automaton(t) for label, t in licenses.TEMPLATES.items()}
+    for label, name in (("gpl-header", "General"), ("lgpl-header", "Lesser General"), ("agpl-header", "Affero General")):
+        text = filled(licenses.TEMPLATES[label], random.Random(4), True)
+        assert f"GNU\n        {name} Public" in text
+        assert {x for x in licenses.scan(text, automata)[5].split(",") if x.endswith("-header")} == {label}
+    mixed = filled(licenses.TEMPLATES["lgpl-header"], random.Random(4), True).replace("Lesser ", "", 1)
+    assert not any(x.endswith("-header") for x in licenses.scan(mixed, automata)[5].split(","))
+
+
 def test_optional_and_replaceable_regions():
     a = licenses.Automaton("start here <<optional>> maybe <<var 1 2>> <</optional>> end <<var 0 1>>")
     run = lambda s: a.accepts(s.encode().split(), 0)
