@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -261,20 +262,25 @@ def text_keys(text: str) -> list:
     return [F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit(1), whole).alias("t2")]
 
 
-def _different_texts(docs: DataFrame, text_col: str) -> DataFrame:
+@contextmanager
+def different_texts(docs: DataFrame, text_col: str = "text") -> Iterator[DataFrame]:
     """``(t1, t2, raw, copies)`` of the texts long enough to matter, written in buckets of the text's key.
 
-    The buckets serve two later joins, which then move no text.
+    The buckets serve two later joins, which then move no text. The catalog knows
+    the table within the block only.
     """
     spark = docs.sparkSession
     whole = docs.select(*text_keys(text_col), F.col(text_col).cast("binary").alias("raw")).filter(F.octet_length("raw") >= LENGTH)
     one = whole.groupBy("t1", "t2").agg(F.first("raw").alias("raw"), F.count("*").alias("copies"))
     name = f"texts_{uuid.uuid4().hex}"
-    (
-        one.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
-        .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "t1", "t2").saveAsTable(name)
-    )
-    return spark.table(name)
+    try:
+        (
+            one.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
+            .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "t1", "t2").saveAsTable(name)
+        )
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def repeated_spans(texts: DataFrame, most: int = MOST) -> DataFrame:
@@ -312,13 +318,12 @@ def repeated_spans(texts: DataFrame, most: int = MOST) -> DataFrame:
     return around(shared.filter("alike")).union(around(known)).union(edges).union(large)
 
 
-def cut_texts(docs: DataFrame, text_col: str = "text", most: int = MOST) -> DataFrame:
-    """``(t1, t2, n_removed, n_spans, kept_sha256, kept)`` of the different texts that lose bytes.
+def cut_texts(texts: DataFrame, most: int = MOST) -> DataFrame:
+    """``(t1, t2, n_removed, n_spans, kept_sha256, kept)`` of the different texts that lose bytes; see ``different_texts``.
 
     A text that occurs twice or more loses all of it, as every 200-byte string in
     it also starts in its copy; it still takes part against other texts.
     """
-    texts = _different_texts(docs, text_col)
     spans = repeated_spans(texts, most).groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     cut = (
         texts.filter("copies = 1").select("t1", "t2", "raw").join(spans, ["t1", "t2"]).select("t1", "t2", "raw", "spans")
@@ -338,7 +343,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     covered from a longer one, which cannot be. Repeated rows are copies of each
     other and lose everything. Null ids stay null.
     """
-    cut = written(cut_texts(docs, text_col, most).drop("kept"), "cut")
+    with different_texts(docs, text_col) as texts:
+        cut = written(cut_texts(texts, most).drop("kept"), "cut")
     whole = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(
         F.col(id_col).alias("id"), *text_keys(text_col), F.octet_length(whole).cast("long").alias("n_bytes"),
@@ -356,13 +362,13 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | N
     Characters of which a cut takes some bytes go entirely. ``length_col``, where
     the table has it, becomes the new length of texts that were cut.
     """
-    cut = cut_texts(docs, text_col).select(F.col("t1").alias("cut_1"), F.col("t2").alias("cut_2"), "kept")
-
     @F.pandas_udf("string")
     def text_of(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    cut = written(cut.select("cut_1", "cut_2", text_of("kept").alias("cut_text")), "cut-texts")
+    with different_texts(docs, text_col) as texts:
+        cut = cut_texts(texts).select(F.col("t1").alias("cut_1"), F.col("t2").alias("cut_2"), text_of("kept").alias("cut_text"))
+        cut = written(cut, "cut-texts")
     k1, k2 = text_keys(text_col)
     joined = docs.join(cut, (k1 == cut["cut_1"]) & (k2 == cut["cut_2"]), "left")
     columns = []

@@ -49,6 +49,13 @@ def test_against_brute_force(spark, most):
     assert [tuple(r)[1:] for r in sorted(got)] == brute(texts)
 
 
+def test_no_table_stays_in_the_catalog(spark):
+    docs = spark.createDataFrame([(1, "ab" * 300), (2, "cd" * 80)], "doc_id long, text string")
+    substrings.dedup_substrings(docs).collect()
+    substrings.without_repeats(docs).collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.dedup_substrings(docs).count() == 0
