@@ -302,7 +302,7 @@ def exported_entries(spark, sf_dir):
 # Sections, compression and text rules
 
 
-#: Entries of one made report at most, so that none grows with the table.
+#: Entries whose lines are joined at once.
 REPORT_ENTRIES = 5000
 
 
@@ -311,18 +311,26 @@ def _block() -> Column:
     return F.concat("report_id", F.lit("/"), F.floor(F.col("wid") / REPORT_ENTRIES).cast("string")).alias("report_id")
 
 
-@query(ENTRIES + f""", c AS (SELECT report_id || '/' || (wid // {REPORT_ENTRIES}) AS report_id, type, count(*) AS n_lines, string_agg(message, chr(10) ORDER BY wid) AS content FROM e GROUP BY 1, 2)
+def _joined(order: str, text: str, between: str) -> Column:
+    """The texts of a group in order, as one text."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), between)
+
+
+@query(ENTRIES + f""", c AS (SELECT report_id, type, count(*) AS n_lines, string_agg(message, chr(10) ORDER BY wid) AS content FROM e GROUP BY 1, 2)
 SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY type) - 1 AS section_no, type AS name, n_lines, md5(content) AS digest,
   CASE WHEN regexp_matches(type, '{_any(T.HOST_HIGH)}') OR regexp_matches(content, '{_any(T.HOST_HIGH)}') THEN 1 WHEN regexp_matches(type, '{_any(T.HOST_MEDIUM)}') THEN 2 ELSE 3 END AS host_priority,
   CASE WHEN regexp_matches(type, '{_any(T.CMS_HIGH)}') OR regexp_matches(content, '{_any(T.CMS_HIGH)}') THEN 1 WHEN regexp_matches(type, '{_any(T.CMS_MEDIUM)}') THEN 2 ELSE 3 END AS cms_priority
 FROM c""")
 def digest_sections(spark, sf_dir):
-    """A host digest per day and block of ids with a section per type, cut into its sections again."""
-    per_type = entries(spark, sf_dir).groupBy(_block(), "type").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wid", "message"))), lambda s: s["message"]), "\n").alias("t")
-    )
+    """A host digest per day with a section per type, cut into its sections again.
+
+    Lines are joined by blocks of ids and blocks by type, so no list holds all lines of a day.
+    """
+    block = F.floor(F.col("wid") / REPORT_ENTRIES).alias("block")
+    per_block = entries(spark, sf_dir).groupBy("report_id", "type", block).agg(_joined("wid", "message", "\n").alias("t"))
+    per_type = per_block.groupBy("report_id", "type").agg(_joined("block", "t", "\n").alias("t"))
     body = F.concat(F.lit("#### "), "type", F.lit(" ####\n"), "t", F.lit("\n"))
-    whole = per_type.groupBy("report_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", body.alias("b")))), lambda s: s["b"]), "\n").alias("content"))
+    whole = per_type.select("report_id", "type", body.alias("b")).groupBy("report_id").agg(_joined("type", "b", "\n").alias("content"))
     return S.sections(whole).select(
         "report_id", "section_no", "name", F.size(F.split("content", "\n", -1)).cast("long").alias("n_lines"), F.md5("content").alias("digest"),
         F.col("priority").alias("host_priority"), T.cms_priority(F.col("name"), F.col("content")).alias("cms_priority"),
@@ -447,7 +455,6 @@ BACK = "SELECT report_id, wid, timestamp, type, severity, message FROM e"
 _FIELDS = ("wid", "uid", "type", "message", "severity", "hostname", "location", "timestamp")
 
 
-#: Entries that a written report may hold: those of a day whose ids lie in one block of so many.
 def _per_report(made: DataFrame, text, joined) -> DataFrame:
     """Reports of a day and a block of ids; ``_day`` finds the day again."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("wid", text.alias("t")))), lambda s: s["t"])

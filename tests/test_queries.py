@@ -1,5 +1,7 @@
 """Every registered query of the report operators against its SQL, on the smallest tables."""
 
+import datetime
+import hashlib
 import os
 
 import duckdb
@@ -42,3 +44,18 @@ def test_query_gives_the_rows_of_its_sql(spark, sql, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_without_sql_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, TABLES).count() > 0
+
+
+def made_events(spark, folder, ids) -> str:
+    rows = [(i, datetime.datetime(2024, 1, 1, 2, 0, i % 60), i % 7, "purchase" if i % 2 else "view") for i in ids]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_a_digest_holds_its_whole_day(spark, tmp_path):
+    made = registry.QUERIES["digest_sections"](spark, made_events(spark, tmp_path, [12_000, 1, 5_001, 3, 4_998]))
+    want = {"access denied": [1, 3, 5_001], "page not found": [4_998, 12_000]}
+    text = lambda name, i: f"{'purchase' if i % 2 else 'view'} by user {i % 7} at /u/{i % 7}"
+    assert sorted((r.report_id, r.section_no, r.name, r.n_lines, r.digest) for r in made.collect()) == [
+        ("2024-01-01", no, name, len(ids), hashlib.md5("\n".join(text(name, i) for i in ids).encode()).hexdigest()) for no, (name, ids) in enumerate(want.items())
+    ]
