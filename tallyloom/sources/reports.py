@@ -224,11 +224,15 @@ def parse_watchdog_table(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(entries, rejects)`` of tables with columns id, date, type, severity and message.
 
     Fields are parted by white space: type and severity are one word each, the
-    message is the rest of its line. Lines up to the first header or rule line are
-    ignored, and so are later ones; lines with a bad id or date are dropped; an
-    unknown severity name counts as notice.
+    message is the rest of its line. Where the second word is no severity, a type of
+    several words with single blanks in it is taken if two blanks and more part it
+    from its date and from a known severity. Lines up to the first header or rule
+    line are ignored, and so are later ones; lines with a bad id or date are dropped;
+    an unknown severity name counts as notice.
     """
-    row = r"(?ds)\A(\d+)\s+(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+)\s+(.*)\z"
+    known = rf"(?i:{'|'.join(L.SEVERITIES)})\s"
+    kind = rf"\S+(?=\s+{known})|(?<=\s\s)\S+(?:\s\S+)+(?=\s{{2,}}{known})|\S+"
+    row = rf"(?ds)\A(\d+)\s+(\d{{4}}-\d{{2}}-\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}})\s+({kind})\s+(\S+)\s+(.*)\z"
     rows = reports.select("report_id", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line")).withColumn("line", T.trimmed(F.col("line")))
     header = F.col("line").startswith("ID") | F.col("line").startswith("---")
     head = F.when(header, F.col("line_no"))

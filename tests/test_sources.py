@@ -96,6 +96,19 @@ def test_table_rows_by_the_one_word_rule(spark):
     assert got == {1: ("php", 3, "PDO exception:  warning   foo"), 2: ("cron", 5, "Run done.  Error count 0"), 3: ("php", 3, "a\rb"), 4: ("php", 3, "a\u2028b")}
 
 
+def test_table_types_of_several_words(spark):
+    rows = [
+        "1  2024-01-02 03:04:05  page not found   info  view by  user", "2  2024-01-02 03:04:05  access denied   WARNING  x", "3  2024-01-02 03:04:05  page not found   odd  x",
+        "4  2024-01-02 03:04:05 page not found  info  x", "5  2024-01-02 03:04:05  user error   warning  x", "6  2024-01-02 03:04:05  two  words  info  x",
+    ]
+    entries, _ = R.parse_watchdog_table(one(spark, "ID\n" + "\n".join(rows)))
+    got = {r.wid: (r.type, r.severity, r.message) for r in entries.collect()}
+    assert got == {
+        1: ("page not found", 6, "view by  user"), 2: ("access denied", 4, "x"), 3: ("page", 5, "found   odd  x"),
+        4: ("page", 5, "found  info  x"), 5: ("user", 3, "warning  x"), 6: ("two", 5, "info  x"),
+    }
+
+
 def test_missing_fields_are_zero(spark):
     row = R.parse_watchdog_json(one(spark, '[{"wid": 5, "message": "a\\\\b"}]'))[0].first()
     assert (row.uid, row.severity, row.timestamp, row.type, row.hostname, row.message) == (0, 0, 0, "", "", "a\\b")
