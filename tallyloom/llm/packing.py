@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ POOL_TOKENS = 1 << 23
 #: Words whose ids a worker remembers.
 WORDS = 600_000
 #: Characters of texts whose new words are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 22
 #: Closes every text.
 END = 0
 
@@ -66,12 +67,15 @@ class Encoder:
     """Ids of whole texts by the byte-level tokenizer file at ``path``.
 
     The pre-tokenizer of this vocabulary starts a new word at every single space
-    between two characters that are no white space, so texts are encoded word by
-    word with a memory of words. New words are encoded together and told apart by
-    their first tokens, as no other token begins with a space. They go to the
-    faster of two encoders of the vocabulary, which gives the ids of the file's own
-    tokenizer; that one encodes what begins a text, words with white space in them,
-    and whole texts that hold a special token's string.
+    between two characters that are no white space, and a line feed between two such
+    is a word of its own. So texts are encoded word by word with a memory of words, in
+    which those of later lines begin with the line feed. Arrow cuts the texts and
+    numbers their different words; only these are looked up, and those that come twice
+    in a batch are remembered. New words are encoded together and told apart by their
+    first tokens, as no other token begins with a space or is a line feed. They go to the faster of two encoders of the vocabulary,
+    which gives the ids of the file's own tokenizer; that one encodes what begins a
+    text, words with white space in them, and whole texts that hold a special token's
+    string.
     """
 
     def __init__(self, path: str, most: int = WORDS):
@@ -87,52 +91,93 @@ class Encoder:
         self.dtype = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.leads[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
+        self.feed = ranks.get(b"\n", -1)
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        new = list(words - self.known.keys())
-        joined = " ".join(new)
-        if joined.count(" ") >= len(new):  # some have spaces in them
-            for w in new:
-                if " " in w:
-                    self.known[w] = self._ids(" " + w).tobytes()
-            new = [w for w in new if " " not in w]
-            joined = " ".join(new)
-        ids = self.together.encode_to_numpy(" " + joined).astype(self.dtype) if new else np.zeros(0, dtype=self.dtype)
-        first = np.flatnonzero(self.leads[ids])
-        if len(first) == len(new):
-            edges = [*(first * ids.itemsize).tolist(), ids.nbytes]
-            self.known.update(zip(new, map(ids.tobytes().__getitem__, map(slice, edges, edges[1:])), strict=True))
-        else:
-            self.known.update((w, self._ids(" " + w).tobytes()) for w in new)
-
-    def _words(self, text: str) -> list[str]:
-        """The beginning of a text, and its words after single spaces."""
-        if not text or self.special.search(text):
-            return [text]
-        return text.split(" ") if text[0] != " " and text[-1] != " " and not _RUN.search(text) else _GAP.split(text)
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Ids of words, where each word's begin among them, and the words in that order."""
+        lines, plain, spaced = [], [], []
+        for w in words:
+            (lines if w[0] == "\n" else spaced if " " in w else plain).append(w)
+        made = []
+        for few, between, before in ((lines, "", ""), (plain, " ", " ")):
+            if few:
+                ids = self.together.encode_to_numpy(before + between.join(few)).astype(self.dtype)
+                first = np.flatnonzero(self.leads[ids] if before else ids == self.feed)
+                made.append((ids, first) if len(first) == len(few) else self._each(few, before))
+        if spaced:
+            made.append(self._each(spaced, " "))
+        begins, n = [], 0
+        for ids, first in made:
+            begins.append(first + n)
+            n += len(ids)
+        return np.concatenate([ids for ids, _ in made]), np.concatenate(begins), lines + plain + spaced
+
+    def _each(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are encoded one by one."""
+        ids = [self._ids(before + w) for w in words]
+        return np.concatenate(ids), np.cumsum([0, *map(len, ids[:-1])])
+
+    def _split(self, texts: list[str]) -> tuple[list[str], pa.Array, np.ndarray]:
+        """What begins each text, the words after that of all texts, and how many each has."""
+        heads, rests, others = [], [], {}
+        for i, text in enumerate(texts):
+            rest = None
+            if not text or self.special.search(text):
+                head = text
+            elif text[0] != " " and text[-1] != " " and not _RUN.search(text):
+                head, more, rest = text.replace("\n", " \n").partition(" ")
+                rest = rest if more else None
+            else:
+                head, *others[i] = _GAP.split(text)
+            heads.append(head)
+            rests.append(rest)
+        cut = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        if others:
+            plain = cut.to_pylist()
+            cut = pa.array([others.get(i, x) for i, x in enumerate(plain)], pa.list_(pa.string()))
+        return heads, cut.flatten(), pc.fill_null(pc.list_value_length(cut), 0).to_numpy()
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         at = 0
         while at < len(texts):
-            split, size = [], 0
+            since, size = at, 0
             while at < len(texts) and size < TOGETHER:
-                split.append(self._words(texts[at]))
                 size += len(texts[at])
                 at += 1
-            found: set[str] = set()
-            for head, *rest in split:
-                found.update(rest)
-            if not found <= self.known.keys():
-                self._learn(found)
-            for head, *rest in split:
-                ids = self._ids(head).tobytes() if head else b""
-                yield np.frombuffer(ids + b"".join(map(self.known.__getitem__, rest)), dtype=self.dtype)
+            heads, words, counts = self._split(texts[since:at])
+            numbered = words.dictionary_encode()
+            which, different = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+            parts = list(map(self.known.get, different))
+            lacking = [i for i, p in enumerate(parts) if p is None]
+            had = np.ones(len(parts), dtype=bool)
+            had[lacking] = False
+            parts = list(filter(None, parts))
+            flat = np.frombuffer(b"".join(parts), dtype=self.dtype)
+            lengths, begins = np.zeros(len(had), dtype=np.int64), np.zeros(len(had), dtype=np.int64)
+            lengths[had] = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // flat.itemsize
+            begins[had] = np.cumsum(lengths[had]) - lengths[had]
+            if lacking:
+                place = dict(zip(map(different.__getitem__, lacking), lacking, strict=True))
+                new, first, ordered = self._new(list(place))
+                at_word = np.fromiter(map(place.__getitem__, ordered), dtype=np.int64, count=len(ordered))
+                begins[at_word] = first + len(flat)
+                lengths[at_word] = np.diff(first, append=len(new))
+                flat = np.concatenate([flat, new])
+                again = np.flatnonzero(~had & (np.bincount(which, minlength=len(had)) > 1))
+                if len(self.known) + len(again) > self.most:
+                    self.known.clear()
+                for i, lo, n in zip(again.tolist(), begins[again].tolist(), lengths[again].tolist(), strict=True):
+                    self.known[different[i]] = flat[lo : lo + n].tobytes()
+            taken = lengths[which]
+            ends = np.cumsum(taken)
+            ids = flat[np.repeat(begins[which] - ends + taken, taken) + np.arange(int(taken.sum()))]
+            edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+            for head, lo, hi in zip(heads, edges, edges[1:]):
+                yield np.concatenate([self._ids(head), ids[lo:hi]]) if head else ids[lo:hi]
 
 
 @lru_cache(maxsize=1)
@@ -172,7 +217,7 @@ class Pool:
         self.place: dict[tuple[int, int], int] = {}
         self.queues: list[deque[Piece]] = []
         self.free: list[int] = []
-        self.sizes = np.zeros((2, 64), dtype=np.int64)
+        self.sizes = np.zeros((2, 64))
         self.count = self.tokens = 0
 
     def add(self, piece: Piece) -> None:
@@ -209,9 +254,12 @@ class Pool:
         out: list[Piece] = []
         while self.count and left_t and left_s:
             size, lead = self.sizes[:, : len(self.queues)]
-            give = np.minimum(np.minimum(size, left_t), lead + left_l)
-            loss = np.maximum(give - lead, 0)
-            dot = give * (left_t / limit_t**2) + loss * (left_l / limit_l**2) + left_s / limit_s**2
+            give = np.minimum(lead + left_l, size)
+            np.minimum(give, left_t, out=give)
+            dot = give - lead
+            np.maximum(dot, 0, out=dot)
+            dot *= left_l / limit_l**2
+            dot += give * (left_t / limit_t**2)  # a segment counts alike for every piece
             at = int(dot.argmax())
             if not give[at]:
                 break

@@ -104,3 +104,11 @@ def test_empty_table_and_limits(spark):
 def test_null_ids_and_repeated_rows(spark):
     frame = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")
     assert sorted((r.id or 0, r.length) for r in packing.pack(frame, tokenizer_path()).collect()) == [(0, len(ids_of("a b")))] + [(1, len(ids_of("a b")))] * 2
+
+
+def test_words_of_one_text_are_looked_up_and_not_remembered():
+    encode = packing.Encoder(tokenizer_path())
+    texts = ["one two one\nthree\nthree four", "\nthree a\tb\n", "once only", "x  y once", "a<|endoftext|>b c"]
+    assert [[*ids, 0] for ids in map(np.ndarray.tolist, encode(texts))] == [ids_of(t) for t in texts]
+    assert set(encode.known) == {"\nthree"}
+    assert [[*ids, 0] for ids in map(np.ndarray.tolist, encode(texts))] == [ids_of(t) for t in texts]
