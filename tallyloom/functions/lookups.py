@@ -82,12 +82,14 @@ def with_prices(calls: DataFrame, prices: DataFrame, model_col: str = "model", f
     """``calls`` with the rates of the longest prefix of their model, and ``known_model``.
 
     Distinct models meet the prefixes, not calls, so the theta join is between two
-    small sides and calls are joined back on equality.
+    small sides. Calls are joined back on equality with the models that have a price,
+    a line each, which are broadcast: a few models hold all calls, and a shuffle by
+    model would put a model's calls into one task.
     """
     models = calls.select(F.col(model_col).alias("_model")).distinct()
     hit = models.join(F.broadcast(prices), F.col("_model").startswith(F.col("prefix")))
     best = hit.groupBy("_model").agg(F.max_by(F.struct(*RATES), F.length("prefix")).alias("_rates"))
-    joined = calls.join(best, calls[model_col] == best["_model"], "left")
+    joined = calls.join(F.broadcast(best), calls[model_col] == best["_model"], "left")
     rates = [F.coalesce(F.col(f"_rates.{r}"), F.lit(x)).alias(r) for r, x in zip(RATES, fallback, strict=True)]
     return joined.select(*[calls[c] for c in calls.columns], *rates, F.col("_model").isNotNull().alias("known_model"))
 
