@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 
 # Unicode white space.
 SPACE = r"\t\n\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACES = "\t\n\x0b\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 GAP = r"[\t\n\f\r ]"
 _L, _R = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
@@ -95,7 +96,7 @@ MARKUP = r"[\\_*\[\]()~`>#+\-=|{}.!:]"
 
 def trimmed(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def _replaced(text: Column, steps) -> Column:
@@ -103,8 +104,9 @@ def _replaced(text: Column, steps) -> Column:
 
 
 def host_normal_form(line: Column) -> Column:
-    """A host log line with addresses, times, dates and integers replaced."""
-    return _replaced(trimmed(line), HOST_STEPS)
+    """A host log line with addresses, times, dates and integers replaced; every step needs a digit."""
+    bare = trimmed(line)
+    return F.when(bare.rlike("[0-9]"), _replaced(bare, HOST_STEPS)).otherwise(bare)
 
 
 def cms_normal_form(line: Column) -> Column:
@@ -161,6 +163,11 @@ def estimate_tokens(text: Column) -> Column:
     return tokens_of(F.octet_length(text), n_words(text))
 
 
+def fits_budget(text: Column, budget: Column) -> Column:
+    """Whether A9's estimate is within the budget; words are counted only where the bytes leave it open."""
+    return F.when(F.floor(F.octet_length(text) / 4) > budget, False).otherwise(estimate_tokens(text) <= budget)
+
+
 def redact(text: Column) -> Column:
     """Credentials replaced."""
     return _replaced(text, [(p, REDACTED) for p in CREDENTIALS])
@@ -200,9 +207,9 @@ def printable(text: Column) -> Column:
 def normalise_unicode(text: Column) -> Column:
     """NFKC, then no hidden or unprintable characters but line feeds, tabs and returns.
 
-    Python is needed for NFKC alone, which leaves ASCII as it is.
+    Python is needed for NFKC alone, which leaves ASCII as it is; such texts are not sent to it.
     """
-    return printable(F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text))
+    return printable(F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text))
 
 
 def filter_injections(text: Column) -> Column:

@@ -35,3 +35,20 @@ def test_first_object_and_repair():
     assert answers.first_object('x {"a": "}", "b": {"c": 1}} y') == '{"a": "}", "b": {"c": 1}}'
     assert answers.first_object("none") == ""
     assert answers.repaired(r'{"a": "1\.2 \\ \n \("}') == r'{"a": "1.2 \\ \n ("}'
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_ascii_texts_are_not_sent_to_python(spark):
+    df = spark.createDataFrame([("plain \x00",), ("ﬁn",), (None,)], "t string")
+    made = df.select(T.normalise_unicode(F.col("t")).alias("t"))
+    assert [r.t for r in made.collect()] == ["plain ", "fin", None]
+    assert "_nfkc(CASE WHEN RLIKE(" in planned(made)
+
+
+def test_white_space_of_every_kind_is_trimmed(spark):
+    inner = "a  b\nc"
+    df = spark.createDataFrame([(T.SPACES + inner + T.SPACES,), (T.SPACES,), ("",), (inner,), ("​x",)], "t string")
+    assert [r.t for r in df.select(T.trimmed(F.col("t")).alias("t")).collect()] == [inner, "", "", inner, "​x"]
