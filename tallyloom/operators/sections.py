@@ -139,9 +139,11 @@ def essential_lines(lined: DataFrame) -> DataFrame:
 def trim_to_budget(content: Column, budget: Column) -> Column:
     """The longest run of first lines that fits together with the notice; then the notice alone; then nothing.
 
-    Sizes add up over lines, so running sums decide without trying any text.
+    Sizes add up over lines, so running sums decide without trying any text. Lines
+    beyond four bytes a token cannot fit, so only those before are cut and summed.
     """
-    listed = F.split(content, "\n", -1)
+    reach = (F.greatest(budget, F.lit(0)).cast("long") + 1) * 4
+    listed = F.split(F.substring(content, F.lit(1), F.least(reach, F.lit(1 << 30)).cast("int")), "\n", -1)
     sizes = F.transform(listed, lambda s: F.struct(F.octet_length(s).alias("b"), T.n_words(s).alias("w")))
     start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("i"), F.lit(0).alias("best"))
     extra_b, extra_w = len(NOTICE) + 1, len(NOTICE.split())
@@ -154,7 +156,7 @@ def trim_to_budget(content: Column, budget: Column) -> Column:
     best = F.aggregate(sizes, start, step)["best"]
     notice = F.when(T.estimate_tokens(F.lit(NOTICE)) <= budget, F.lit(NOTICE)).otherwise(F.lit(""))
     cut = F.concat(F.array_join(F.slice(listed, 1, best), "\n"), F.lit("\n" + NOTICE))
-    return F.when((budget <= 0) | (T.estimate_tokens(content) <= budget), content).when(best > 0, cut).otherwise(notice)
+    return F.when((budget <= 0) | T.fits_budget(content, budget), content).when(best > 0, cut).otherwise(notice)
 
 
 def heading(name: Column) -> Column:
@@ -211,7 +213,7 @@ def fit_host_reports(reports: DataFrame, budget: Column) -> DataFrame:
     its text alone is made.
     """
     sized = reports.select("report_id", F.coalesce("content", F.lit("")).alias("content"), budget.alias("budget"))
-    fits = T.estimate_tokens(F.col("content")) <= F.col("budget")
+    fits = T.fits_budget(F.col("content"), F.col("budget"))
     easy = sized.filter(fits).select("report_id", F.lit(0).alias("level"), "content")
     measured = _measured(collapse_host(lines(sections(sized.filter(~fits), carried=("budget",)))))
 

@@ -307,3 +307,35 @@ def test_patterns_of_a_scope_meet_texts_by_automata_or_by_joins(spark):
     for most in (1 << 20, 0):
         kept = prompts.without_excluded(findings, patterns, scopes, shipped_bytes=most)
         assert kept.columns == findings.columns and sorted(r.id for r in kept.collect()) == want
+
+
+def test_calls_of_few_models_are_not_dealt_by_model(spark):
+    calls = spark.createDataFrame([(i, L.PRICES[0][0] if i % 2 else "other") for i in range(10)], "n int, model string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        priced = L.with_prices(calls, L.price_table(spark))
+        assert [r.known_model for r in priced.orderBy("n").collect()] == [bool(i % 2) for i in range(10)]
+        assert "SortMergeJoin" not in priced._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_trimming_cuts_only_the_lines_that_can_fit(spark):
+    texts = ["ä" * 30 + "\n" + "b\n" * 40, "x\n" * 500, "a" * 5000, "one line", "w " * 40 + "\n" + "v", "\n" * 300, "a" * 200 + "\n" + "b" * 3 + "\n" + "c" * 3000]
+    df = spark.createDataFrame([(t, b) for t in texts for b in (-1, 0, 1, 10, 11, 20, 60, 61)], "t string, b int")
+
+    def tokens(s):
+        return max(len(s.encode()) // 4, int(len(s.split()) / 0.75))
+
+    def plain(t, b):
+        if b <= 0 or tokens(t) <= b:
+            return t
+        lines = t.split("\n")
+        fit = [k for k in range(1, len(lines)) if tokens("\n".join(lines[:k]) + "\n" + sections.NOTICE) <= b]
+        return "\n".join(lines[: fit[-1]]) + "\n" + sections.NOTICE if fit else sections.NOTICE if tokens(sections.NOTICE) <= b else ""
+
+    made = df.select("t", "b", sections.trim_to_budget(F.col("t"), F.col("b")).alias("out"))
+    for r in made.collect():
+        assert r.out == plain(r.t, r.b), (r.t[:20], r.b)
+    assert "substring(t" in made._jdf.queryExecution().toString()
