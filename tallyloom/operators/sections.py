@@ -55,7 +55,9 @@ def collapse(lined: DataFrame, norm, least: int, suffix, closing_line: bool) ->
     comes with a section's first line, which always stays, so no second pass is needed.
     """
     keys = [c for c in lined.columns if c not in ("line_no", "line")]
-    with_norm = lined.withColumn("norm", norm(F.col("line")))
+    width = int(lined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Set by number, as partitions that are coalesced grow with the table, and with them what a task sorts.
+    with_norm = lined.withColumn("norm", norm(F.col("line"))).repartition(width, "report_id")
     whole = W.partitionBy(*SECTION)
     same = W.partitionBy(*SECTION, "norm")
     counted = with_norm.withColumns({

@@ -321,6 +321,12 @@ def test_calls_of_few_models_are_not_dealt_by_model(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
+def test_what_a_task_of_collapsing_sorts_does_not_grow_by_coalescing(spark):
+    secs = spark.createDataFrame([("r", 0, "a\n" * 12)], "report_id string, section_no int, content string")
+    plan = sections.collapse_host(sections.lines(secs))._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_trimming_cuts_only_the_lines_that_can_fit(spark):
     texts = ["ä" * 30 + "\n" + "b\n" * 40, "x\n" * 500, "a" * 5000, "one line", "w " * 40 + "\n" + "v", "\n" * 300, "a" * 200 + "\n" + "b" * 3 + "\n" + "c" * 3000]
     df = spark.createDataFrame([(t, b) for t in texts for b in (-1, 0, 1, 10, 11, 20, 60, 61)], "t string, b int")
