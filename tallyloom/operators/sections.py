@@ -147,13 +147,14 @@ def trim_to_budget(content: Column, budget: Column) -> Column:
     reach = (F.greatest(budget, F.lit(0)).cast("long") + 1) * 4
     listed = F.split(F.substring(content, F.lit(1), F.least(reach, F.lit(1 << 30)).cast("int")), "\n", -1)
     sizes = F.transform(listed, lambda s: F.struct(F.octet_length(s).alias("b"), T.n_words(s).alias("w")))
-    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("i"), F.lit(0).alias("best"))
+    # The number of lines is carried along: named in the step, the text would be cut again at every line.
+    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("i"), F.lit(0).alias("best"), F.size(listed).alias("n"))
     extra_b, extra_w = len(NOTICE) + 1, len(NOTICE.split())
 
     def step(a: Column, s: Column) -> Column:
         b, w, i = a["b"] + s["b"] + F.when(a["i"] > 0, 1).otherwise(0), a["w"] + s["w"], a["i"] + 1
         fits = T.tokens_of(b + extra_b, w + extra_w) <= budget
-        return F.struct(b.cast("long").alias("b"), w.cast("long").alias("w"), i.alias("i"), F.when(fits & (i < F.size(listed)), i).otherwise(a["best"]).alias("best"))
+        return F.struct(b.cast("long").alias("b"), w.cast("long").alias("w"), i.alias("i"), F.when(fits & (i < a["n"]), i).otherwise(a["best"]).alias("best"), a["n"].alias("n"))
 
     best = F.aggregate(sizes, start, step)["best"]
     notice = F.when(T.estimate_tokens(F.lit(NOTICE)) <= budget, F.lit(NOTICE)).otherwise(F.lit(""))

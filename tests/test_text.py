@@ -1,7 +1,10 @@
+import time
+
 from pyspark.sql import functions as F
 
 from tallyloom.functions import answers
 from tallyloom.functions import text as T
+from tallyloom.operators import sections as S
 
 
 def one(spark, column, value):
@@ -52,3 +55,39 @@ def test_white_space_of_every_kind_is_trimmed(spark):
     inner = "a  b\nc"
     df = spark.createDataFrame([(T.SPACES + inner + T.SPACES,), (T.SPACES,), ("",), (inner,), ("​x",)], "t string")
     assert [r.t for r in df.select(T.trimmed(F.col("t")).alias("t")).collect()] == [inner, "", "", inner, "​x"]
+
+
+def least_seconds(run, times=3):
+    took = []
+    for _ in range(times):
+        began = time.perf_counter()
+        run()
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
+def test_words_are_parted_by_every_white_space(spark):
+    marks = [f"a{chr(i)}b" for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF and (i < 0x3100 or i % 97 == 0)]
+    table = spark.createDataFrame([(m,) for m in marks], "t string")
+    parted = {r.t[1] for r in table.filter(T.n_words(F.col("t")) == 2).collect()}
+    assert parted == set(T.SPACES)
+
+
+def test_words_are_counted_about_as_fast_as_by_blanks(spark):
+    table = spark.range(4).select(F.repeat(F.concat(F.lit("some words of text "), F.col("id").cast("string"), F.lit(" ")), 30_000).alias("t")).cache()
+    table.count()
+    plain = least_seconds(lambda: table.agg(F.sum(F.regexp_count("t", F.lit("[^ ]+")))).first())
+    assert least_seconds(lambda: table.agg(F.sum(T.n_words(F.col("t")))).first()) < 6 * plain
+    table.unpersist()
+
+
+def test_trimming_grows_with_the_lines(spark):
+    def seconds(n):
+        table = spark.range(1).select(F.repeat(F.concat(F.lit("abcd e"), F.col("id").cast("string"), F.lit("\n")), n).alias("t"), F.lit(n * 3 // 2).alias("budget")).cache()
+        table.count()
+        took = least_seconds(lambda: table.agg(F.sum(F.length(S.trim_to_budget(F.col("t"), F.col("budget"))))).first(), 2)
+        table.unpersist()
+        return took
+
+    seconds(4_000)
+    assert seconds(40_000) < 40 * seconds(4_000)
