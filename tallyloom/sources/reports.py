@@ -17,10 +17,10 @@ from pyspark.sql import Window as W
 
 from tallyloom.functions import lookups as L
 from tallyloom.functions import text as T
+from tallyloom.workspace import written
 
 MAX_LINE_BYTES = 10 * 1024 * 1024
 LEAST_BYTES = {"logwatch": 100, "drupal_watchdog": 50, "ocms": 1}
-ENTRY = "struct<wid:variant,uid:variant,type:variant,message:variant,variables:variant,severity:variant,link:variant,location:variant,referer:variant,hostname:variant,timestamp:variant>"
 NUMBERS = {"wid": "bigint", "uid": "bigint", "severity": "int", "timestamp": "bigint"}
 TEXTS = ("type", "message", "variables", "link", "location", "referer", "hostname")
 #: Elements of an array, and their bytes, that are handed on together.
@@ -107,7 +107,7 @@ def labelled_union(files: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Data
 
 
 def entry_fields(value: Column, more: tuple[str, ...] = ()) -> Column:
-    """Zero values for missing fields, from a struct of variants; ``more`` names further texts."""
+    """Zero values for missing fields, from a struct of variants (``variants``); ``more`` names further texts."""
     numbers = [F.coalesce(F.try_variant_get(value[c], "$", t), F.lit(0)).cast(t).alias(c) for c, t in NUMBERS.items()]
     texts = [F.coalesce(F.try_variant_get(value[c], "$", "string"), F.lit("")).alias(c) for c in (*TEXTS, *more)]
     return F.struct(*numbers, *texts)
@@ -122,9 +122,19 @@ def well_typed(value: Column, more: tuple[str, ...] = ()) -> Column:
     return reduce(lambda a, b: a & b, [*numbers, *(kind(c).isin("STRING", "VOID") for c in (*TEXTS, *more))])
 
 
-def is_entry(text: Column, parsed: Column, more: tuple[str, ...] = ()) -> Column:
-    """Whether a JSON text is one entry: an object whose fields have their types."""
-    return F.coalesce(text.startswith("{") & F.try_parse_json(text).isNotNull() & well_typed(parsed, more), F.lit(False))
+def variants(value: Column, more: tuple[str, ...] = ()) -> Column:
+    """The fields of an entry, each as a variant, from a JSON object that is parsed already."""
+    return F.struct(*[F.try_variant_get(value, f"$.{c}", "variant").alias(c) for c in (*NUMBERS, *TEXTS, *more)])
+
+
+def with_entry(texts: DataFrame, text: Column, more: tuple[str, ...] = ()) -> DataFrame:
+    """``texts`` with ``ok``, whether ``text`` is one entry, an object whose fields have their types, and ``e``, its fields or null.
+
+    A text is parsed once, into a column that all fields are taken from; a null text is no entry.
+    """
+    parsed = texts.withColumn("v", F.when(text.startswith("{"), F.try_parse_json(text))).withColumn("e", variants(F.col("v"), more))
+    judged = parsed.withColumn("ok", F.col("v").isNotNull() & well_typed(F.col("e"), more))
+    return judged.withColumn("e", F.when(F.col("ok"), entry_fields(F.col("e"), more))).drop("v")
 
 
 _STRUCTURE = re.compile(rb'"(?:[^"\\]|\\.)*+"|[\[\]{},"]', re.DOTALL)
@@ -159,34 +169,48 @@ def array_elements(text: bytes) -> Iterator[tuple[int, int] | None]:
     yield None
 
 
-def split_arrays(reports: DataFrame) -> DataFrame:
-    """``(report_id, entry_no, element)`` of ``(report_id, body)``: the elements of each body's array as text.
+def split_reports(shaped: DataFrame) -> DataFrame:
+    """``(report_id, shape, entry_no, piece)`` of ``(report_id, shape, body)``: an array's elements, an object whole, lines, or nothing.
 
-    One element after the other leaves the text, a few megabytes at a time, so an
-    array is never held in parsed form. A body that is no whole array ends with an element that is null.
+    One piece after the other leaves the text, a few megabytes at a time, so an
+    array is never held in parsed form. A body that is no whole array ends with a piece that is null.
     """
+    def pieces(shape: str, text: bytes) -> Iterator[bytes | None]:
+        if shape == "array":
+            return (None if place is None else text[place[0]:place[1]] for place in array_elements(text))
+        return iter({"none": [], "object": [text]}[shape] if shape != "lines" else text.split(b"\n"))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for i in range(batch.num_rows):
-                text, held, size = batch.column(1)[i].as_py(), [], 0
-                no = 0
-                for place in array_elements(text):
-                    held.append((no, None if place is None else text[place[0]:place[1]]))
-                    size += 0 if place is None else place[1] - place[0]
-                    no += 1
+                for no, piece in enumerate(pieces(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())):
+                    held.append((i, no, piece))
+                    size += 0 if piece is None else len(piece)
                     if len(held) == ELEMENTS or size > ELEMENT_BYTES:
-                        yield made(batch, i, held)
+                        yield made(batch, held)
                         held, size = [], 0
-                if held:
-                    yield made(batch, i, held)
+            if held:
+                yield made(batch, held)
+
+    def made(batch: pa.RecordBatch, held: list) -> pa.RecordBatch:
+        places, numbers, texts = zip(*held)
+        known = pa.array(places, pa.int32())
+        columns = [batch.column(0).take(known), batch.column(1).take(known), pa.array(numbers, pa.int32()), pa.array(texts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["report_id", "shape", "entry_no", "piece"])
+
+    given = shaped.select("report_id", "shape", F.col("body").cast("binary").alias("body"))
+    split = given.mapInArrow(rows, f"report_id {given.schema['report_id'].dataType.simpleString()}, shape string, entry_no int, piece binary")
+    return split.withColumn("piece", T.trimmed(F.col("piece").cast("string")))
 
-    def made(batch: pa.RecordBatch, i: int, held: list) -> pa.RecordBatch:
-        ids = batch.column(0).take(pa.array([i] * len(held), pa.int32()))
-        return pa.RecordBatch.from_arrays([ids, pa.array([n for n, _ in held], pa.int32()), pa.array([e for _, e in held], pa.binary())], names=["report_id", "entry_no", "element"])
 
-    given = reports.select("report_id", F.col("body").cast("binary").alias("body"))
-    split = given.mapInArrow(rows, f"report_id {given.schema['report_id'].dataType.simpleString()}, entry_no int, element binary")
-    return split.withColumn("element", T.trimmed(F.col("element").cast("string")))
+def _read_pieces(shaped: DataFrame) -> DataFrame:
+    """``(report_id, shape, entry_no, ok, too_long, e)``: every piece parsed once and stored, as entries, faults and rejects are all told from it."""
+    lined = F.col("shape") == "lines"
+    piece = F.when(lined & F.col("piece").endswith(","), F.substring("piece", F.lit(1), F.length("piece") - 1)).otherwise(F.col("piece"))
+    pieces = split_reports(shaped).withColumn("too_long", lined & (F.octet_length("piece") > MAX_LINE_BYTES))
+    read = with_entry(pieces.withColumn("text", F.when(~F.col("too_long"), piece)), F.col("text"))
+    return written(read.select("report_id", "shape", "entry_no", "ok", "too_long", "e"), "entries")
 
 
 def parse_watchdog_json(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,27 +221,29 @@ def parse_watchdog_json(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     or no entry at all rejects the report. ``null`` and ``[]`` hold no entries.
     """
     body = reports.select("report_id", T.trimmed(F.coalesce("content", F.lit(""))).alias("body"))
-    lines_of = F.split("body", "\n", -1)
     first = F.regexp_extract("body", r"(?d)\A\s*(.*)", 1)
-    lone = F.from_json("body", ENTRY)
-    by_line = (F.size(lines_of) > 1) & first.rlike(r"^\{.*\},?\s*$") & F.try_parse_json(F.regexp_replace(first, r",\s*$", "")).isNotNull()
+    by_line = (F.instr("body", "\n") > 0) & first.rlike(r"^\{.*\},?\s*$") & F.try_parse_json(F.regexp_replace(first, r",\s*$", "")).isNotNull()
+    lone = F.col("body").startswith("{") & F.coalesce(well_typed(variants(F.try_parse_json("body"))), F.lit(False)) & F.try_parse_json("body").isNotNull()
     shape = (
         F.when(F.col("body") == "null", "none").when(F.col("body").startswith("[") & F.col("body").endswith("]"), "array")
-        .when(~by_line & is_entry(F.col("body"), lone), "object").otherwise("lines")
+        .when(~by_line & lone, "object").otherwise("lines")
     )
-    shaped = body.withColumn("shape", shape)
-    arrays = shaped.filter("shape = 'array'")
-    elements = split_arrays(arrays).withColumn("e", F.from_json("element", ENTRY)).withColumn("ok", is_entry(F.col("element"), F.col("e")))
-    broken = elements.groupBy("report_id").agg(F.bool_and("ok").alias("ok")).filter("not ok").select("report_id")
-    whole = elements.join(broken, "report_id", "left_anti").select("report_id", "entry_no", entry_fields(F.col("e")).alias("e"))
-    alone = shaped.filter("shape = 'object'").select("report_id", F.lit(0).alias("entry_no"), entry_fields(lone).alias("e"))
-    by_lines = shaped.filter("shape = 'lines'").union(arrays.join(broken, "report_id", "left_semi").select(*shaped.columns))
-    raw = by_lines.select("report_id", F.posexplode(lines_of).alias("entry_no", "line")).withColumn("line", T.trimmed(F.col("line")))
-    over = raw.filter(F.octet_length("line") > MAX_LINE_BYTES).select("report_id", F.lit("a line is too long").alias("reason")).distinct()
-    read = raw.filter(~F.col("line").isin("", "[", "]")).withColumn("line", F.regexp_replace("line", r",\z", "")).withColumn("e", F.from_json("line", ENTRY))
-    read = read.filter(is_entry(F.col("line"), F.col("e"))).select("report_id", "entry_no", entry_fields(F.col("e")).alias("e")).join(over, "report_id", "left_anti")
-    empty = by_lines.join(read, "report_id", "left_anti").join(over, "report_id", "left_anti").select("report_id", F.lit("no entries").alias("reason"))
-    return whole.union(alone).union(read).select("report_id", "entry_no", "e.*"), over.union(empty)
+    shaped = body.select("report_id", shape.alias("shape"), "body")  # not filtered, as a filter would make body and shape a second time
+    read = _read_pieces(shaped)
+    faulty = (F.col("shape") == "array") & ~F.col("ok")
+    n_faulty, n_long = read.agg(F.count_if(faulty), F.count_if("too_long")).first()
+    if n_faulty:
+        broken = read.filter(faulty).select("report_id").distinct()
+        again = _read_pieces(shaped.filter("shape = 'array'").join(broken, "report_id", "left_semi").select("report_id", F.lit("lines").alias("shape"), "body"))
+        arrays = read.filter("shape = 'array'").join(broken, "report_id", "left_anti").select(*read.columns)
+        read, n_long = read.filter("shape <> 'array'").union(arrays).union(again), n_long + again.filter("too_long").count()
+    good = read.filter("ok")
+    if n_long:
+        lines = good.filter("shape = 'lines'").join(read.filter("too_long").select("report_id").distinct(), "report_id", "left_anti").select(*read.columns)
+        good = good.filter("shape <> 'lines'").union(lines)
+    told = read.filter("shape = 'lines'").groupBy("report_id").agg(F.bool_or("ok").alias("some"), F.bool_or("too_long").alias("too_long"))
+    reason = F.when(F.col("too_long"), "a line is too long").when(~F.col("some"), "no entries")
+    return good.select("report_id", "entry_no", "e.*"), told.select("report_id", reason.alias("reason")).filter("reason is not null")
 
 
 def parse_watchdog_table(reports: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,6 @@ from tallyloom.sources.store import VersionedTable
 
 #: A stream's entries name their site beside the fields of a watchdog entry.
 SITE = ("site_id",)
-ENTRY = reports.ENTRY[:-1] + ",site_id:variant>"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -26,9 +25,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     or a line over 10 MiB makes no entry.
     """
     bare = F.regexp_replace(T.trimmed(F.col("value")), r",\z", "")
-    rows = lines.filter(~T.trimmed(F.col("value")).isin("", "[", "]")).withColumn("bare", bare).withColumn("e", F.from_json("bare", ENTRY))
-    ok = (F.octet_length(T.trimmed(F.col("value"))) <= reports.MAX_LINE_BYTES) & reports.is_entry(F.col("bare"), F.col("e"), SITE)
-    parsed = rows.select(ok.alias("ok"), F.when(ok, reports.entry_fields(F.col("e"), SITE)).alias("e"))
+    short = F.octet_length(T.trimmed(F.col("value"))) <= reports.MAX_LINE_BYTES
+    rows = lines.filter(~T.trimmed(F.col("value")).isin("", "[", "]")).select(F.when(short, bare).alias("bare"))
+    parsed = reports.with_entry(rows, F.col("bare"), SITE)
     return parsed.select("ok", "e.*").withColumn("event_time", F.timestamp_seconds("timestamp"))
 
 

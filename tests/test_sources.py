@@ -86,6 +86,21 @@ def test_a_long_array_is_split_without_holding_its_elements(spark, tmp_path):
     assert rejects.count() == 0
 
 
+def test_reports_are_read_once_for_entries_and_rejects(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def content(no):
+        reads.add(1)
+        entry = json.dumps(ENTRY | {"wid": no})
+        return [f"[{entry}, {entry}]", f"{entry},\n{{broken\n{entry}", entry, "nothing"][no]
+
+    given = spark.range(4).select(F.col("id").alias("report_id"), F.udf(content, "string")("id").alias("content"))
+    entries, rejects = R.parse_watchdog_json(given)
+    assert sorted((r.report_id, r.entry_no, r.wid) for r in entries.collect()) == [(0, 0, 0), (0, 1, 0), (1, 0, 1), (1, 2, 1), (2, 0, 2)]
+    assert [(r.report_id, r.reason) for r in rejects.collect()] == [(3, "no entries")]
+    assert reads.value == 4
+
+
 def test_table_rows_by_the_one_word_rule(spark):
     rows = [
         "1  2024-01-02 03:04:05  php error PDO exception:  warning   foo", "2  2024-01-02 03:04:05  cron notice Run done.  Error count 0",
