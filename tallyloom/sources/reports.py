@@ -137,18 +137,24 @@ def with_entry(texts: DataFrame, text: Column, more: tuple[str, ...] = ()) -> Da
     return judged.withColumn("e", F.when(F.col("ok"), entry_fields(F.col("e"), more))).drop("v")
 
 
-_STRUCTURE = re.compile(rb'"(?:[^"\\]|\\.)*+"|[\[\]{},"]', re.DOTALL)
+_STRING = rb'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: An object that holds no other, a string, or one mark.
+_STRUCTURE = re.compile(rb'\{(?:[^"\[\]{}]++|' + _STRING + rb')*+\}|' + _STRING + rb'|[\[\]{},"]', re.DOTALL)
 
 
 def array_elements(text: bytes) -> Iterator[tuple[int, int] | None]:
     """Where the elements of a JSON array begin and end, one after the other; ``None`` at last if it is no whole array.
 
-    Only brackets, commas and strings are looked at. What an element holds is for its parser to judge.
+    Only brackets, commas and strings are looked at, and flat objects within an array are
+    passed in one step. What an element holds is for its parser to judge.
     """
     depth, begin, some = 0, 0, False
     for m in _STRUCTURE.finditer(text):
-        c = text[m.start()]
-        if c in b"[{":
+        c, long = text[m.start()], m.end() - m.start() > 1
+        if c == 123 and long:
+            if depth == 0:
+                break
+        elif c in b"[{":
             depth += 1
             if depth == 1:
                 begin = m.end()
@@ -157,14 +163,14 @@ def array_elements(text: bytes) -> Iterator[tuple[int, int] | None]:
             if depth == 0:
                 if some or text[begin:m.start()].strip():
                     yield begin, m.start()
-                if text[m.end():].strip() or text[m.start()] != 93:
+                if text[m.end():].strip() or c != 93:
                     yield None
                 return
         elif c == 44 and depth == 1:
             some = True
             yield begin, m.start()
             begin = m.end()
-        elif c == 34 and m.end() - m.start() == 1:
+        elif c == 34 and not long:
             break
     yield None
 

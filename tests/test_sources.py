@@ -101,6 +101,15 @@ def test_reports_are_read_once_for_entries_and_rejects(spark):
     assert reads.value == 4
 
 
+def test_flat_objects_are_passed_in_one_step():
+    def held(text):
+        return [p if p is None else text[p[0]:p[1]].strip() for p in R.array_elements(text)]
+
+    assert sum(1 for _ in R._STRUCTURE.finditer(b'[{"a": "]}", "b": 2}, {"c": 1}]')) == 5
+    assert held(b'[{"a": "]}\\"{", "b": 2}, 1, {"c": {"d": [2, "x"]}, "e": 1},\n{}]') == [b'{"a": "]}\\"{", "b": 2}', b"1", b'{"c": {"d": [2, "x"]}, "e": 1}', b"{}"]
+    assert held(b'[{"a": 1}, {"b": "open}]') == [b'{"a": 1}', None] and held(b'[{"a": 1}}') == [b'{"a": 1}', None] and held(b'{"a": 1}') == [None]
+
+
 def test_table_rows_by_the_one_word_rule(spark):
     rows = [
         "1  2024-01-02 03:04:05  php error PDO exception:  warning   foo", "2  2024-01-02 03:04:05  cron notice Run done.  Error count 0",
